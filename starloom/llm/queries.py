@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import bpe, mixing, simhash
 
 
 def queries():
-    return {"op2_mix": mixing.op2_mix, "op9_simhash": simhash.op9_simhash}
+    return {"op2_mix": mixing.op2_mix, "op5_bpe": bpe.op5_bpe, "op9_simhash": simhash.op9_simhash}
 
 
 def oracle_sql():
