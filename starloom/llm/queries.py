@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash
+from . import bpe, media, mixing, quality, secrets, simhash
 
 
 def queries():
-    return {"op2_mix": mixing.op2_mix, "op5_bpe": bpe.op5_bpe, "op9_simhash": simhash.op9_simhash}
+    return {
+        "op2_mix": mixing.op2_mix,
+        "op4_quality": quality.op4_quality,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_media": media.op6_media,
+        "op7_secrets": secrets.op7_secrets,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql():
