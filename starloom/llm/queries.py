@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, quality, secrets, simhash
+from . import bpe, media, mixing, outliers, quality, secrets, simhash, tokenfiles
 
 
 def queries():
     return {
+        "op1_quality_rules": outliers.op1_quality_rules,
         "op2_mix": mixing.op2_mix,
+        "op3_tokens": tokenfiles.op3_tokens,
         "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
         "op6_media": media.op6_media,
