@@ -52,12 +52,12 @@ def _with(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def mix(sized: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
-    """sized (id, source, size; others kept) with source_size, target and copies: how often the mix takes the row.
+def thresholds(sized: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
+    """(source, source_size, target, whole, threshold): a row is taken ``whole`` times, and once more if its hash is below threshold.
 
-    A target of k whole source sizes and a rest takes every row k times, and once more those whose hash lies under the
-    rest's threshold. Rows of one id are taken or left together. Of the last hash value at the threshold, the nearer side
-    wins. Empty sources have target 0 and nothing is taken from them; a null size counts as 0.
+    sized has (id, source, size), targets (source, source_size, target). A target of k whole source sizes and a rest takes every
+    row k times, and for the rest those whose hash lies under the threshold. Of the last hash value at the threshold, the nearer
+    side wins. Empty sources have target 0 and nothing is taken from them; a null size counts as 0.
     """
     if most < 1:
         raise ValueError("most must be at least 1")
@@ -65,7 +65,7 @@ def mix(sized: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
     goal = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", goal).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     state = stored(plan.withColumns({"low": F.lit(0).cast("long"), "done": F.lit(0).cast("long")}), "plan")
-    rows = sized.withColumns({"h": id_hash(F.col("id")), "size": F.coalesce(F.col("size"), F.lit(0)).cast("long")})
+    rows = sized.select("source", id_hash(F.col("id")).alias("h"), F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     w = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
     for k in range(1, LEVELS + 1):
         span = 1 << BITS * (LEVELS - k)
@@ -78,31 +78,55 @@ def mix(sized: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
         found = upto.groupBy("source").agg(
             F.coalesce(F.max(F.when(fits, F.col("c"))), F.lit(0)).alias("got"), F.min(F.when(~fits, F.struct("b", "s"))).alias("edge")
         )
-        joined = state.join(found.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        end = F.lit(1 << BITS * LEVELS)
+        joined = state.drop("edge_size").join(found.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
         over = F.col("edge").isNull() & F.col("got").isNotNull()
         state = joined.select(
             "source", "source_size", "target", "whole", "rest",
             F.when(over, F.col("low") + F.lit(span << BITS)).when(F.col("edge.b").isNotNull(), F.col("edge.b") * F.lit(span)).otherwise(F.col("low")).alias("low"),
-            (F.col("done") + F.coalesce(F.col("got"), F.lit(0))).alias("done"),
-            F.least(F.col("edge.s"), end).alias("edge_size"),
+            (F.col("done") + F.coalesce(F.col("got"), F.lit(0))).alias("done"), F.col("edge.s").alias("edge_size"),
         )
-        state = stored(state if k == LEVELS else state.drop("edge_size"), f"thresholds{k}")
+        state = stored(state, f"thresholds{k}")
     # low is now the first hash value that does not fit whole; it is taken if that comes nearer to the target
-    nearer = F.col("done") + F.coalesce("edge_size", F.lit(0)) - F.col("rest") < F.col("rest") - F.col("done")
-    limit = state.select("source", "source_size", "target", "whole", (F.col("low") + F.when(nearer & F.col("edge_size").isNotNull(), 1).otherwise(0)).alias("threshold"))
-    out = _with(rows, limit, n)
-    room = F.when(F.col("whole") >= int(most), 0).when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return out.withColumn("copies", (F.col("whole") + room).cast("long")).drop("h", "whole", "threshold")
+    nearer = F.col("edge_size").isNotNull() & (F.col("done") + F.col("edge_size") - F.col("rest") < F.col("rest") - F.col("done"))
+    room = F.when(F.col("whole") >= int(most), F.lit(0)).otherwise(F.col("low") + F.when(nearer, 1).otherwise(0))
+    return state.select("source", "source_size", "target", "whole", room.alias("threshold"))
 
 
-def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies) per row of docs; size is the number of words, null text: 0."""
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size")), "sizes")
+def with_copies(rows: DataFrame, limits: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """rows with source_size, target and copies by thresholds(); a filter by hash, without a sort or a shuffle of rows.
+
+    Rows of one id are taken or left together. Raises ValueError if rows has one of these columns already.
+    """
+    new = {"source_size", "target", "copies", "_source", "_whole", "_threshold"}
+    if new & set(rows.columns):
+        raise ValueError(f"columns in the way: {sorted(new & set(rows.columns))}")
+    side = limits.select(F.col("source").alias("_source"), "source_size", "target", F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    side = F.broadcast(side) if limits.count() <= BROADCAST_SOURCES else side
+    out = rows.join(side, F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    copies = F.col("_whole") + F.when(id_hash(F.col(id_col)) < F.col("_threshold"), 1).otherwise(0)
+    return out.withColumn("copies", copies.cast("long")).drop("_source", "_whole", "_threshold")
+
+
+def plan_mix(sized: DataFrame) -> DataFrame:
+    """thresholds() of sized (id, source, size) for the standard weights."""
     targets = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    return mix(sized, targets)
+    return stored(thresholds(sized, targets), "limits")
+
+
+def sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(id, source, size) per row of docs, stored; size is the number of words, null text: 0."""
+    return stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size")), "sizes")
+
+
+def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; columns as they are, no row order."""
+    limits = plan_mix(sizes(docs, text_col, id_col, source_col))
+    narrow = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    taken = with_copies(narrow, limits, "id", "source").where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
-    out = mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sized = sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = with_copies(sized, plan_mix(sized), "id", "source")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, outliers, quality, secrets, simhash, tokenfiles
+import corpus_pipeline
+
+from . import bpe, licenses, linededup, media, mixing, outliers, quality, secrets, simhash, tokenfiles
 
 
 def queries():
@@ -14,7 +16,10 @@ def queries():
         "op5_bpe": bpe.op5_bpe,
         "op6_media": media.op6_media,
         "op7_secrets": secrets.op7_secrets,
+        "op8_line_dedup": linededup.op8_line_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_licenses": licenses.op10_licenses,
+        "pipeline": corpus_pipeline.run,
     }
 
 

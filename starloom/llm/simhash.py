@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import components, stored
 
 TILE = 8192
+#: Tables of up to this many single longs are broadcast.
+BROADCAST_ROWS = 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHIFTS = np.arange(64, dtype=np.uint64)
 
@@ -105,13 +107,14 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> Data
     marked = fps.select("fp", high.alias("hi"), low.alias("lo"))
     sizes = marked.groupBy("hi", "lo").count()
     # 33 x 33 groups at most: how many tiles each is cut into, and which groups lie within the radius
-    tiles = sizes.select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("k2"))
     own = sizes.select("hi", "lo", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("k"))
-    near = F.abs(F.col("hi") - F.col("h2")) + F.abs(F.col("lo") - F.col("l2")) <= radius
+    tiles = own.select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.col("k").alias("k2"))
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
+    shifted = own.select("hi", "lo", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("d"))
+    shifted = shifted.select("hi", "lo", "k", (F.col("hi") + F.col("d.i")).alias("h2"), (F.col("lo") + F.col("d.j")).alias("l2"))
     code = lambda h, l: F.col(h) * 33 + F.col(l)
     reach = (
-        F.broadcast(own)
-        .join(F.broadcast(tiles), near)
+        shifted.join(F.broadcast(tiles), ["h2", "l2"])
         .groupBy("hi", "lo", "k")
         .agg(F.collect_list(F.struct(code("h2", "l2").alias("g"), "k2")).alias("partners"))
     )
@@ -155,6 +158,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(least_of, "fp", "left").select("id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the least id (null last), then text hash, stays.
+
+    Of rows equal in id and text one stays. Columns are docs' own.
+    """
+    near = near_duplicates(docs, id_col, text_col, radius, width)
+    heads = near.select("id", "component_id").distinct()
+    groups = stored(heads, "heads")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    lost = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
+    lost = stored(lost, "lost")
+    side = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
+    kept = docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    # ids that several rows have: seldom any; their rows alone are dealt by id
+    many = stored(docs.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min(text_hash).alias("_least")).where("_n > 1"), "many")
+    n = many.count()
+    if not n:
+        return kept
+    side = F.broadcast(many) if n <= BROADCAST_ROWS else many
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    single = kept.join(side, on, "left_anti")
+    multiple = kept.join(side, on).where(text_hash == F.col("_least")).drop("_id", "_n", "_least").dropDuplicates([id_col])
+    return single.unionAll(multiple)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
