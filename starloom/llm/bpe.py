@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by a table of distinct words.
 
 Texts are split into words in Spark; a word is what the tokenizer's own pattern splits off, so its ids depend on
-nothing around it. Each distinct word is encoded once. The rows of a scan form blocks of at most BLOCK_ROWS rows;
-the distinct (block, word) pairs, far fewer than the occurrences, are joined with the word table, and each block's
-texts meet their own small dictionary in one cogrouped task, which puts ids together by position. Decoding joins
-ids with the id-to-piece table, whose size is the vocabulary's, and joins the pieces' bytes by position.
+nothing around it. Each scan partition gathers its distinct words, which meet in the task of their hash; there each
+distinct word is encoded once. The ids go back to the partitions that asked, as one compressed dictionary for each,
+written in the shared folder. A second scan joins whole Arrow batches of words with their partition's dictionary,
+position by position. Texts are never shuffled, and no task holds more than one partition's words. Decoding joins ids
+with the id-to-piece table, whose size is the vocabulary's, and joins the pieces' bytes by position.
 """
 
 from __future__ import annotations
@@ -16,15 +17,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_path, n_partitions
 
-BLOCK_ROWS = 2048
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^{S}\p{L}\p{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-JAVA_SPLIT, PYTHON_SPLIT = _SPLIT.replace("{S}", r"\p{IsWhite_Space}"), _SPLIT.replace("{S}", r"\p{White_Space}")
+JAVA_SPLIT = _SPLIT.replace("{S}", r"\p{IsWhite_Space}")
+_BYTE_CHARS, _spare = {}, 0
+for _b in range(256):
+    _BYTE_CHARS[_b] = chr(_b) if 33 <= _b <= 126 or 161 <= _b <= 172 or 174 <= _b <= 255 else chr(256 + _spare)
+    _spare += _BYTE_CHARS[_b] != chr(_b)
 
 
 @lru_cache(maxsize=4)
@@ -42,13 +49,7 @@ def tokenizer(path: str):
 @lru_cache(maxsize=4)
 def pieces(path: str) -> tuple[bytes, ...]:
     """Bytes by id; ids without a piece: empty. Added tokens stand for their own text."""
-    spare, char = 0, {}
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            char[chr(b)] = b
-        else:
-            char[chr(256 + spare)] = b
-            spare += 1
+    char = {c: b for b, c in _BYTE_CHARS.items()}
     own = tokenizer(path)
     added = own.get_added_tokens_decoder()
     out = [b""] * (max(own.get_vocab(with_added_tokens=True).values(), default=-1) + 1)
@@ -58,61 +59,136 @@ def pieces(path: str) -> tuple[bytes, ...]:
     return tuple(out)
 
 
+def piece_ids(own, piece: str) -> list[int]:
+    """Ids of one word that the tokenizer's pattern has split off: its model alone, without normalising and splitting again."""
+    return [t.id for t in own.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_BYTE_CHARS))]
+
+
+def _pack(words: list[str]) -> bytes:
+    """Words as compressed lengths and UTF-8 bytes."""
+    raw = [w.encode() for w in words]
+    body = np.array([len(raw), *map(len, raw)], np.uint32).tobytes() + b"".join(raw)
+    return np.uint32(len(body)).tobytes() + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def _unpack(blob: bytes) -> pa.StringArray:
+    """Words of _pack."""
+    body = pa.Codec("zstd").decompress(blob[4:], decompressed_size=int(np.frombuffer(blob[:4], np.uint32)[0]), asbytes=True)
+    n = int(np.frombuffer(body[:4], np.uint32)[0])
+    offsets = np.concatenate(([0], np.cumsum(np.frombuffer(body[4 : 4 + 4 * n], np.uint32)))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body[4 + 4 * n :]))
+
+
+def _pack_ids(ids: list[tuple[int, ...]]) -> bytes:
+    lengths = np.array([len(ids), *map(len, ids)], np.uint32)
+    body = lengths.tobytes() + np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+    return np.uint32(len(body)).tobytes() + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def _unpack_ids(blob: bytes) -> pa.ListArray:
+    body = np.frombuffer(pa.Codec("zstd").decompress(blob[4:], decompressed_size=int(np.frombuffer(blob[:4], np.uint32)[0]), asbytes=True), np.uint32)
+    n = int(body[0])
+    offsets = np.concatenate(([0], np.cumsum(body[1 : n + 1]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(body[n + 1 :].astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array<int>) for every row of docs, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
     Null and empty texts have no ids; repeated rows stay repeated; null ids are kept. A text that holds an added token or a
     code point that the JVM's Unicode tables do not know is encoded whole in its own row's task, with the same result. So is
-    a word that a block's dictionary lacks, should a recomputed scan be cut into blocks differently.
+    a word that the dictionary at hand lacks, should a recomputed scan be cut into partitions differently.
     """
     special = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     direct = text.rlike(r"\p{Cn}")
     for token in special:
         direct = direct | text.contains(token)
-    row = F.monotonically_increasing_id()
-    block = F.shiftleft(F.shiftright(row, 33), 24) + F.shiftright(row.bitwiseAND(F.lit((1 << 33) - 1)), BLOCK_ROWS.bit_length() - 1)
-    based = docs.select(F.col(id_col).alias("id"), text.alias("text"), direct.alias("direct"), block.alias("block"))
-    word = F.explode(F.expr(f"regexp_extract_all(text, r\"{JAVA_SPLIT}\", 0)")).alias("word")
-    pairs = stored(based.where(~F.col("direct")).select("block", word).distinct(), "pairs")
+    split = F.expr(f"regexp_extract_all(text, r\"{JAVA_SPLIT}\", 0)")
+    based = docs.select(F.col(id_col).alias("id"), text.alias("text"), direct.alias("direct"))
+    spark, uri = docs.sparkSession, fresh_path(docs.sparkSession, "dictionaries")
+    parts = n_partitions(spark)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, block = set(), None
+        for batch in batches:
+            if batch.num_rows:
+                block = batch.column(1)[0].as_py()
+                words.update(pc.unique(batch.column(0).flatten()).to_pylist())
+        dealt: dict[int, list[str]] = {}
+        for w in words:
+            dealt.setdefault(xxhash.xxh32_intdigest(w) % parts, []).append(w)
+        for part, own in dealt.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "words": pa.array([_pack(sorted(own))], pa.binary())})
+
+    asked = based.where(~F.col("direct")).select(split.alias("words"), F.spark_partition_id().alias("block")).mapInArrow(gather, "part int, block int, words binary")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own, known = tokenizer(path), {}
+        for batch in batches:
+            found = []
+            for blob in batch.column(2).to_pylist():
+                words = _unpack(blob).to_pylist()
+                for w in words:
+                    if w not in known:
+                        known[w] = tuple(piece_ids(own, w))
+                found.append(_pack_ids([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["block", "words", "ids"])
+
+    answered = asked.repartition(parts, "part").mapInArrow(once, "block int, words binary, ids binary")
+    answered.withColumn("bucket", F.pmod("block", F.lit(parts))).repartition(parts, "bucket").write.partitionBy("bucket").parquet(uri)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids, at = None, None, None
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [e.ids for e in own.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    table = pairs.select("word").distinct().mapInArrow(once, "word string, ids array<int>")
-    entries = pairs.join(table, "word").select("block", "word", "ids")
-    find = regex.compile(PYTHON_SPLIT)
-
-    def put_together(left, right):
-        known: dict[str, tuple[int, ...]] = {}
-        for batch in right.select(["word", "ids"]).to_batches(max_chunksize=65536):
-            known.update(zip(batch.column(0).to_pylist(), map(tuple, batch.column(1).to_pylist()), strict=True))
-        parts, lengths = [], []
-        for text, whole in zip(left.column("text"), left.column("direct").to_pylist(), strict=True):
-            text = text.as_py()
-            if whole:
-                ids = tokenizer(path).encode(text, add_special_tokens=False).ids
-            else:
-                words = find.findall(text)
-                try:
-                    ids = chain.from_iterable([known[w] for w in words])
-                except KeyError:
-                    for w in set(words) - known.keys():
-                        known[w] = tuple(tokenizer(path).encode(w, add_special_tokens=False).ids)
-                    ids = chain.from_iterable([known[w] for w in words])
-            parts.append(np.fromiter(ids, np.int32))
-            lengths.append(len(parts[-1]))
-        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        return pa.table({"id": left.column("id"), "ids": ids})
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return based.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(put_together, f"id {id_type}, ids array<int>")
+            if batch.num_rows and batch.column(3)[0].as_py() != at:
+                at = batch.column(3)[0].as_py()
+                words, ids = _dictionary(f"{uri}/bucket={at % parts}", at)
+            if batch.num_rows:
+                yield _joined(batch, words, ids, path)
+
+    cut = based.select("id", F.when(~F.col("direct"), split).alias("words"), F.when(F.col("direct"), F.col("text")).alias("text"), F.spark_partition_id().alias("block"))
+    return cut.mapInArrow(join, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+
+
+def _dictionary(uri: str, block: int) -> tuple[pa.Array, pa.ListArray]:
+    """Words and ids of a block, from its bucket's folder."""
+    fs, at = pa.fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    words, ids = [pa.array([], pa.string())], [pa.array([], pa.list_(pa.int32()))]
+    for f in fs.get_file_info(pa.fs.FileSelector(at, allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                rows = pq.read_table(source, columns=["block", "words", "ids"], filters=[("block", "=", block)], use_threads=False)
+            words += [_unpack(b) for b in rows.column("words").to_pylist()]
+            ids += [_unpack_ids(b) for b in rows.column("ids").to_pylist()]
+    return pa.concat_arrays(words), pa.concat_arrays(ids)
+
+
+def _joined(batch: pa.RecordBatch, words: pa.Array, ids: pa.ListArray, path: str) -> pa.RecordBatch:
+    """A batch (id, words, text: only of rows to be encoded whole) to (id, ids), by joins of Arrow arrays."""
+    lists = batch.column(1)
+    flat = pc.dictionary_encode(lists.flatten())
+    at = pc.index_in(flat.dictionary, value_set=words)
+    found = ids.take(at)
+    if at.null_count:  # words that the dictionary lacks
+        found = _filled(found, at.is_null(), [piece_ids(tokenizer(path), w.as_py()) for w in flat.dictionary.filter(at.is_null())])
+    taken = found.take(flat.indices)
+    ends = np.concatenate(([0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    counts = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    offsets, values = ends[counts], taken.flatten()
+    texts = batch.column(2)
+    if texts.null_count < len(texts):
+        whole = [tokenizer(path).encode(t.as_py(), add_special_tokens=False).ids if t.is_valid else None for t in texts]
+        values = values.to_numpy()
+        parts = [values[offsets[k] : offsets[k + 1]] if w is None else np.array(w, np.int32) for k, w in enumerate(whole)]
+        offsets, values = np.concatenate(([0], np.cumsum([len(p) for p in parts]))), pa.array(np.concatenate(parts), pa.int32())
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["id", "ids"])
+
+
+def _filled(lists: pa.ListArray, where: pa.BooleanArray, new: list[list[int]]) -> pa.ListArray:
+    """lists with the rows marked by ``where`` replaced in turn."""
+    rows, new_rows = lists.to_pylist(), iter(new)
+    return pa.array([next(new_rows) if w else r for r, w in zip(rows, where.to_pylist(), strict=True)], lists.type)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -127,17 +203,16 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
-        n = len(table)
+        table = pa.array([*pieces(path), b""], pa.binary())
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                try:
-                    found = [table[i] for i in values]
-                except IndexError:
-                    found = [table[i] for i in values if i < n]
-                texts.append(b"".join(found).decode("utf-8", "replace"))
+            lists = batch.column(at)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            joined = table.take(pa.array(np.where((ids < 0) | (ids >= len(table)), len(table) - 1, ids)))
+            # the bytes of all pieces lie one behind the other: texts are slices of that buffer
+            starts = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+            data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
+            ends = starts[np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)]
+            texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .bpe import tokenizer
+from .bpe import piece_ids, tokenizer
 from .common import fresh_path, n_partitions, stored
 
 LENGTH, ROWS = 2048, 64
 #: Texts of these code points only are split here word by word; any other text goes to the tokenizer whole. Below U+0250 no
-#: code point composes under NFC, and lower-casing depends on no neighbour.
-_PLAIN = regex.compile(r"[\x00-įı-ɏ‐-‧€]*")
+#: code point composes under NFC, lower-casing depends on no neighbour, and but for U+001C to U+001F str.split() cuts as the
+#: tokenizer does.
+_PLAIN = regex.compile(r"[\x00-\x1b\x20-įı-ɏ‐-‧€]*")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
@@ -46,14 +48,17 @@ class WordEncoder:
     def __call__(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _WORDS.findall(text.lower())
-        new = list(set(words) - self.known.keys())
-        if new:
-            if len(self.known) > self.remember:
-                self.known, new = {}, list(set(words))
-            for w, e in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        return np.concatenate([self.known[w] for w in words]) if words else np.zeros(0, np.uint32)
+        words, known = text.lower().split(), self.known
+        for _ in range(2):
+            try:
+                return np.fromiter(chain.from_iterable([known[w] for w in words]), np.uint32)
+            except KeyError:
+                if len(known) > self.remember:
+                    known.clear()
+                for w in words:
+                    if w not in known:  # white space parts pieces, so what stands between is cut alone
+                        known[w] = tuple(chain.from_iterable(piece_ids(self.own, p) for p in _WORDS.findall(w)))
+        raise AssertionError("all words are known by now")
 
 
 @lru_cache(maxsize=2)

@@ -1,9 +1,393 @@
-"""Queries over sky catalogues and their DuckDB oracles."""
+"""Queries over sky catalogues derived from the star-schema tables, and their DuckDB oracles.
 
+Positions come from integer keys, so both engines see the same numbers: ra = (key * 7919 mod 360000) / 1000,
+dec = (key * 104729 mod 180000) / 1000 - 90. Oracles are brute force: no cover, no pruning, no chunk aggregates.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expr, text
+from ..functions import healpix as H
+from ..functions import regions as R
+from ..operators import catalog, hips, sampling
+
+TABLES = {"orders": ("o_orderkey", "o_totalprice"), "part": ("p_partkey", "p_retailprice"), "customer": ("c_custkey", "c_acctbal"), "supplier": ("s_suppkey", "s_acctbal")}
+
+
+def sky(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:
+    """row_id, ra, dec and score of a table."""
+    return positions(spark.read.parquet(f"{sf_dir}/{table}.parquet"), *TABLES[table])
+
+
+def positions(rows: DataFrame, key: str, score: str) -> DataFrame:
+    rows = rows.select(F.col(key).cast("long").alias("row_id"), F.col(score).cast("double").alias("score"))
+    ra = F.pmod(F.col("row_id") * 7919, F.lit(360000)).cast("double") / 1000.0
+    dec = F.pmod(F.col("row_id") * 104729, F.lit(180000)).cast("double") / 1000.0 - 90.0
+    return rows.select("row_id", ra.alias("ra"), dec.alias("dec"), "score")
+
+
+def hashed(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:
+    return H.with_hash(sky(spark, sf_dir, table))
+
+
+def numbered(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFrame:
+    return catalog.with_recno(hashed(spark, sf_dir, table), ["hpx29", "row_id"])
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="starloom-")
+    return f"{folder.rstrip('/')}/starloom/{uuid.uuid4().hex}/{name}"
+
+
+# --- oracle text ----------------------------------------------------------------------------------------------------
+
+
+def sky_sql(table: str = "orders") -> str:
+    key, score = TABLES[table]
+    return (
+        f"SELECT CAST({key} AS BIGINT) AS row_id, CAST(({key} * 7919) % 360000 AS DOUBLE) / 1000e0 AS ra, "
+        f"CAST(({key} * 104729) % 180000 AS DOUBLE) / 1000e0 - 90e0 AS dec, CAST({score} AS DOUBLE) AS score FROM {table}"
+    )
+
+
+def hash_sql(source: str, depth: int = 29, name: str = "hpx29", prefix: str = "k") -> str:
+    """CTEs that add the cell at a depth to the CTE ``source``; the last is ``{prefix}``."""
+    n = 1 << depth
+    p = prefix
+    steps = [
+        f"{p}0 AS (SELECT *, ra / 90e0 AS _t, radians(dec) AS _b, sin(radians(dec)) AS _z FROM {source})",
+        f"{p}1 AS (SELECT *, least(CAST(floor(_t) AS BIGINT), 3) AS _q, {n * 6.0**0.5!r}::DOUBLE * sin((pi() / 2 - abs(_b)) / 2) AS _s FROM {p}0)",
+        f"{p}2 AS (SELECT *, CASE WHEN abs(_z) <= {2 / 3!r}::DOUBLE THEN CAST(floor({n} * (0.5e0 + _t) - {0.75 * n!r}::DOUBLE * _z) AS BIGINT) ELSE least(CAST(floor((_t - _q) * _s) AS BIGINT), {n - 1}) END AS _p, "
+        f"CASE WHEN abs(_z) <= {2 / 3!r}::DOUBLE THEN CAST(floor({n} * (0.5e0 + _t) + {0.75 * n!r}::DOUBLE * _z) AS BIGINT) ELSE least(CAST(floor((1 - _t + _q) * _s) AS BIGINT), {n - 1}) END AS _m FROM {p}1)",
+        f"{p}3 AS (SELECT *, CASE WHEN abs(_z) <= {2 / 3!r}::DOUBLE THEN CASE WHEN _p >> {depth} = _m >> {depth} THEN ((_p >> {depth}) & 3) | 4 WHEN _p >> {depth} < _m >> {depth} THEN _p >> {depth} ELSE (_m >> {depth}) + 8 END WHEN _z > 0 THEN _q ELSE _q + 8 END AS _f, "
+        f"CASE WHEN abs(_z) <= {2 / 3!r}::DOUBLE THEN _m & {n - 1} WHEN _z > 0 THEN {n - 1} - _m ELSE _p END AS _x, CASE WHEN abs(_z) <= {2 / 3!r}::DOUBLE THEN {n - 1} - (_p & {n - 1}) WHEN _z > 0 THEN {n - 1} - _p ELSE _m END AS _y FROM {p}2)",
+    ]
+    last = f"{p}3"
+    for k, (shift, mask) in enumerate(H._MASKS):
+        steps.append(f"{p}{k + 4} AS (SELECT * REPLACE ((_x | (_x << {shift})) & {mask} AS _x, (_y | (_y << {shift})) & {mask} AS _y) FROM {last})")
+        last = f"{p}{k + 4}"
+    steps.append(f"{p} AS (SELECT * EXCLUDE (_t, _b, _z, _q, _s, _p, _m, _f, _x, _y), (_f << {2 * depth}) | _x | (_y << 1) AS {name} FROM {last})")
+    return ", ".join(steps)
+
+
+def with_sql(body: str, table: str = "orders", recno: bool = False) -> str:
+    """A query over the CTE c: row_id, ra, dec, score, hpx29 (and recno) of a table."""
+    c = "c AS (SELECT *" + (", row_number() OVER (ORDER BY hpx29, row_id) - 1 AS recno" if recno else "") + " FROM k)"
+    return f"WITH s AS ({sky_sql(table)}), {hash_sql('s')}, {c} {body}"
+
+
+def distance_sql(lon: float | str, lat: float | str, ra: str = "ra", dec: str = "dec") -> str:
+    return f"2 * asin(sqrt(least(1e0, pow(sin(radians({dec} - ({lat})) / 2), 2) + cos(radians({dec})) * cos(radians({lat})) * pow(sin(radians({ra} - ({lon})) / 2), 2))))"
+
+
+def ranges_sql(ranges: list[tuple[int, int]]) -> str:
+    return "(" + " OR ".join(f"(hpx29 >= {a} AND hpx29 < {b})" for a, b in ranges) + ")"
+
+
+def convex_sql(vertices: list[tuple[float, float]]) -> str:
+    """Sign tests of a convex polygon whose vertices run anticlockwise seen from outside the sphere."""
+    import numpy as np
+
+    v = R._vector(*np.radians(np.array(vertices)).T)
+    tests = []
+    for a, b in zip(v, np.roll(v, -1, axis=0), strict=True):
+        n = np.cross(a, b)
+        tests.append(f"({float(n[0])!r}::DOUBLE * cos(radians(dec)) * cos(radians(ra)) + {float(n[1])!r}::DOUBLE * cos(radians(dec)) * sin(radians(ra)) + {float(n[2])!r}::DOUBLE * sin(radians(dec)) >= 0)")
+    return "(" + " AND ".join(tests) + ")"
+
+
+# --- regions --------------------------------------------------------------------------------------------------------
+
+CONVEX = [(10.0, -10.0), (60.0, -5.0), (50.0, 30.0), (20.0, 25.0)]
+BOX = R.Polygon.from_box(150, 10, 12, 5, 30)
+BORDERED = R.Ranges.cell(3, 100, 5)
+RANGE, LIST = R.Ranges.from_text(4, "500-700"), R.Ranges.from_text(5, "100-200, 5000+300, 9000-9001")
+MOC = R.moc_from_text("3/1-10,50 5/3000-3400")
+NAMED = R.jname_zone("J0830+41", epsilon=2.5)
+
+
+def _ellipse_sql() -> str:
+    import math
+
+    s0, c0, sp, cp = math.sin(math.radians(20)), math.cos(math.radians(20)), math.sin(math.radians(40)), math.cos(math.radians(40))
+    east, north = "cos(radians(dec)) * sin(radians(ra - 90e0))", f"(sin(radians(dec)) * {c0!r}::DOUBLE - cos(radians(dec)) * {s0!r}::DOUBLE * cos(radians(ra - 90e0)))"
+    near = f"sin(radians(dec)) * {s0!r}::DOUBLE + cos(radians(dec)) * {c0!r}::DOUBLE * cos(radians(ra - 90e0)) >= 0"
+    along, across = f"({east} * {sp!r}::DOUBLE + {north} * {cp!r}::DOUBLE)", f"({east} * {cp!r}::DOUBLE - {north} * {sp!r}::DOUBLE)"
+    return f"({near} AND pow({along} / sin(radians(15)), 2) + pow({across} / sin(radians(6)), 2) <= 1)"
+
+
+REGIONS: dict[str, tuple[R.Region, str]] = {
+    "cone": (R.Cone(120, 30, 12), f"{distance_sql(120, 30)} <= radians(12)"),
+    "ring": (R.Ring(200, -40, 5, 15), f"{distance_sql(200, -40)} BETWEEN radians(5) AND radians(15)"),
+    "ellipse": (R.EllipticalCone(90, 20, 15, 6, 40), _ellipse_sql()),
+    "zone": (R.Zone(30, -20, 75.5, 33.3), "ra BETWEEN 30 AND 75.5e0 AND dec BETWEEN -20 AND 33.3e0"),
+    "zone_wrap": (R.Zone(350.5, -10, 20.5, 45), "(ra >= 350.5e0 OR ra <= 20.5e0) AND dec BETWEEN -10 AND 45"),
+    "jname_zone": (NAMED, f"ra BETWEEN {NAMED.lon_min!r}::DOUBLE AND {NAMED.lon_max!r}::DOUBLE AND dec BETWEEN {NAMED.lat_min!r}::DOUBLE AND {NAMED.lat_max!r}::DOUBLE"),
+    "box": (BOX, convex_sql(BOX.vertices[::-1])),
+    "polygon": (R.Polygon(CONVEX), convex_sql(CONVEX)),
+    "polygon_complement": (R.Polygon(CONVEX, complement=True), f"NOT {convex_sql(CONVEX)}"),
+    "hpx_cell": (R.Ranges.cell(3, 100), "hpx29 >> 52 = 100"),
+    "hpx_cell_border": (BORDERED, ranges_sql(BORDERED.ranges)),
+    "hpx_range": (RANGE, "hpx29 >> 50 BETWEEN 500 AND 699"),
+    "hpx_ranges": (LIST, "(hpx29 >> 48 BETWEEN 100 AND 199 OR hpx29 >> 48 BETWEEN 5000 AND 5299 OR hpx29 >> 48 = 9000)"),
+    "moc_filter": (MOC, "(hpx29 >> 52 BETWEEN 1 AND 10 OR hpx29 >> 52 = 50 OR hpx29 >> 48 BETWEEN 3000 AND 3400)"),
+    "stcs_and_not": (R.parse_stcs("Intersection ICRS (Circle 100 10 25 Not (Circle 105 12 8))"), f"{distance_sql(100, 10)} <= radians(25) AND NOT {distance_sql(105, 12)} <= radians(8)"),
+}
+
+
+def _region(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: R.select(hashed(spark, d), REGIONS[name][0]).select("row_id", "ra", "dec")
+
+
+def _cone_pruned(spark, d):
+    """A cone over a sorted catalogue on disk: the cover's ranges are pushed to the scan."""
+    stored = catalog.sort_catalogue(sky(spark, d), shared_path(spark, "sorted"))
+    return R.select(stored, REGIONS["cone"][0]).select("row_id", "ra", "dec", "recno")
+
+
+# --- the other operators ---------------------------------------------------------------------------------------------
+
+
+def _nan_rule(spark, d):
+    rows = sky(spark, d).withColumn("ra", F.when(F.pmod("row_id", F.lit(10)) == 0, F.lit(float("nan"))).otherwise(F.col("ra")))
+    return H.with_hash(rows, "hpx", 9).select("row_id", "hpx")
+
+
+def _equal_chunks(spark, d):
+    """Of each depth-2 cell ten chunks of equal count, the row picked in each: below the middle first, nearest to it first."""
+    rows = numbered(spark, d).withColumn("cell", H.parent(F.col("hpx29"), 29, 2))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("recno").alias("start"))
+    cut = rows.join(cells, "cell").withColumn("chunk", sampling.chunk_of(F.col("recno"), F.col("start"), F.col("n"), F.lit(10)))
+    bound = lambda k: F.col("start") + F.floor(k * F.col("n") / 10).cast("long")
+    key = sampling.middle_key(F.col("recno"), bound(F.col("chunk")), bound(F.col("chunk") + 1))
+    picks = cut.groupBy("cell", "chunk").agg(F.min(F.struct(key.alias("k"), F.col("recno").alias("r"), F.col("row_id").alias("i"))).alias("m"))
+    return picks.select("cell", "chunk", F.col("m.r").alias("recno"), F.col("m.i").alias("row_id"))
+
+
+def _mean(spark, d):
+    out = catalog.mean_centre(sky(spark, d).where("ra < 100 and dec > 0"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("lon", "lat", "max_distance")])
+
+
+def _with_depth(df: DataFrame) -> DataFrame:
+    return df.select("row_id", F.col("depth").cast("int").alias("depth"))
+
+
+def _first_layers(spark, d):
+    """Case C of the budget for n1 = 100, r21 = 3: picks of layers 1 and 2."""
+    rows = numbered(spark, d)
+    budget = hips.Budget.of(catalog.n_nonempty(rows).first()["n_cells"], 100, 3)
+    return hips.first_layers(rows, rows.count(), budget)
+
+
+def _layer3(spark, d):
+    rows, _ = hips.next_layer(_first_layers(spark, d), 3, 20)
+    return _with_depth(rows.where("depth is not null"))
+
+
+def _two_layers(spark, d):
+    return hips.case_b(numbered(spark, d), 4)
+
+
+def _budget(spark, d):
+    n = catalog.n_nonempty(hashed(spark, d)).select(F.col("n_cells").alias("covered"))
+    n12 = F.floor(F.lit(3000 * 4) * F.col("covered") / 192)
+    return n.select("covered", n12.cast("long").alias("n12"), F.floor(n12 / 4).cast("long").alias("n1"), (n12 - F.floor(n12 / 4)).cast("long").alias("n2"))
+
+
+def _built(spark, d):
+    stored = catalog.sort_catalogue(sky(spark, d), shared_path(spark, "sorted"))
+    layers, _ = hips.build(stored, "score", 100, 3, 20)
+    return layers
+
+
+def _csv_lines(spark, d):
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", F.concat("c_mktsegment", F.lit(', "x"  ')).alias("odd"))
+    return text.lines(rows)
+
+
+def _metadata_merge(spark, d):
+    """Column attributes of a table, filled by position from a second description where they are empty."""
+    from ..sources import metadata
+
+    own = spark.createDataFrame([(0, "ID", "i64", None, None, None), (1, "RA", "f64", "deg", None, ""), (2, "DEC", "f64", None, "pos.eq.dec", None)], "idx int, name string, type string, unit string, ucd string, desc string")
+    other = spark.createDataFrame([(0, "ident", None, "meta.id", "identifier"), (1, "ra", "rad", "pos.eq.ra", "right ascension"), (2, "dec", "deg", "x", None)], "idx int, name string, unit string, ucd string, desc string")
+    return metadata.merge_frames(own, other)
+
+
+def _expr_score(spark, d):
+    rows = sky(spark, d)
+    return rows.select("row_id", F.round(expr.number(rows, "score > 100000 ? ra * 2 + abs(dec) : cavg(ra, dec)"), 6).alias("value"))
+
+
+def _expr_filter(spark, d):
+    rows = sky(spark, d)
+    return rows.where(expr.boolean(rows, "(ra > 100 && dec <= 20) || !(score < 150000)")).select("row_id")
+
+
+def _cavg(spark, d):
+    rows = sky(spark, d).withColumns({"a": F.when(F.pmod("row_id", F.lit(3)) == 0, F.lit(float("nan"))).otherwise(F.col("ra")), "b": F.when(F.pmod("row_id", F.lit(5)) == 0, F.lit(None)).otherwise(F.col("dec"))})
+    return rows.select("row_id", F.round(expr.number(rows, "cavg(a, b)"), 6).alias("value")).where(~F.isnan("value"))
+
+
+def _pick_excluding(spark, d):
+    return sampling.pick_excluding(numbered(spark, d), 50, F.pmod("recno", F.lit(3)) == 0, "score")
+
+
+def _anti(spark, d):
+    rows = numbered(spark, d)
+    taken = sampling.systematic(rows, 4).select("recno")
+    return rows.join(taken, "recno", "left_anti").select("row_id", "recno")
+
+
+def _unsorted(spark, d):
+    rows = hashed(spark, d).withColumn("recno", F.col("row_id"))
+    return catalog.unsorted_rows(rows, "recno", blocks=1000).select("row_id")
+
+
+def _fits(spark, d):
+    """The catalogue of ``part`` written as a FITS file of several parts and read again through the data source."""
+    from ..sources import fits
+
+    path = shared_path(spark, "part.fits")
+    rows = sky(spark, d, "part")
+    fits.write(rows.withColumn("tag", F.concat(F.lit("p"), F.col("row_id").cast("string"))), path)
+    return fits.read(spark, path).select("row_id", "ra", "dec", "score", "tag")
+
+
+def _stream_counts(spark, d):
+    """The count map kept by a stream that watches a folder of catalogue files."""
+    from ..streaming import counts
+
+    return counts.run_once(spark, f"{d}/orders.parquet", lambda rows: H.with_hash(positions(rows, *TABLES["orders"])), 4)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _region(name) for name in REGIONS}
+    for depth in (0, 3, 9, 29):
+        out[f"hpx_hash_d{depth}"] = lambda s, d, depth=depth: H.with_hash(sky(s, d), "hpx", depth).select("row_id", "hpx")
+    deep = lambda s, d: numbered(s, d)
+    out |= {
+        "hpx_parent": lambda s, d: hashed(s, d).select("row_id", H.parent(F.col("hpx29"), 29, 5).alias("cell")),
+        "zuniq": lambda s, d: hashed(s, d).select("row_id", H.zuniq(9, H.parent(F.col("hpx29"), 29, 9)).alias("zuniq")),
+        "radec_nan_rule": _nan_rule,
+        "cone_pruned": _cone_pruned,
+        "cone_limit": lambda s, d: R.select(hashed(s, d), R.Cone(120, 30, 25)).orderBy("hpx29", "row_id").limit(20).select("row_id", "hpx29"),
+        "multicone_semi": lambda s, d: catalog.multicone(hashed(s, d), sky(s, d, "supplier").select(((F.col("ra") + 11) % 360).alias("ra"), "dec"), 3.0).select("row_id"),
+        "count_map": lambda s, d: catalog.count_map(hashed(s, d), 4),
+        "cumulative_index_implicit": lambda s, d: catalog.cumulative_index(hashed(s, d), 3, implicit=True),
+        "cumulative_index_explicit": lambda s, d: catalog.cumulative_index(hashed(s, d), 5),
+        "nonempty_cells": lambda s, d: catalog.n_nonempty(hashed(s, d)),
+        "subcell_coverage": lambda s, d: catalog.subcell_coverage(hashed(s, d), 2),
+        "sorted_check": _unsorted,
+        "recno": lambda s, d: numbered(s, d).select("row_id", "recno"),
+        "moc_build": lambda s, d: catalog.moc(hashed(s, d).where("row_id % 7 < 2"), 4),
+        "coverage_fraction": lambda s, d: catalog.coverage(catalog.moc(hashed(s, d).where("row_id % 7 < 2"), 4)),
+        "mean_center": _mean,
+        "systematic_sample": lambda s, d: sampling.systematic(deep(s, d), 4).select("row_id", "recno"),
+        "chunk_min_score": lambda s, d: sampling.pick_per_chunk(deep(s, d), 50, "score"),
+        "chunk_middle": lambda s, d: sampling.pick_per_chunk(deep(s, d), 50),
+        "equal_chunk_pick": _equal_chunks,
+        "pick_excluding": _pick_excluding,
+        "anti_selected": _anti,
+        "hips_budget": _budget,
+        "hips_case_a": lambda s, d: _with_depth(hips.build(numbered(s, d, "supplier"))[0]),
+        "hips_case_b": lambda s, d: _with_depth(_two_layers(s, d)),
+        "hips_case_b_score": lambda s, d: _with_depth(hips.case_b(numbered(s, d), 4, "score")),
+        "hips_case_c_layers12": lambda s, d: _with_depth(_first_layers(s, d).where("depth is not null")),
+        "hips_layer3": _layer3,
+        "hips_tile_stats": lambda s, d: hips.tile_stats(_two_layers(s, d)),
+        "hips_tile": lambda s, d: _two_layers(s, d).where((F.col("depth") == 2) & (H.parent(F.col("hpx29"), 29, 2) == 37)).select("row_id", "recno"),
+        "hips_allsky": lambda s, d: _two_layers(s, d).where("depth = 1").select("row_id", "recno"),
+        "hips_build": lambda s, d: _with_depth(_built(s, d)),
+        "hips_list": lambda s, d: hips.tile_stats(_built(s, d)).withColumn("zuniq", H.zuniq(F.col("depth"), F.col("cell"))).orderBy("zuniq"),
+        "concat_tables": lambda s, d: sky(s, d).unionAll(sky(s, d, "part")).select("row_id", "ra", "dec"),
+        "expr_score": _expr_score,
+        "expr_filter": _expr_filter,
+        "cavg": _cavg,
+        "csv_ints_strings": _csv_lines,
+        "metadata_merge": _metadata_merge,
+        "fits_round_trip": _fits,
+        "stream_count_map": _stream_counts,
+    }
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {name: with_sql(f"SELECT row_id, ra, dec FROM c WHERE {test}") for name, (_, test) in REGIONS.items()}
+    for depth in (0, 3, 9, 29):
+        out[f"hpx_hash_d{depth}"] = f"WITH s AS ({sky_sql()}), {hash_sql('s', depth, 'hpx')} SELECT row_id, hpx FROM k"
+    numbered_c = lambda body: with_sql(body, recno=True)
+    index = "SELECT cell, CAST(coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_start, n FROM m"
+    moc = "m AS (SELECT DISTINCT hpx29 >> 50 AS cell FROM c WHERE row_id % 7 < 2), g AS (SELECT cell, cell - row_number() OVER (ORDER BY cell) AS island FROM m), r AS (SELECT min(cell) << 50 AS \"start\", (max(cell) + 1) << 50 AS \"end\" FROM g GROUP BY island)"
+    # picks of case C, layers 1 and 2, with n1 = 100 and r21 = 3
+    picks = (
+        "b AS (SELECT CAST(ceil(count(*) / (400 * count(DISTINCT hpx29 >> 54) // 192)) AS BIGINT) AS size, count(*) AS total FROM c), "
+        "p AS (SELECT recno // size AS chunk, (recno // size * size + least((recno // size + 1) * size, total)) // 2 AS mid FROM c, b GROUP BY ALL), "
+        "l AS (SELECT c.*, CASE WHEN p.chunk IS NULL THEN NULL WHEN p.chunk % 4 = 0 THEN 1 ELSE 2 END AS depth FROM c LEFT JOIN p ON c.recno = p.mid)"
+    )
+    layer3 = (
+        f", {picks}, cells AS (SELECT hpx29 >> 52 AS cell, count(*) AS n, min(recno) AS start, count(depth) AS taken, greatest(1, count(DISTINCT hpx29 >> 46) * 20 // 64) AS sel FROM l GROUP BY 1), "
+        "m AS (SELECT l.*, n, start, sel, n - taken <= 3 * sel // 2 AS leaf, list_max(list_filter(range(0, sel), k -> start + k * n // sel <= recno)) AS chunk FROM l JOIN cells ON l.hpx29 >> 52 = cells.cell), "
+        "o AS (SELECT *, (start + chunk * n // sel + start + (chunk + 1) * n // sel) // 2 AS mid FROM m), "
+        "w AS (SELECT *, row_number() OVER (PARTITION BY start, chunk, depth IS NULL ORDER BY recno >= mid, abs(recno - mid)) AS rank FROM o) "
+        "SELECT row_id, CAST(CASE WHEN depth IS NOT NULL THEN depth ELSE 3 END AS INTEGER) AS depth FROM w WHERE depth IS NOT NULL OR leaf OR rank = 1"
+    )
+    two = "l AS (SELECT *, CASE WHEN recno % 4 = 0 THEN 1 ELSE 2 END AS depth FROM c)"
+    tiles = " UNION ALL ".join(f"SELECT {d} AS depth, hpx29 >> {58 - 2 * d} AS cell, CAST(sum(CASE WHEN depth <= {d} THEN 1 ELSE 0 END) AS BIGINT) AS cumul_count, count(*) AS tot_count FROM l GROUP BY 2 HAVING bool_or(depth = {d})" for d in (1, 2))
+    nan_case = "CASE WHEN row_id % 10 = 0 THEN CAST(0 AS BIGINT) ELSE hpx END"
+    out |= {
+        "hpx_parent": with_sql("SELECT row_id, hpx29 >> 48 AS cell FROM c"),
+        "zuniq": with_sql("SELECT row_id, (((hpx29 >> 40) << 1) | 1) << 40 AS zuniq FROM c"),
+        "radec_nan_rule": f"WITH s AS ({sky_sql()}), {hash_sql('s', 9, 'hpx')} SELECT row_id, {nan_case} AS hpx FROM k",
+        "cone_pruned": numbered_c(f"SELECT row_id, ra, dec, recno FROM c WHERE {REGIONS['cone'][1]}"),
+        "cone_limit": with_sql(f"SELECT row_id, hpx29 FROM c WHERE {distance_sql(120, 30)} <= radians(25) ORDER BY hpx29, row_id LIMIT 20"),
+        "multicone_semi": f"WITH s AS ({sky_sql()}), p AS (SELECT (ra + 11) % 360 AS lo, dec AS la FROM ({sky_sql('supplier')})) SELECT row_id FROM s WHERE EXISTS (SELECT 1 FROM p WHERE {distance_sql('lo', 'la')} <= radians(3))",
+        "count_map": with_sql("SELECT hpx29 >> 50 AS cell, count(*) AS n FROM c GROUP BY 1"),
+        "cumulative_index_implicit": with_sql(
+            f", m AS (SELECT r.cell, count(c.row_id) AS n FROM (SELECT unnest(range(0, 769)) AS cell) r LEFT JOIN c ON c.hpx29 >> 52 = r.cell GROUP BY 1) {index}"
+        ),
+        "cumulative_index_explicit": with_sql(f", m AS (SELECT hpx29 >> 48 AS cell, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT {H.n_cells(5)}, 0) {index}"),
+        "nonempty_cells": with_sql("SELECT count(DISTINCT hpx29 >> 54) AS n_cells FROM c"),
+        "subcell_coverage": with_sql("SELECT hpx29 >> 54 AS cell, count(DISTINCT hpx29 >> 48) AS cov3 FROM c GROUP BY 1"),
+        "sorted_check": with_sql("SELECT row_id FROM (SELECT row_id, hpx29, lag(hpx29) OVER (ORDER BY row_id) AS before FROM c) WHERE hpx29 < before"),
+        "recno": numbered_c("SELECT row_id, recno FROM c"),
+        "moc_build": with_sql(f', {moc} SELECT "start", "end" FROM r'),
+        "coverage_fraction": with_sql(f', {moc} SELECT CAST(sum("end" - "start") AS DOUBLE) / {float(H.n_cells(29))!r}::DOUBLE AS sky_fraction FROM r'),
+        "mean_center": f"WITH s AS (SELECT * FROM ({sky_sql()}) WHERE ra < 100 AND dec > 0), m AS (SELECT avg(cos(radians(dec)) * cos(radians(ra))) AS x, avg(cos(radians(dec)) * sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM s), "
+        f"q AS (SELECT degrees(atan2(y, x)) AS lo, degrees(atan2(z, sqrt(x * x + y * y))) AS la FROM m) SELECT round(min(lo), 6) AS lon, round(min(la), 6) AS lat, round(degrees(max({distance_sql('lo', 'la')})), 6) AS max_distance FROM s, q",
+        "systematic_sample": numbered_c("SELECT row_id, recno FROM c WHERE recno % 4 = 0"),
+        "chunk_min_score": numbered_c("SELECT recno // 50 AS chunk, arg_min(recno, (score, recno)) AS recno FROM c GROUP BY 1"),
+        "chunk_middle": numbered_c("SELECT recno // 50 AS chunk, (recno // 50 * 50 + max(recno) + 1) // 2 AS recno FROM c GROUP BY 1"),
+        "equal_chunk_pick": numbered_c(
+            ", m AS (SELECT hpx29 >> 54 AS cell, count(*) AS n, min(recno) AS start FROM c GROUP BY 1), q AS (SELECT cell, k AS chunk, start + k * n // 10 AS a, start + (k + 1) * n // 10 AS b FROM m, (SELECT unnest(range(0, 10)) AS k)), "
+            "o AS (SELECT cell, chunk, recno, row_id, row_number() OVER (PARTITION BY cell, chunk ORDER BY recno >= (a + b) // 2, abs(recno - (a + b) // 2)) AS rank FROM q JOIN c ON recno >= a AND recno < b) SELECT cell, chunk, recno, row_id FROM o WHERE rank = 1"
+        ),
+        "pick_excluding": numbered_c("SELECT recno // 50 AS chunk, arg_min(recno, (score, recno)) AS recno FROM c WHERE recno % 3 <> 0 GROUP BY 1"),
+        "anti_selected": numbered_c("SELECT row_id, recno FROM c WHERE recno % 4 <> 0"),
+        "hips_budget": with_sql(", m AS (SELECT count(DISTINCT hpx29 >> 54) AS covered FROM c) SELECT covered, 12000 * covered // 192 AS n12, (12000 * covered // 192) // 4 AS n1, 12000 * covered // 192 - (12000 * covered // 192) // 4 AS n2 FROM m"),
+        "hips_case_a": with_sql("SELECT row_id, CAST(1 AS INTEGER) AS depth FROM c", "supplier"),
+        "hips_case_b": numbered_c(f", {two} SELECT row_id, CAST(depth AS INTEGER) AS depth FROM l"),
+        "hips_case_b_score": numbered_c("SELECT row_id, CAST(CASE WHEN row_number() OVER (PARTITION BY recno // 4 ORDER BY score, recno) = 1 THEN 1 ELSE 2 END AS INTEGER) AS depth FROM c"),
+        "hips_case_c_layers12": numbered_c(f", {picks} SELECT row_id, CAST(depth AS INTEGER) AS depth FROM l WHERE depth IS NOT NULL"),
+        "hips_layer3": numbered_c(layer3),
+        "hips_tile_stats": numbered_c(f", {two} {tiles}"),
+        "hips_tile": numbered_c(f", {two} SELECT row_id, recno FROM l WHERE depth = 2 AND hpx29 >> 54 = 37"),
+        "hips_allsky": numbered_c(f", {two} SELECT row_id, recno FROM l WHERE depth = 1"),
+        "concat_tables": f"SELECT row_id, ra, dec FROM ({sky_sql()}) UNION ALL SELECT row_id, ra, dec FROM ({sky_sql('part')})",
+        "expr_score": f"SELECT row_id, round(CASE WHEN score > 100000 THEN ra * 2 + abs(dec) ELSE (ra + dec) / 2 END, 6) AS value FROM ({sky_sql()})",
+        "expr_filter": f"SELECT row_id FROM ({sky_sql()}) WHERE (ra > 100 AND dec <= 20) OR NOT score < 150000",
+        "cavg": f"SELECT row_id, round(CASE WHEN row_id % 3 = 0 THEN dec WHEN row_id % 5 = 0 THEN ra ELSE (ra + dec) / 2 END, 6) AS value FROM ({sky_sql()}) WHERE row_id % 15 <> 0",
+        "csv_ints_strings": "SELECT concat_ws(',', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR), '\"' || c_mktsegment || ', \"\"x\"\"\"') AS line FROM customer",
+        "metadata_merge": "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'ID', 'i64', NULL, 'meta.id', 'identifier'), (1, 'RA', 'f64', 'deg', 'pos.eq.ra', 'right ascension'), (2, 'DEC', 'f64', 'deg', 'pos.eq.dec', NULL)) t(idx, name, type, unit, ucd, \"desc\")",
+        "fits_round_trip": f"SELECT row_id, ra, dec, score, 'p' || CAST(row_id AS VARCHAR) AS tag FROM ({sky_sql('part')})",
+        "stream_count_map": with_sql("SELECT hpx29 >> 50 AS cell, count(*) AS n FROM c GROUP BY 1"),
+    }
+    return out
