@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, let, stored
+from .common import SPACE, components, let, stored, unused
 
 #: Edits that still make two lines the same; lines of fewer characters are left alone, as so few edits could change their sense.
 EDITS, LEAST = 2, 32
@@ -166,12 +166,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names and order, and none of docs' other columns is looked at.
     """
     gone = stored(removals(docs, id_col, text_col, edits, least).where(F.size("removed") > 0), "removed")
-    side = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
+    key, hashed, lost = unused(docs, "_id", "_th", "_removed")
+    side = gone.select(F.col("id").alias(key), F.col("th").alias(hashed), F.col("removed").alias(lost))
     side = F.broadcast(side) if gone.count() <= BROADCAST_ROWS // 8 else side
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_th"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
+    match = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed))
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
     out = docs.join(side, match, "left")
-    return out.select(*[(F.when(F.col("_removed").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    return out.select(*[(F.when(F.col(lost).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

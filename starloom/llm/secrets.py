@@ -106,6 +106,11 @@ class Automaton:
         at = {q: i for i, q in enumerate(red)}
         self.moves = [{c: (at[step[q][c]], log2(passed[q][c] / count[q]) - log2(_SIZES.get(c, 1))) for c in step[q] if passed[q][c]} for q in red]
         self.stop = [log2(ends[q] / count[q]) if ends[q] else -inf for q in red]
+        for i, q in enumerate(red):  # a class that no sample has here goes where the likeliest one goes, as the next sample might have it
+            known = [self.moves[i][c] for c in _SIZES if c in self.moves[i]]
+            if known:
+                to = max(known, key=lambda move: move[1])[0]
+                self.moves[i] |= {c: (to, -log2(count[q] + 2) - log2(n)) for c, n in _SIZES.items() if c not in self.moves[i]}
 
     def bits(self, symbols: str) -> float:
         q, total = 0, 0.0
@@ -178,11 +183,14 @@ def scan(text: str, formats: Formats, least: float = 0.4) -> tuple[list[tuple[in
     for m in _CANDIDATE.finditer(text):
         value = m[0]
         start = m.start() + (value.rfind("=", 0, len(value) - 2) + 1 if "=" in value[:-2] else 0)  # what follows a name= is the value
-        value = text[start : m.end()].rstrip(".-=")
-        if len(value) >= 16 and not value.isalpha():
-            best = formats.best(value)
-            if best and best[1] >= least:
-                learned.append((start, 3, start + len(value), best[0]))
+        value = text[start : m.end()]
+        found = None
+        for form in dict.fromkeys((value, value.rstrip(".-="))):  # signs at the end may belong to the sentence
+            best = formats.best(form) if len(form) >= 16 and not form.isalpha() else None
+            if best and best[1] >= least and (found is None or best[1] > found[1]):
+                found = (*best, len(form))
+        if found:
+            learned.append((start, 3, start + found[2], found[0]))
     return sorted(base), sorted(learned)
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, stored, unused
 
 TILE = 8192
 #: Tables of up to this many single longs are broadcast.
@@ -46,14 +46,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint's bit pattern as a signed long. Null text: as an empty one."""
+    """(id, th, fp) of every row: th is a hash of the text, fp the fingerprint's bit pattern as a signed long. Null text: as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
 
 
 def _stars(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -139,6 +140,14 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> Data
     return keyed.groupBy("x", "y").applyInArrow(run, "a long, b long")
 
 
+def _groups(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Of stored (id, th, fp): one row per distinct fingerprint (fp, id: the least, head: the first row by id, null last, and th), and the roots (fp, root) of linked ones."""
+    head = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("id"), F.min(head).alias("head"), F.count(F.lit(1)).alias("n")), "distinct")
+    links = stored(fingerprint_links(distinct, radius), "links")
+    return distinct, stored(components(links).withColumnRenamed("node", "fp"), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One row per row of docs: (id, fp, component_id), the smallest id whose fingerprint is reachable by links.
 
@@ -147,40 +156,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns of docs are not looked at.
     """
     fps = stored(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    links = stored(fingerprint_links(distinct, radius), "links")
-    roots = components(links)
+    distinct, roots = _groups(fps, radius)
     # most fingerprints have no link: only linked ones are joined with their roots
-    named = roots.join(distinct.select(F.col("fp").alias("node"), "id"), "node")
+    named = roots.join(distinct.select("fp", "id"), "fp")
     least = named.groupBy("root").agg(F.min("id").alias("component"))
-    by_fp = stored(named.join(least, "root").select(F.col("node").alias("fp"), "component"), "components")
+    by_fp = stored(named.join(least, "root").select("fp", "component"), "components")
     least_of = distinct.join(by_fp, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(least_of, "fp", "left").select("id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the least id (null last), then text hash, stays.
+    """The rows of docs without near duplicates: of each component the first row by id (null last) and hash of the text stays.
 
-    Of rows equal in id and text one stays. Columns are docs' own.
+    Of rows equal in id and text one stays; rows of one id but different texts are different documents. Null and empty texts are
+    near duplicates of each other. Columns are docs' own.
     """
-    near = near_duplicates(docs, id_col, text_col, radius, width)
-    heads = near.select("id", "component_id").distinct()
-    groups = stored(heads, "heads")
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lost = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    lost = stored(lost, "lost")
-    side = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost
-    kept = docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    # ids that several rows have: seldom any; their rows alone are dealt by id
-    many = stored(docs.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min(text_hash).alias("_least")).where("_n > 1"), "many")
-    n = many.count()
-    if not n:
+    fps = stored(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
+    distinct, roots = _groups(fps, radius)
+    linked = roots.join(distinct, "fp")
+    heads = stored(linked.join(linked.groupBy("root").agg(F.min("head").alias("first")), "root").select("fp", F.col("first").alias("head")), "heads")
+    several = distinct.where("n > 1").join(heads, "fp", "left_anti").select("fp", "head").unionAll(heads)
+    key, hashed = unused(docs, "_id", "_th")
+    same = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))
+    of_groups = stored(fps.join(several, "fp").groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"), F.max(same).alias("same")), "of_groups")
+    sides = {"lost": of_groups.where("not same"), "repeated": of_groups.where("same and n > 1")}
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(hashed))
+    sizes = {name: side.count() for name, side in sides.items()}
+    for name, side in sides.items():
+        side = side.select(F.col("id").alias(key), F.col("th").alias(hashed))
+        sides[name] = F.broadcast(side) if sizes[name] <= BROADCAST_ROWS else side
+    kept = docs.join(sides["lost"], on, "left_anti")
+    if not sizes["repeated"]:
         return kept
-    side = F.broadcast(many) if n <= BROADCAST_ROWS else many
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    single = kept.join(side, on, "left_anti")
-    multiple = kept.join(side, on).where(text_hash == F.col("_least")).drop("_id", "_n", "_least").dropDuplicates([id_col])
-    return single.unionAll(multiple)
+    # the same row several times over: seldom any, and only their rows are dealt
+    again = kept.join(sides["repeated"], on).dropDuplicates([key, hashed]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(sides["repeated"], on, "left_anti").unionAll(again)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
