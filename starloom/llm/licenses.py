@@ -146,3 +146,35 @@ def document_path() -> Column:
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"), document_path())
     return found.withColumnRenamed("id", "doc_id")
+
+
+def _oracle_sql() -> str:
+    """DuckDB text of op10: all units against all templates as vectors of rows."""
+    known, unknown = template_terms()
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    table = ", ".join(f"({quoted(t)}, {idf!r}::DOUBLE, {k}, {quoted(name)}, {w!r}::DOUBLE)" for t, idf, k, name, w in known)
+    marked = lambda c: "(" + " OR ".join(f"contains(lower({c}), {quoted(m)})" for m in MARKERS) + ")"
+    n_words = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+    part = lambda c: f"coalesce({c}, 'none')"
+    return f"""
+WITH k(term, idf, template, license, weight) AS (VALUES {table}),
+t AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+p AS (SELECT *, concat_ws('/', {part('source')}, {part('lang')}, CAST(CAST(floor(doc_id / 64) AS BIGINT) AS VARCHAR), CASE WHEN {marked('text')} AND {n_words} <= 60 THEN 'LICENSE-' ELSE 'text-' END || coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt') AS path FROM t),
+f AS (SELECT *, trim(regexp_replace(path, '[^/]*$', ''), '/') AS dir, regexp_matches(regexp_replace(path, '^.*/', ''), '(?i)^(licen[sc]e|copying|copyright|notice|unlicense)') AS is_file FROM p),
+u AS (SELECT DISTINCT r, u FROM (SELECT r, unnest(string_split(text, chr(10))) AS u FROM f UNION ALL SELECT r, text FROM f WHERE is_file) WHERE {marked('u')}),
+x AS (SELECT r, u, term, 1 + ln(count(*)) AS tf FROM (SELECT r, u, unnest(regexp_extract_all(lower(u), '{_TERM}')) AS term FROM u) GROUP BY ALL),
+i AS (SELECT DISTINCT term, idf FROM k),
+w AS (SELECT r, u, x.term, tf * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM x LEFT JOIN i ON x.term = i.term),
+n AS (SELECT r, u, sqrt(sum(w * w)) AS norm FROM w GROUP BY r, u),
+s AS (SELECT w.r, template, license, round(sum(w.w * k.weight) / any_value(n.norm), 6) AS score FROM w JOIN k ON w.term = k.term JOIN n ON w.r = n.r AND w.u = n.u GROUP BY w.r, w.u, template, license),
+b AS (SELECT r, arg_max(license, (score, -template)) AS license, max(score) AS score FROM s WHERE score >= {THRESHOLD}::DOUBLE GROUP BY r),
+m AS (SELECT f.r, doc_id, path, dir, is_file, license, score FROM f LEFT JOIN b ON f.r = b.r),
+h AS (SELECT dir, arg_max(license, (score, license)) AS license, max(score) AS score FROM m WHERE is_file AND license IS NOT NULL GROUP BY dir),
+a AS (SELECT d.dir, arg_max(h.dir, length(h.dir)) AS up, arg_max(h.license, length(h.dir)) AS license, arg_max(h.score, length(h.dir)) AS score FROM (SELECT DISTINCT dir FROM m) d JOIN h ON h.dir = '' OR h.dir = d.dir OR starts_with(d.dir, h.dir || '/') GROUP BY d.dir)
+SELECT doc_id, path, coalesce(m.license, a.license) AS license, coalesce(m.score, a.score) AS score,
+       CASE WHEN m.license IS NOT NULL AND is_file THEN 'file' WHEN m.license IS NOT NULL THEN 'header' WHEN a.license IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN m.license IS NOT NULL THEN m.dir ELSE a.up END AS from_dir
+FROM m LEFT JOIN a ON m.dir = a.dir
+"""
+
+
+ORACLE_SQL = _oracle_sql()

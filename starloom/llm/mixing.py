@@ -130,3 +130,20 @@ def op2_mix(spark, sf_dir: str) -> DataFrame:
     sized = sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     out = with_copies(sized, plan_mix(sized), "id", "source")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3e0, 1e0, 2e0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+-- the level of the water: caps below it are full, the others share the rest by weight
+r AS (SELECT a.source_size * 2e0 / a.w AS ratio, (SELECT sum(source_size) * 1.5e0 FROM s) - coalesce(sum(b.source_size * 2e0) FILTER (b.source_size * 2e0 / b.w < a.source_size * 2e0 / a.w), 0) AS rest,
+             sum(b.w) FILTER (b.source_size * 2e0 / b.w >= a.source_size * 2e0 / a.w) AS weight FROM s a, s b GROUP BY a.source, a.source_size, a.w),
+l AS (SELECT arg_min(rest / weight, ratio) AS level FROM r WHERE rest / weight <= ratio),
+t AS (SELECT source, source_size, CASE WHEN source_size * 2e0 < w * level THEN source_size * 2e0 ELSE w * coalesce(level, 0) END AS target FROM s LEFT JOIN l ON true),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole, greatest(0, target - whole * source_size) AS rest FROM t),
+b AS (SELECT source, h, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS c FROM d GROUP BY source, h)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN whole < 2 AND (c <= rest OR c - s <= rest AND c - rest < rest - (c - s)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.h = b.h
+"""

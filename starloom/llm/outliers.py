@@ -164,4 +164,69 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
+def _oracle_sql() -> str:
+    """DuckDB text of op1: words and windows as rows, each concentration step as common table expressions."""
+    d, key = range(len(NAMES)), "level, a, b"
+    cells = [(i, j) for i in d for j in range(i + 1)]
+    fields = ", ".join([*(f"m{i}" for i in d), *(f"l{i}{j}" for i, j in cells)])
+    squared = lambda p="": ", ".join(
+        [f"({NAMES[i]} - {p}m{i}" + "".join(f" - {p}l{i}{k} * z{k}" for k in range(i)) + f") / {p}l{i}{i} AS z{i}" for i in d] + [" + ".join(f"z{i} * z{i}" for i in d) + " AS d2"]
+    )
+    quantised = "CAST(floor(256 * ln(1 + d2)) AS BIGINT) AS q"
+
+    def moments(rows: str, by: str, where: str) -> str:
+        sums = ", ".join([*(f"sum({NAMES[i]}) AS s{i}" for i in d), *(f"sum({NAMES[i]} * {NAMES[j]}) AS s{i}_{j}" for i, j in cells)])
+        steps = [f"s{i} / n AS m{i}" for i in d]
+        for i in d:
+            for j in range(i + 1):
+                cov = f"s{i}_{j} / n - m{i} * m{j}" + (f" + {(FLOORS[i] * SCALE) ** 2!r}::DOUBLE" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+                steps.append(f"sqrt(greatest({cov}, 1e0)) AS l{i}{j}" if i == j else f"({cov}) / l{j}{j} AS l{i}{j}")
+        logdet = " + ".join(f"ln(l{i}{i})" for i in d)
+        return f"SELECT {by}, {', '.join(steps)}, {logdet} AS logdet FROM (SELECT {by}, CAST(count(*) AS DOUBLE) AS n, {sums} FROM {rows} WHERE {where} GROUP BY {by})"
+
+    word = r"[^\x20\x09-\x0D]+"
+    only = lambda chars: f"CAST(length(regexp_replace(text, '[^{chars}]+', '', 'g')) AS BIGINT)"
+    raw = ("ln((word_chars + 1) / greatest(n_words, 1))", "sqrt(n_symbols / greatest(n_words, 1))", "sqrt(n_dup_lines / greatest(n_lines, 1))", "sqrt(n_repeat_words / greatest(n_words, 1))", "sqrt(n_upper / greatest(word_chars, 1))")
+    known = lambda c: f"coalesce('=' || {c}, 'null')"
+    keys = [(known("lang"), known("source")), (known("lang"), "''"), ("''", "''")]
+    parts = [
+        "t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents)",
+        f"w AS (SELECT *, regexp_extract_all(text, '{word}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM t)",
+        "u AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w)",
+        "v AS (SELECT r, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY r ORDER BY i))",
+        "c AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS n FROM v WHERE z IS NOT NULL)",
+        "p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM c, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r)",
+        "g AS (SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, "
+        f"{only('#*$%&|<>')} AS n_symbols, {only('A-ZÀ-ÖØ-Þ')} AS n_upper, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN p USING (r))",
+        "f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, " + ", ".join(f"CAST(round({x} * {SCALE}) AS BIGINT) AS {n}" for x, n in zip(raw, NAMES, strict=True)) + " FROM g)",
+        "e AS (" + " UNION ALL ".join(f"SELECT {k} AS level, {a} AS a, {b} AS b, {', '.join(NAMES)} FROM f WHERE NOT base_failed" for k, (a, b) in enumerate(keys)) + ")",
+        f"med AS (SELECT {key}, " + ", ".join(f"quantile_cont({n}, 0.5) AS c{i}" for i, n in enumerate(NAMES)) + f" FROM e GROUP BY {key} HAVING count(*) >= {MIN_ROWS})",
+        f"spr AS (SELECT {key}, " + ", ".join(f"quantile_cont(abs({n} - c{i}), 0.5) AS d{i}" for i, n in enumerate(NAMES)) + f" FROM e JOIN med USING ({key}) GROUP BY {key})",
+        f"zs AS (SELECT {key}, {', '.join(NAMES)}, " + ", ".join(f"abs({n} - c{i}) / (1.4826::DOUBLE * d{i} + {FLOORS[i] * SCALE!r}::DOUBLE) AS z{i}" for i, n in enumerate(NAMES)) + f" FROM e JOIN med USING ({key}) JOIN spr USING ({key}))",
+        f"q0 AS (SELECT {key}, 0 AS start, {', '.join(NAMES)}, " + " + ".join(f"z{i} * z{i}" for i in d) + f" AS d2, {quantised} FROM zs UNION ALL SELECT {key}, 1, {', '.join(NAMES)}, pow(greatest(" + ", ".join(f"z{i}" for i in d) + f"), 2) AS d2, {quantised} FROM zs)",
+    ]
+    for step in range(STEPS + 1):
+        if step:
+            parts.append(f"q{step} AS (SELECT {key}, start, {', '.join(NAMES)}, {squared()}, {quantised} FROM e JOIN f{step - 1} USING ({key}))")
+        parts.append(f"h{step} AS (SELECT {key}, start, quantile_cont(q, {SUPPORT}::DOUBLE) AS most FROM q{step} GROUP BY {key}, start)")
+        parts.append(f"f{step} AS ({moments(f'q{step} JOIN h{step} USING ({key}, start)', f'{key}, start', 'q <= most')})")
+    parts.append(f"best AS (SELECT {key}, arg_min(start, (logdet, start)) AS start FROM f{STEPS} GROUP BY {key})")
+    parts.append(f"raw0 AS (SELECT {key}, {fields} FROM f{STEPS} JOIN best USING ({key}, start))")
+    for name, source in (("raw", "raw0"), ("re", "near")):
+        if name == "re":
+            parts.append(f"far AS (SELECT {key}, {', '.join(NAMES)}, scale, {squared()} FROM e JOIN raw USING ({key}))")
+            parts.append(f"near AS ({moments('far', key, f'd2 <= scale * {CHI2_975}::DOUBLE')})")
+        parts.append(f"{name}q AS (SELECT {key}, {squared()}, {quantised} FROM e JOIN {source} USING ({key}))")
+        parts.append(f"{name} AS (SELECT {key}, {fields}, scale FROM {source} JOIN (SELECT {key}, greatest(1e0, (exp(quantile_cont(q, 0.5) / 256) - 1) / {CHI2_MEDIAN}::DOUBLE) AS scale FROM {name}q GROUP BY {key}) USING ({key}))")
+    chosen = ", ".join(f"CASE WHEN k0.scale IS NOT NULL THEN k0.{c} WHEN k1.scale IS NOT NULL THEN k1.{c} ELSE k2.{c} END AS {c}" for c in [*(x.strip() for x in fields.split(",")), "scale"])
+    joins = " ".join(f"LEFT JOIN re k{k} ON k{k}.level = {k} AND k{k}.a = {a} AND k{k}.b = {b}" for k, (a, b) in enumerate(keys))
+    parts.append(f"o AS (SELECT f.*, {chosen} FROM f {joins})")
+    parts.append(f"r AS (SELECT *, {squared()}, CASE WHEN NOT base_failed THEN d2 / scale END AS dist FROM o)")
+    out = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(dist, 0) <= {CHI2_CUT}::DOUBLE AS kept, round(dist, 6) AS distance FROM r"
+    return f"WITH {', '.join(parts)} {out}"
+
+
+ORACLE_SQL = _oracle_sql()
