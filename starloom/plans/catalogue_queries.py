@@ -335,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
     )
     layer3 = (
         f", {picks}, cells AS (SELECT hpx29 >> 52 AS cell, count(*) AS n, min(recno) AS start, count(depth) AS taken, greatest(1, count(DISTINCT hpx29 >> 46) * 20 // 64) AS sel FROM l GROUP BY 1), "
-        "m AS (SELECT l.*, n, start, sel, n - taken <= 3 * sel // 2 AS leaf, list_max(list_filter(range(0, sel), k -> start + k * n // sel <= recno)) AS chunk FROM l JOIN cells ON l.hpx29 >> 52 = cells.cell), "
+        "m AS (SELECT l.*, n, start, sel, n - taken <= 3 * sel // 2 AS leaf, list_max(list_filter(range(0, sel), lambda k: start + k * n // sel <= recno)) AS chunk FROM l JOIN cells ON l.hpx29 >> 52 = cells.cell), "
         "o AS (SELECT *, (start + chunk * n // sel + start + (chunk + 1) * n // sel) // 2 AS mid FROM m), "
         "w AS (SELECT *, row_number() OVER (PARTITION BY start, chunk, depth IS NULL ORDER BY recno >= mid, abs(recno - mid)) AS rank FROM o) "
         "SELECT row_id, CAST(CASE WHEN depth IS NOT NULL THEN depth ELSE 3 END AS INTEGER) AS depth FROM w WHERE depth IS NOT NULL OR leaf OR rank = 1"
