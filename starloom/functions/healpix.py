@@ -61,7 +61,9 @@ def with_hash(df: DataFrame, name: str = "hpx29", depth: int = MAX_DEPTH, lon: s
         spread = lambda c: F.col(c).bitwiseOR(F.shiftleft(F.col(c), shift)).bitwiseAND(F.lit(mask))  # noqa: B023, E731
         out = out.withColumns({"_h_x": spread("_h_x"), "_h_y": spread("_h_y")})
     code = F.shiftleft(F.col("_h_f"), 2 * depth).bitwiseOR(F.col("_h_x")).bitwiseOR(F.shiftleft(F.col("_h_y"), 1))
-    out = out.withColumn(name, F.when(F.col("_h_bad"), F.lit(0)).otherwise(code).cast("long"))
+    # a term that counts as non-deterministic keeps filters above the hash: pushed below, each of their comparisons would repeat it
+    once = F.spark_partition_id() < 0
+    out = out.withColumn(name, F.when(F.col("_h_bad") | once, F.lit(0)).otherwise(code).cast("long"))
     return out.drop(*[c for c in out.columns if c.startswith("_h_")])
 
 

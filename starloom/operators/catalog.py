@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import healpix as H
 from ..functions import regions as R
+from .shared import stored
 
 
 def sort_catalogue(df: DataFrame, path: str, lon: str = "ra", lat: str = "dec", tie: str = "row_id", partitions: int | None = None) -> DataFrame:
@@ -20,29 +21,33 @@ def sort_catalogue(df: DataFrame, path: str, lon: str = "ra", lat: str = "dec",
     keyed = H.with_hash(df, "hpx29", H.MAX_DEPTH, lon, lat)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = keyed.repartitionByRange(n, "hpx29", tie).sortWithinPartitions("hpx29", tie)
-    place = F.monotonically_increasing_id()
-    part.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    _placed(part).write.parquet(path)
     return read_catalogue(spark, path)
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue that sort_catalogue wrote; one small row per part is broadcast to number the rows."""
-    rows = spark.read.parquet(path)
+    return _numbered(spark.read.parquet(path), "recno")
+
+
+def _placed(part: DataFrame) -> DataFrame:
+    """part with each row's partition and its place there."""
+    place = F.monotonically_increasing_id()
+    return part.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of _placed() that were written, numbered by adding the sizes of the parts before."""
     sizes = rows.groupBy("_part").count()
     before = F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_part").withColumn("recno", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_part", "_at", "_start")
 
 
 def with_recno(df: DataFrame, by: list[str | Column], name: str = "recno") -> DataFrame:
-    """df numbered from 0 in the order of ``by``, through sizes of range parts; for small or already cached inputs."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*by)) - 1
-    sizes = part.groupBy("_part").count()
-    starts = sizes.select("_part", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return part.withColumn("_at", at).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_part", "_at", "_start")
+    """df numbered from 0 in the order of ``by``. The sorted parts are written first: dealt again, their borders could differ."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _numbered(stored(_placed(df.repartitionByRange(n, *by).sortWithinPartitions(*by)), "sorted"), name)
 
 
 def count_map(df: DataFrame, depth: int, cell: str = "hpx29") -> DataFrame:

@@ -7,7 +7,6 @@ shared folder after each level, which cuts lineage and survives lost executors.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import healpix as H
 from . import catalog, sampling
+from .shared import stored
 
 
 @dataclass(frozen=True)
@@ -38,19 +38,6 @@ def case_of(n_rows: int, budget: Budget) -> str:
     return "A" if n_rows <= 3 * budget.n1 // 2 else "B" if n_rows <= 3 * budget.n12 // 2 else "C"
 
 
-def _shared(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="starloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/starloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def case_b(df: DataFrame, step: int, score: str | None = None) -> DataFrame:
     """df with depth 1 for one row of every ``step`` and 2 for the others."""
     if not score:
@@ -115,11 +102,11 @@ def build(df: DataFrame, score: str | None = None, n1: int = 3000, r21: int = 3,
     if case == "B":
         return case_b(df, budget.step, score), leaf(2)
     narrow = df.select("recno", "hpx29", *([F.col(score).cast("double").alias("_score")] if score else []))
-    active = _shared(first_layers(narrow, n_rows, budget, "_score" if score else None), "layers12")
+    active = stored(first_layers(narrow, n_rows, budget, "_score" if score else None), "layers12")
     done, leaves = [], []
     for depth in range(3, H.MAX_DEPTH + 1):
         rows, cells = next_layer(active, depth, n_tot, "_score" if score else None)
-        rows = _shared(rows, f"layer{depth}")
+        rows = stored(rows, f"layer{depth}")
         leaves.append(cells.where("leaf").select(F.lit(depth).alias("depth"), "cell"))
         done.append(rows.where("_leaf").select("recno", "depth"))
         active = rows.where("not _leaf").drop("_leaf")

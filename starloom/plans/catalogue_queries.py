@@ -6,8 +6,6 @@ dec = (key * 104729 mod 180000) / 1000 - 90. Oracles are brute force: no cover,
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from ..functions import expr, text
 from ..functions import healpix as H
 from ..functions import regions as R
 from ..operators import catalog, hips, sampling
+from ..operators.shared import shared_path
 
 TABLES = {"orders": ("o_orderkey", "o_totalprice"), "part": ("p_partkey", "p_retailprice"), "customer": ("c_custkey", "c_acctbal"), "supplier": ("s_suppkey", "s_acctbal")}
 
@@ -41,11 +40,6 @@ def numbered(spark: SparkSession, sf_dir: str, table: str = "orders") -> DataFra
     return catalog.with_recno(hashed(spark, sf_dir, table), ["hpx29", "row_id"])
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="starloom-")
-    return f"{folder.rstrip('/')}/starloom/{uuid.uuid4().hex}/{name}"
-
-
 # --- oracle text ----------------------------------------------------------------------------------------------------
 
 
@@ -130,7 +124,7 @@ REGIONS: dict[str, tuple[R.Region, str]] = {
     "zone": (R.Zone(30, -20, 75.5, 33.3), "ra BETWEEN 30 AND 75.5e0 AND dec BETWEEN -20 AND 33.3e0"),
     "zone_wrap": (R.Zone(350.5, -10, 20.5, 45), "(ra >= 350.5e0 OR ra <= 20.5e0) AND dec BETWEEN -10 AND 45"),
     "jname_zone": (NAMED, f"ra BETWEEN {NAMED.lon_min!r}::DOUBLE AND {NAMED.lon_max!r}::DOUBLE AND dec BETWEEN {NAMED.lat_min!r}::DOUBLE AND {NAMED.lat_max!r}::DOUBLE"),
-    "box": (BOX, convex_sql(BOX.vertices[::-1])),
+    "box": (BOX, convex_sql(BOX.vertices)),
     "polygon": (R.Polygon(CONVEX), convex_sql(CONVEX)),
     "polygon_complement": (R.Polygon(CONVEX, complement=True), f"NOT {convex_sql(CONVEX)}"),
     "hpx_cell": (R.Ranges.cell(3, 100), "hpx29 >> 52 = 100"),
