@@ -92,9 +92,15 @@ def _unpack_ids(blob: bytes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(body[n + 1 :].astype(np.int32)))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Words that are joined with their ids at once; memory per task stays bounded for any length of texts.
+SLICE_WORDS = 500_000
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id, ids: array<int>) for every row of docs, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
+    With ``decoded``, a column text holds what decode() makes of the ids; it is joined on in the same pass and worker.
+
     Null and empty texts have no ids; repeated rows stay repeated; null ids are kept. A text that holds an added token or a
     code point that the JVM's Unicode tables do not know is encoded whole in its own row's task, with the same result. So is
     a word that the dictionary at hand lacks, should a recomputed scan be cut into partitions differently.
@@ -144,11 +150,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if batch.num_rows and batch.column(3)[0].as_py() != at:
                 at = batch.column(3)[0].as_py()
                 words, ids = _dictionary(f"{uri}/bucket={at % parts}", at)
-            if batch.num_rows:
-                yield _joined(batch, words, ids, path)
+            for part in _slices(batch):
+                out = _joined(part, words, ids, path)
+                yield _decoded(out, 1, path) if decoded else out
 
     cut = based.select("id", F.when(~F.col("direct"), split).alias("words"), F.when(F.col("direct"), F.col("text")).alias("text"), F.spark_partition_id().alias("block"))
-    return cut.mapInArrow(join, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return cut.mapInArrow(join, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>{', text string' if decoded else ''}")
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows that hold about SLICE_WORDS words each, or one row."""
+    ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_WORDS, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _dictionary(uri: str, block: int) -> tuple[pa.Array, pa.ListArray]:
@@ -199,31 +217,40 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """
     if "text" in encoded.columns:
         raise ValueError("there is a column named text already")
-    names = encoded.columns
-    at = names.index(ids_col)
+    at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array([*pieces(path), b""], pa.binary())
         for batch in batches:
-            lists = batch.column(at)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            joined = table.take(pa.array(np.where((ids < 0) | (ids >= len(table)), len(table) - 1, ids)))
-            # the bytes of all pieces lie one behind the other: texts are slices of that buffer
-            starts = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
-            data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
-            ends = starts[np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)]
-            texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "text"])
+            yield _decoded(batch, at, path)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, text string")
 
 
+@lru_cache(maxsize=2)
+def _piece_table(path: str) -> pa.BinaryArray:
+    """The bytes of each id, and nothing for ids outside the vocabulary behind them."""
+    return pa.array([*pieces(path), b""], pa.binary())
+
+
+def _decoded(batch: pa.RecordBatch, at: int, path: str) -> pa.RecordBatch:
+    """The batch with a column text behind: pieces joined on by id, and joined by position."""
+    table, lists = _piece_table(path), batch.column(at)
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = table.take(pa.array(np.where((ids < 0) | (ids >= len(table)), len(table) - 1, ids)))
+    # the bytes of all pieces lie one behind the other: texts are slices of that buffer
+    starts = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+    data = memoryview(joined.buffers()[2]) if len(joined) and joined.buffers()[2] else memoryview(b"")
+    ends = starts[np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)]
+    texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+
+
 def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    out = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
