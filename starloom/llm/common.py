@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +70,24 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fold_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after joining i and j: minimum labels spread until nothing changes."""
+    while True:
+        low = np.minimum(parent[i], parent[j])
+        new = parent.copy()
+        np.minimum.at(new, parent[i], low)
+        np.minimum.at(new, parent[j], low)
+        new = new[new]
+        while True:
+            again = new[new]
+            if (again == new).all():
+                break
+            new = again
+        if (new == parent).all() and (new[i] == new[j]).all():
+            return new
+        parent = new
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of links (a, b: long), root the smallest node reachable.
 
@@ -76,7 +95,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain. No group is gathered in one task:
     minima are aggregates with map-side combining, and joins on a hot hub are left to AQE's skew handling.
     """
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = state(edges)
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
@@ -87,10 +108,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small, "small")
-        change = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not change:
+        edges, after = small, state(small)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

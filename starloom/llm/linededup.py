@@ -2,8 +2,11 @@
 
 A line of length l is cut into threshold + 1 even segments. Two lines within the threshold share a segment whose place
 differs only by what the edits around it allow, so each line is looked up, for every length it may match, at the few
-positions left by the multi-match-aware bounds. Lookups are equi-joins of 64-bit keys (length, segment, substring's hash)
-over distinct lines; candidates are verified by a banded bit-parallel edit distance, many pairs at a time.
+positions left by the multi-match-aware bounds. Lookups are semi-joins of 64-bit keys (length, segment, substring's hash)
+over distinct lines: they leave the lines that share a key with another one, never pairs. The lines of a key are cut into
+tiles of bounded size, and each pair of tiles is compared in one task by a banded bit-parallel edit distance, many pairs
+at a time. A pair that shares several keys is compared at the first only, so links are counted exactly; a task gives one
+row per linked line: its number of links and the root of a spanning star, so output is linear in a key's lines.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, let, stored, unused
+from .common import SPACE, components, fold_labels, let, stored, unused
 
 #: Edits that still make two lines the same; lines of fewer characters are left alone, as so few edits could change their sense.
 EDITS, LEAST = 2, 32
-#: Tables of up to this many rows of two or three longs are broadcast.
-BROADCAST_ROWS = 200_000
+#: Lines of a key in a tile, for each of its two sides.
+TILE = 1024
+#: Tables of up to this many rows of two or three longs are broadcast; and those of lists of up to so many line numbers in all.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 20_000
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -46,14 +51,14 @@ def _lookups(edits: int) -> list[tuple[int, int, int]]:
 
 
 def line_keys(line: Column, edits: int = EDITS) -> Column:
-    """Array of the keys of all lookups of a line, in the order of _lookups."""
+    """Array of the keys of all lookups of a line, in the order of _lookups; a key's last two bits are the segment's number modulo 4."""
 
     def keys(x: Column) -> Column:
         out = []
         for less, i, shift in _lookups(edits):
             length = F.length(x) - less
             start, size = _segments(length, edits)[i]
-            out.append(F.xxhash64(F.lit(i), length, F.substr(x, start + shift, size)))
+            out.append(F.xxhash64(F.lit(i), length, F.substr(x, start + shift, size)).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(i % 4)))
         return F.array(*out)
 
     return let(line, keys)
@@ -113,25 +118,138 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     return cut.select("id", "th", "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
 
 
-def edit_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Links (a, b: hashes of lines) between all different lines (h, line) within ``edits`` edits."""
+def _pairs(probers: list[str], owners: list[str], segment: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs to compare at a key of this segment (modulo 4): of the lookups that find the owner, this is the first."""
+    lookups, known = _lookups(edits), {}
+
+    def place(length: int) -> list[tuple[int, int]]:
+        small, short = length // (edits + 1), edits + 1 - length % (edits + 1)
+        return [(i * small + max(0, i - short), small + (i >= short)) for i in range(edits + 1)]
+
+    def code(i: int, length: int, part: str) -> int:
+        return known.setdefault((i, length, part), len(known))
+
+    own = np.empty((len(owners), edits + 1), np.int64)
+    for k, x in enumerate(owners):
+        own[k] = [code(i, len(x), x[at : at + size]) for i, (at, size) in enumerate(place(len(x)))]
+    asked = np.empty((len(probers), len(lookups)), np.int64)
+    for k, x in enumerate(probers):
+        places = {less: place(len(x) - less) for less in range(edits + 1)}
+        asked[k] = [code(i, len(x) - less, x[at : at + size]) for less, i, shift in lookups for at, size in [(places[less][i][0] + shift, places[less][i][1])]]
+    open_, here = np.ones((len(probers), len(owners)), bool), np.zeros((len(probers), len(owners)), bool)
+    for j, (_, i, _) in enumerate(lookups):
+        same = open_ & (asked[:, j, None] == own[None, :, i])
+        if i % 4 == segment:
+            here |= same
+        open_ &= ~same
+    return np.nonzero(here)
+
+
+class _Comparer:
+    """Gathers the pairs of one tile after another and compares many at once; ``add`` and ``close`` give (line, root, number of links) arrays."""
+
+    def __init__(self, edits: int, pairs: int = 16_384, chars: int = 8_000_000):
+        self.edits, self.most_pairs, self.most_chars = edits, pairs, chars
+        self._clear()
+
+    def _clear(self):
+        self.hashes: list[np.ndarray] = []
+        self.lines: list[str] = []
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+        self.pairs = self.chars = 0
+
+    def add(self, h: np.ndarray, owns: np.ndarray, lines: list[str], segment: int) -> list[tuple]:
+        p, o = np.flatnonzero(~owns), np.flatnonzero(owns)
+        i, j = _pairs([lines[k] for k in p], [lines[k] for k in o], segment, self.edits)
+        a, b = p[i], o[j]
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        # lines of one length find each other: the one with the lesser hash asks
+        keep = (h[a] != h[b]) & ((sizes[a] != sizes[b]) | (h[a] < h[b]))
+        if keep.any():
+            at = len(self.lines)
+            self.left.append(a[keep] + at)
+            self.right.append(b[keep] + at)
+            self.hashes.append(h)
+            self.lines += lines
+            self.pairs += int(keep.sum())
+            self.chars += int(sizes.sum())
+        return self.close() if self.pairs >= self.most_pairs or self.chars >= self.most_chars else []
+
+    def close(self) -> list[tuple]:
+        if not self.pairs:
+            return []
+        a, b, lines = np.concatenate(self.left), np.concatenate(self.right), self.lines
+        near = np.zeros(len(a), bool)
+        for at in range(0, len(a), 65536):
+            near[at : at + 65536] = within([lines[k] for k in a[at : at + 65536].tolist()], [lines[k] for k in b[at : at + 65536].tolist()], self.edits)
+        distinct, at = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        a, b = at[a[near]], at[b[near]]
+        counts = np.bincount(a, minlength=len(distinct)) + np.bincount(b, minlength=len(distinct))
+        labels = fold_labels(np.arange(len(distinct)), a, b)
+        linked = np.flatnonzero(counts)
+        self._clear()
+        return [(distinct[linked], distinct[labels[linked]], counts[linked])]
+
+
+def _compared(edits: int):
+    """A function for mapInArrow over rows (key, o, a, h, own, line), those of a tile one behind the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comparer, held, at = _Comparer(edits), None, None
+        give = lambda found: [pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in x], ["h", "root", "n"]) for x in found]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, o, a, h, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            lines = batch.column(5).to_pylist()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (o[1:] != o[:-1]) | (a[1:] != a[:-1])) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                now = (int(key[x]), int(o[x]), int(a[x]))
+                if now == at:  # the tile goes on from the batch before
+                    held = (np.concatenate([held[0], h[x:y]]), np.concatenate([held[1], own[x:y]]), held[2] + lines[x:y])
+                else:
+                    if held:
+                        yield from give(comparer.add(*held, at[0] & 3))
+                    held, at = (h[x:y], own[x:y].astype(bool), lines[x:y]), now
+        if held:
+            yield from give(comparer.add(*held, at[0] & 3))
+        yield from give(comparer.close())
+
+    return run
+
+
+def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFrame:
+    """Rows (h, root, n) of different lines (h, line) within ``edits`` edits of others: n sums up to a line's links, roots join what is linked.
+
+    Tiles are compared one behind the other within a partition, so that small ones share the vectorised steps.
+    """
     lookups = _lookups(edits)
-    own = [k for k, (less, _, shift) in enumerate(lookups) if less == 0 and shift == 0]
-    keyed = stored(lines.groupBy("h").agg(F.first(line_keys(F.col("line"), edits)).alias("keys")), "keys")
-    probes = keyed.select(F.explode("keys").alias("key"), F.col("h").alias("a"))
-    index = keyed.select(F.explode(F.array(*[F.get("keys", F.lit(k)) for k in own])).alias("key"), F.col("h").alias("b"))
-    pairs = stored(probes.join(index, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = stored(pairs.select(F.col("a").alias("h")).unionAll(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
+    names = [f"k{k}" for k in range(len(lookups))]
+    own = [name for name, (less, _, shift) in zip(names, lookups, strict=True) if less == 0 and shift == 0]
+    every = lines.select("h", line_keys(F.col("line"), edits).alias("keys")).select("h", *[F.get("keys", F.lit(k)).alias(name) for k, name in enumerate(names)])
+    keyed = stored(every.groupBy("h").agg(*[F.max(name).alias(name) for name in names]), "keys")
+    probes = keyed.select(F.explode(F.array(*names)).alias("key"), "h")
+    index = keyed.select(F.explode(F.array(*own)).alias("key"), "h")
+    other = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")), "left_semi")
+    asking = other(probes, index).distinct().select("key", "h", F.lit(False).alias("own"))
+    members = stored(asking.unionAll(other(index, probes).select("key", "h", F.lit(True).alias("own"))), "members")
+    # keys with more lines than a tile holds are few: (lines over tile size) of them at most
+    many = members.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("owners"), F.count(F.when(~F.col("own"), 1)).alias("askers")).where((F.col("owners") > tile) | (F.col("askers") > tile))
+    many = stored(many.select(F.col("key").alias("_key"), F.ceil(F.col("owners") / tile).cast("int").alias("_o"), F.ceil(F.col("askers") / tile).cast("int").alias("_a")), "many")
+    side = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    tiles = lambda c: F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1)
+    mine = lambda c: F.array(F.pmod(F.xxhash64("h"), F.coalesce(F.col(c), F.lit(1))).cast("int"))
+    dealt = members.join(side, F.col("key") == F.col("_key"), "left").select(
+        "key", "h", "own", F.explode(F.when(F.col("own"), mine("_o")).otherwise(tiles("_o"))).alias("o"), "_a"
+    )
+    dealt = dealt.select("key", "h", "own", "o", F.explode(F.when(F.col("own"), tiles("_a")).otherwise(mine("_a"))).alias("a"))
+    wanted = stored(members.select("h").distinct(), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = stored(lines.select("h", "line").join(side, "h", "left_semi").dropDuplicates(["h"]), "texts")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(near))
 
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    rows = dealt.join(texts, "h").select("key", "o", "a", "h", "own", "line")
+    return rows.repartition("key", "o", "a").sortWithinPartitions("key", "o", "a").mapInArrow(_compared(edits), "h long, root long, n long")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -141,11 +259,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     last; all others go. n_links counts the links of the row's distinct lines to different lines.
     """
     lines = lines_of(docs, id_col, text_col, least)
-    links = stored(edit_links(lines.select("h", "line"), edits, least), "links")
-    roots = stored(components(links), "roots")
+    found = stored(edit_links(lines.select("h", "line"), edits), "links")
+    roots = stored(components(found.select(F.col("h").alias("a"), F.col("root").alias("b"))), "roots")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "line_no")
     per_line = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "per_line")
-    degree = links.select(F.col("a").alias("h")).unionAll(links.select(F.col("b").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("degree"))
+    degree = found.groupBy("h").agg(F.sum("n").alias("degree"))
     joined = per_line.join(roots.withColumnRenamed("node", "h"), "h", "left")
     linked = joined.where("root is not null")
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
@@ -168,7 +286,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stored(removals(docs, id_col, text_col, edits, least).where(F.size("removed") > 0), "removed")
     key, hashed, lost = unused(docs, "_id", "_th", "_removed")
     side = gone.select(F.col("id").alias(key), F.col("th").alias(hashed), F.col("removed").alias(lost))
-    side = F.broadcast(side) if gone.count() <= BROADCAST_ROWS // 8 else side
+    numbers = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("n")).first()["n"]
+    side = F.broadcast(side) if numbers <= BROADCAST_NUMBERS else side
     match = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed))
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
     out = docs.join(side, match, "left")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, unused
+from .common import components, fold_labels, stored, unused
 
 TILE = 8192
 #: Tables of up to this many single longs are broadcast.
@@ -75,33 +75,15 @@ def _stars(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
             left.append(i[keep])
             right.append(j[keep])
         if sum(map(len, left)) > 4_000_000:  # fold what is found so far into the labels, so that memory stays bounded
-            parent = _fold(parent, np.concatenate(left), np.concatenate(right))
+            parent = fold_labels(parent, np.concatenate(left), np.concatenate(right))
             left, right = [], []
     if left:
-        parent = _fold(parent, np.concatenate(left), np.concatenate(right))
+        parent = fold_labels(parent, np.concatenate(left), np.concatenate(right))
     values = a if same else np.concatenate([a, b])
     moved = np.nonzero(parent != np.arange(len(parent)))[0]
     return np.stack([values[moved], values[parent[moved]]], axis=1)
 
 
-def _fold(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after joining i and j: minimum labels spread until nothing changes."""
-    while True:
-        low = np.minimum(parent[i], parent[j])
-        new = parent.copy()
-        np.minimum.at(new, parent[i], low)
-        np.minimum.at(new, parent[j], low)
-        new = new[new]
-        while True:
-            again = new[new]
-            if (again == new).all():
-                break
-            new = again
-        if (new == parent).all() and (new[i] == new[j]).all():
-            return new
-        parent = new
-
-
 def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
     """Links (a, b: fingerprints as longs) that span every component of the distinct fingerprints in fps (fp: long)."""
     high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))

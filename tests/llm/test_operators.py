@@ -197,6 +197,18 @@ def test_op5_special_tokens_and_odd_splits(spark):
     assert got == {k: own.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
 
 
+def test_op5_decode_alone_and_in_slices(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, [15496, 995, 50256], "x"), (2, None, None), (3, [], "y"), (4, [-1, 60000, 128], "z")]
+    got = {r["k"]: r["text"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>, other string"), path).collect()}
+    assert got[1] == "Hello world<|endoftext|>" and got[2] == got[3] == "" and got[4] == bpe.tokenizer(path).decode([128], skip_special_tokens=False)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "words": [["a"] * 5, None, ["b"] * 9, []]})
+    monkeypatch.setattr(bpe, "SLICE_WORDS", 6)
+    assert [b.column(0).to_pylist() for b in bpe._slices(batch)] == [[1, 2], [3], [4]]
+
+
 def test_op6_round_trip(spark, odd_dir):
     seen = {}
     for r, row in zip(rows_of(media.op6_media(spark, odd_dir), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"), [None] * 99, strict=False):
@@ -268,6 +280,20 @@ def test_op8_equals_brute_force(spark):
         assert texts[d] == "\n".join(x for n, x in enumerate(lines[d::17]) if n not in gone.get(d, ()))
 
 
+def test_op8_links_of_a_large_group_in_small_tiles(spark):
+    base = prose(1, 9).replace("\n", " ")
+    lines = sorted({base[:k] + c + base[k + 1 :] for k in range(len(base)) for c in "xy"} | {base[:k] + base[k + 1 :] for k in range(0, len(base), 3)} | {prose(k, 9).replace("\n", " ") for k in range(2, 9)})
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "h long, line string")
+    near = [[abs(len(a) - len(b)) <= 2 and brute.distance(a, b) <= 2 for b in lines] for a in lines]
+    want = [sum(row) - 1 for row in near]
+    for tile in (10, 1024):
+        found = linededup.edit_links(df, 2, tile).collect()
+        counts = brute.groups((r["h"], r["n"]) for r in found)
+        assert [sum(counts.get(k, [0])) for k in range(len(lines))] == want
+        stars = {frozenset((r["h"], r["root"])) for r in found}
+        assert brute.classes(len(lines), lambda i, j: frozenset((i, j)) in stars) == brute.classes(len(lines), lambda i, j: near[i][j])
+
+
 def test_op8_banded_distance():
     import random
 
