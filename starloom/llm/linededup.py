@@ -2,8 +2,8 @@
 
 A line of length l is cut into threshold + 1 even segments. Two lines within the threshold share a segment whose place
 differs only by what the edits around it allow, so each line is looked up, for every length it may match, at the few
-positions left by the multi-match-aware bounds. Lookups are semi-joins of 64-bit keys (length, segment, substring's hash)
-over distinct lines: they leave the lines that share a key with another one, never pairs. The lines of a key are cut into
+positions left by the multi-match-aware bounds. Lookups are 64-bit keys (length, segment, substring's hash) of
+distinct lines; an aggregate finds the keys that lines share, and a semi-join leaves their lines, never pairs. The lines of a key are cut into
 tiles of bounded size, and each pair of tiles is compared in one task by a banded bit-parallel edit distance, many pairs
 at a time. A pair that shares several keys is compared at the first only, so links are counted exactly; a task gives one
 row per linked line: its number of links and the root of a spanning star, so output is linear in a key's lines.
@@ -229,11 +229,14 @@ def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFr
     own = [name for name, (less, _, shift) in zip(names, lookups, strict=True) if less == 0 and shift == 0]
     every = lines.select("h", line_keys(F.col("line"), edits).alias("keys")).select("h", *[F.get("keys", F.lit(k)).alias(name) for k, name in enumerate(names)])
     keyed = stored(every.groupBy("h").agg(*[F.max(name).alias(name) for name in names]), "keys")
-    probes = keyed.select(F.explode(F.array(*names)).alias("key"), "h")
-    index = keyed.select(F.explode(F.array(*own)).alias("key"), "h")
-    other = lambda a, b: a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")), "left_semi")
-    asking = other(probes, index).distinct().select("key", "h", F.lit(False).alias("own"))
-    members = stored(asking.unionAll(other(index, probes).select("key", "h", F.lit(True).alias("own"))), "members")
+    asked = F.array(*[F.struct(F.col(name).alias("key"), F.lit(name in own).alias("own")) for name in names])
+    rows = keyed.select("h", F.explode(asked).alias("k")).select("k.key", "h", "k.own")
+    # keys at which some line is indexed and another one asks: most keys are of one line alone
+    shared = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("own and low <> high")
+    shared = stored(shared.select(F.col("key").alias("_key")), "shared")
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    hit = stored(rows.join(side, F.col("key") == F.col("_key"), "left_semi"), "hit")
+    members = stored(hit.select("key", "h", F.lit(False).alias("own")).distinct().unionAll(hit.where("own").select("key", "h", "own")), "members")
     # keys with more lines than a tile holds are few: (lines over tile size) of them at most
     many = members.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("owners"), F.count(F.when(~F.col("own"), 1)).alias("askers")).where((F.col("owners") > tile) | (F.col("askers") > tile))
     many = stored(many.select(F.col("key").alias("_key"), F.ceil(F.col("owners") / tile).cast("int").alias("_o"), F.ceil(F.col("askers") / tile).cast("int").alias("_a")), "many")
@@ -287,7 +290,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, hashed, lost = unused(docs, "_id", "_th", "_removed")
     side = gone.select(F.col("id").alias(key), F.col("th").alias(hashed), F.col("removed").alias(lost))
     numbers = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("n")).first()["n"]
-    side = F.broadcast(side) if numbers <= BROADCAST_NUMBERS else side
+    side = F.broadcast(side) if numbers <= BROADCAST_NUMBERS else side.hint("merge")
     match = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed))
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(F.col(lost), i)), "\n")
     out = docs.join(side, match, "left")
