@@ -170,6 +170,12 @@ def _mean(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("lon", "lat", "max_distance")])
 
 
+def _mean_all(spark, d):
+    out = catalog.mean_centre(sky(spark, d))
+    # a farthest row almost opposite the centre has a distance good to some 1e-6 degrees only
+    return out.select(F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("max_distance", 4).alias("max_distance"))
+
+
 def _with_depth(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.col("depth").cast("int").alias("depth"))
 
@@ -285,6 +291,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "moc_build": lambda s, d: catalog.moc(hashed(s, d).where("row_id % 7 < 2"), 4),
         "coverage_fraction": lambda s, d: catalog.coverage(catalog.moc(hashed(s, d).where("row_id % 7 < 2"), 4)),
         "mean_center": _mean,
+        "moc_build_all": lambda s, d: catalog.moc(hashed(s, d), 6),
+        "coverage_fraction_all": lambda s, d: catalog.coverage(catalog.moc(hashed(s, d), 6)),
+        "mean_center_all": _mean_all,
         "systematic_sample": lambda s, d: sampling.systematic(deep(s, d), 4).select("row_id", "recno"),
         "chunk_min_score": lambda s, d: sampling.pick_per_chunk(deep(s, d), 50, "score"),
         "chunk_middle": lambda s, d: sampling.pick_per_chunk(deep(s, d), 50),
@@ -321,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
     numbered_c = lambda body: with_sql(body, recno=True)
     index = "SELECT cell, CAST(coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_start, n FROM m"
     moc = "m AS (SELECT DISTINCT hpx29 >> 50 AS cell FROM c WHERE row_id % 7 < 2), g AS (SELECT cell, cell - row_number() OVER (ORDER BY cell) AS island FROM m), r AS (SELECT min(cell) << 50 AS \"start\", (max(cell) + 1) << 50 AS \"end\" FROM g GROUP BY island)"
+    moc_all = "m AS (SELECT DISTINCT hpx29 >> 46 AS cell FROM c), g AS (SELECT cell, cell - row_number() OVER (ORDER BY cell) AS island FROM m), r AS (SELECT min(cell) << 46 AS \"start\", (max(cell) + 1) << 46 AS \"end\" FROM g GROUP BY island)"
     # picks of case C, layers 1 and 2, with n1 = 100 and r21 = 3
     picks = (
         "b AS (SELECT CAST(ceil(count(*) / (400 * count(DISTINCT hpx29 >> 54) // 192)) AS BIGINT) AS size, count(*) AS total FROM c), "
@@ -357,6 +367,10 @@ def oracle_sql() -> dict[str, str]:
         "coverage_fraction": with_sql(f', {moc} SELECT CAST(sum("end" - "start") AS DOUBLE) / {float(H.n_cells(29))!r}::DOUBLE AS sky_fraction FROM r'),
         "mean_center": f"WITH s AS (SELECT * FROM ({sky_sql()}) WHERE ra < 100 AND dec > 0), m AS (SELECT avg(cos(radians(dec)) * cos(radians(ra))) AS x, avg(cos(radians(dec)) * sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM s), "
         f"q AS (SELECT degrees(atan2(y, x)) AS lo, degrees(atan2(z, sqrt(x * x + y * y))) AS la FROM m) SELECT round(min(lo), 6) AS lon, round(min(la), 6) AS lat, round(degrees(max({distance_sql('lo', 'la')})), 6) AS max_distance FROM s, q",
+        "moc_build_all": with_sql(f', {moc_all} SELECT "start", "end" FROM r'),
+        "coverage_fraction_all": with_sql(f', {moc_all} SELECT CAST(sum("end" - "start") AS DOUBLE) / {float(H.n_cells(29))!r}::DOUBLE AS sky_fraction FROM r'),
+        "mean_center_all": f"WITH s AS ({sky_sql()}), m AS (SELECT avg(cos(radians(dec)) * cos(radians(ra))) AS x, avg(cos(radians(dec)) * sin(radians(ra))) AS y, avg(sin(radians(dec))) AS z FROM s), "
+        f"q AS (SELECT (degrees(atan2(y, x)) + 360e0) % 360e0 AS lo, degrees(atan2(z, sqrt(x * x + y * y))) AS la FROM m) SELECT round(min(lo), 6) AS lon, round(min(la), 6) AS lat, round(degrees(max({distance_sql('lo', 'la')})), 4) AS max_distance FROM s, q",
         "systematic_sample": numbered_c("SELECT row_id, recno FROM c WHERE recno % 4 = 0"),
         "chunk_min_score": numbered_c("SELECT recno // 50 AS chunk, arg_min(recno, (score, recno)) AS recno FROM c GROUP BY 1"),
         "chunk_middle": numbered_c("SELECT recno // 50 AS chunk, (recno // 50 * 50 + max(recno) + 1) // 2 AS recno FROM c GROUP BY 1"),
