@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, components, fold_labels, let, stored, unused
 
-#: Edits that still make two lines the same; lines of fewer characters are left alone, as so few edits could change their sense.
+#: Edits that still make two lines the same; of lines of fewer characters only exact repeats are, as so few edits could change their sense.
 EDITS, LEAST = 2, 32
 #: Lines of a key in a tile, for each of its two sides.
 TILE = 1024
@@ -111,8 +111,8 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int, width: int)
     return dist <= edits
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, th: hash of the text, line_no, line, h: hash of the line) of all lines of ``least`` or more characters, trimmed."""
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """(id, th: hash of the text, line_no, line, h: hash of the line) of all lines of ``least`` or more characters, trimmed; 1: all with a word."""
     text = F.col(text_col).cast("string")
     cut = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
     return cut.select("id", "th", "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
@@ -258,11 +258,11 @@ def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFr
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(id, th, removed: sorted line numbers from 0, n_links) of the rows that lose lines or hold linked ones.
 
-    Lines are of one class if equal or joined by links. Of each class the first line by id, text hash and number stays, null ids
+    Lines with a word are of one class if equal or joined by links, which only lines of ``least`` or more characters have. Of each class the first line by id, text hash and number stays, null ids
     last; all others go. n_links counts the links of the row's distinct lines to different lines.
     """
-    lines = lines_of(docs, id_col, text_col, least)
-    found = stored(edit_links(lines.select("h", "line"), edits), "links")
+    lines = lines_of(docs, id_col, text_col)
+    found = stored(edit_links(lines_of(docs, id_col, text_col, least).select("h", "line"), edits), "links")
     roots = stored(components(found.select(F.col("h").alias("a"), F.col("root").alias("b"))), "roots")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "line_no")
     per_line = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "per_line")
@@ -283,7 +283,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the repeated lines taken out of the text; every row stays, also if no line is left of it.
 
-    Null texts stay null; lines under ``least`` characters stay; rows equal in id and text are treated alike; columns keep their
+    Null texts stay null; blank lines stay, and those under ``least`` characters that are no exact repeats; rows equal in id and text are treated alike; columns keep their
     names and order, and none of docs' other columns is looked at.
     """
     gone = stored(removals(docs, id_col, text_col, edits, least).where(F.size("removed") > 0), "removed")

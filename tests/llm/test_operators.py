@@ -280,6 +280,14 @@ def test_op8_equals_brute_force(spark):
         assert texts[d] == "\n".join(x for n, x in enumerate(lines[d::17]) if n not in gone.get(d, ()))
 
 
+def test_op8_removes_exact_repeats_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Menu\n\nthe cat\nMenu"), (2, "  Menu\t\n\nthe car\n\u00e9"), (3, "\u00e9\n}"), (4, "}\nmenu")], "doc_id long, text string")
+    got = {r["id"]: (list(r["removed"]), r["n_links"]) for r in linededup.removals(docs).collect() if r["removed"]}
+    assert got == {1: ([3], 0), 2: ([0], 0), 3: ([0], 0), 4: ([0], 0)}
+    texts = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert texts == {1: "Menu\n\nthe cat", 2: "\nthe car\n\u00e9", 3: "}", 4: "menu"}
+
+
 def test_op8_links_of_a_large_group_in_small_tiles(spark):
     base = prose(1, 9).replace("\n", " ")
     lines = sorted({base[:k] + c + base[k + 1 :] for k in range(len(base)) for c in "xy"} | {base[:k] + base[k + 1 :] for k in range(0, len(base), 3)} | {prose(k, 9).replace("\n", " ") for k in range(2, 9)})
