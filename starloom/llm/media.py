@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE_IN, RATE_OUT, WINDOW, HOP, MELS, FRAMES = 16_000, 8_000, 256, 128, 32, 64
-#: Samples that are resampled and framed at once: memory per task stays bounded for any length.
+#: Samples that are resampled and framed at once, besides those that the filter and the last window reach over: memory per task stays bounded for any length.
 BLOCK = 1 << 20
 
 
@@ -52,25 +52,36 @@ def _phases(up: int, down: int, half: int = 8) -> np.ndarray:
     return (h / h.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def resample(x: np.ndarray, rate_in: int, rate_out: int) -> np.ndarray:
-    """Polyphase resampling; output k lies at input time k * rate_in / rate_out, beyond the ends is silence."""
+def resample(x: np.ndarray, rate_in: int, rate_out: int, first: int = 0, last: int | None = None, scaled=lambda part: part.astype(np.float32)) -> np.ndarray:
+    """Polyphase resampling; output k lies at input time k * rate_in / rate_out, beyond the ends is silence.
+
+    Only outputs ``first`` to ``last`` are computed, from the inputs that their filters reach; ``scaled`` makes floats of these.
+    """
     g = gcd(rate_in, rate_out)
     up, down = rate_out // g, rate_in // g
-    if up == down or not len(x):
-        return x.astype(np.float32)
+    last = n_resampled(len(x), rate_in, rate_out) if last is None else last
+    if up == down or last <= first:
+        return scaled(x[first:last]).astype(np.float32)
     h = _phases(up, down)
     half = h.shape[1] // 2
-    padded = np.concatenate([np.zeros(half, np.float32), x.astype(np.float32), np.zeros(half + 1, np.float32)])
+    low, high = first * down // up - half, (last - 1) * down // up + half + 1
+    part = scaled(x[max(0, low) : high]).astype(np.float32)
+    padded = np.concatenate([np.zeros(max(0, -low), np.float32), part, np.zeros(max(0, high - max(len(x), low)), np.float32)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, h.shape[1])
-    out = np.empty(-(-len(x) * up // down), np.float32)
+    out = np.empty(last - first, np.float32)
     for phase in range(up):  # outputs k with the same phase share a filter and step evenly over the input
-        k = np.arange(phase, len(out), up)
+        k = np.arange(first + (phase - first) % up, last, up)
         if len(k):
-            at, p = k[0] * down // up, (k[0] * down) % up
-            out[k] = windows[at :: down][: len(k)] @ h[p]
+            at, p = k[0] * down // up - half - low, (k[0] * down) % up
+            out[k - first] = windows[at :: down][: len(k)] @ h[p]
     return out
 
 
+def n_resampled(n: int, rate_in: int, rate_out: int) -> int:
+    """Number of outputs of n inputs."""
+    return -(-n * rate_out // rate_in)
+
+
 @lru_cache(maxsize=8)
 def mel_bank(rate: int, window: int, mels: int) -> np.ndarray:
     """Triangular filters over the bins of a real FFT, evenly spaced on the mel scale: (bins, mels)."""
@@ -81,9 +92,14 @@ def mel_bank(rate: int, window: int, mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid))).astype(np.float32)
 
 
+def n_frames(length: int, window: int = WINDOW, hop: int = HOP) -> int:
+    """Number of frames of a stretch of samples."""
+    return max(1, -(-max(0, length - window) // hop) + 1)
+
+
 def log_mel(x: np.ndarray, rate: int, window: int = WINDOW, hop: int = HOP, mels: int = MELS) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel frames (n, mels) and each frame's energy in dB; a frame starts every ``hop`` samples, the tail is padded with silence."""
-    n = max(1, -(-max(0, len(x) - window) // hop) + 1)
+    n = n_frames(len(x), window, hop)
     x = np.pad(x, (0, max(0, (n - 1) * hop + window - len(x))))
     frames = np.lib.stride_tricks.sliding_window_view(x, window)[::hop][:n]
     taper, bank = np.hanning(window).astype(np.float32), mel_bank(rate, window, mels)
@@ -117,9 +133,11 @@ def audio_features(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]], lis
     payload, rate = from_wav(media)
     mels, energies = [], []
     samples = np.frombuffer(payload, np.uint8)
-    size = BLOCK - BLOCK % (HOP * 2)
-    for at in range(0, max(1, len(samples)), size):  # blocks start on frame borders; each is a stretch of its own
-        x = resample((samples[at : at + size].astype(np.float32) - 128) / 128, rate, RATE_OUT)
+    length = n_resampled(len(samples), rate, RATE_OUT)
+    n, size = n_frames(length), max(1, BLOCK // (HOP * 2))
+    for at in range(0, n, size):  # a block has the samples that its last windows and the filter reach, so that frames are those of the whole
+        end = min(n, at + size)
+        x = resample(samples, rate, RATE_OUT, at * HOP, min(length, (end - 1) * HOP + WINDOW), lambda part: (part.astype(np.float32) - 128) / 128)
         m, e = log_mel(x, RATE_OUT)
         mels.append(m)
         energies.append(e)
@@ -182,7 +200,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Media and features of every row: id, n_bytes, media (WAV), tensors, the tensors' time spans, active spans.
 
     Null and empty texts are 64 zero bytes; equal texts have equal values; null ids and repeated rows are kept; other columns of
-    docs are not looked at; an empty table gives an empty result. Very long texts are resampled in blocks of BLOCK samples.
+    docs are not looked at; an empty table gives an empty result. Very long texts are worked on in blocks of about BLOCK samples, with
+    the features of the whole.
     """
     return _narrow(docs, id_col, text_col).mapInArrow(encoded_batches, SCHEMA)
 

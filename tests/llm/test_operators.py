@@ -235,6 +235,24 @@ def test_op6_parts():
     assert media.tensor_array(tensors).to_numpy_ndarray().shape == tensors.shape
 
 
+def test_op6_blocks_give_the_features_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    payload = rng.integers(0, 256, 2 * media.BLOCK + 5 * 64, dtype=np.uint8)
+    payload[media.BLOCK - 3000 : media.BLOCK + 3000] //= 8
+    for rate in (media.RATE_IN, media.RATE_OUT, 11_025):
+        wav = media.to_wav(payload.tobytes(), rate)
+        got = media.audio_features(wav)
+        with monkeypatch.context() as m:
+            m.setattr(media, "BLOCK", 1 << 40)
+            want = media.audio_features(wav)
+        assert got[0].shape == want[0].shape and np.abs(got[0] - want[0]).max() < 1e-3
+        assert got[1] == want[1]
+        assert got[2] == want[2]
+    x = rng.random(5000).astype(np.float32)
+    whole = media.resample(x, 11_025, 8000)
+    assert np.allclose(media.resample(x, 11_025, 8000, 777, 2001), whole[777:2001], atol=1e-6)
+
+
 def test_op7_base_spans(spark, odd_dir):
     want = []
     for r in odd_rows():
