@@ -2,7 +2,8 @@
 
 For each kind of labelled credential, a prefix tree over character classes is folded into a probabilistic automaton
 by merging states whose outgoing frequencies agree within a Hoeffding bound (state merging in red-blue order). Every
-long enough run of credential characters in a text is a candidate; its score is the log-likelihood per character
+long enough run of credential characters in a text is a candidate, and so are its parts between separators where the run
+itself is none, as in paths and URLs; the score is the log-likelihood per character
 under each automaton against a background of ordinary prose. Values that no fixed rule knows are reported so.
 """
 
@@ -25,6 +26,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: A credential that is joined to other text begins behind one of these (or at its kind's prefix) and ends before one.
+_SEPARATOR = re.compile(r"[+/_.=-]")
 _SIZES = {"l": 20, "h": 6, "U": 20, "H": 6, "d": 10}
 #: Log2 chance of a character of each class in prose that a credential must beat.
 _PROSE = {"l": log2(0.62 / 20), "h": log2(0.27 / 6), "U": log2(0.03 / 20), "H": log2(0.02 / 6), "d": log2(0.03 / 10)}
@@ -152,6 +155,7 @@ class Formats:
             if kind and value:
                 by[kind].append(value)
         self.kinds = {}
+        self.longest = {kind: max(map(len, values)) for kind, values in by.items()}
         for kind, values in sorted(by.items()):
             prefix = os.path.commonprefix(values) if len(values) > 1 else ""
             own = Automaton(classes(v[len(prefix) :]) for v in values)
@@ -170,6 +174,37 @@ class Formats:
         return found
 
 
+def _parts(text: str, start: int, end: int, formats: Formats, least: float) -> list[tuple[int, int, int, str]]:
+    """Learned spans within text[start:end]: parts from a separator or a kind's prefix to a separator, the most bits over prose first."""
+    if end - start < 16:
+        return []
+    value = text[start:end]
+    symbols = classes(value)
+    after = {0} | {m.end() for m in _SEPARATOR.finditer(value)}
+    stops = {m.start() for m in _SEPARATOR.finditer(value)} | {len(value)}
+    prose = [_PROSE.get(c, _OTHER) for c in symbols]
+    found = []
+    for kind, (prefix, own, shortest) in formats.kinds.items():
+        starts = {m.start() for m in re.finditer(f"(?={re.escape(prefix)})", value)} if prefix else after
+        for at in starts:
+            q, gain = 0, -sum(prose[at : at + len(prefix)])
+            # without a prefix any place is a start: these end with the longest sample
+            for k in range(at + len(prefix), len(value) if prefix else min(len(value), at + formats.longest[kind])):
+                move = own.moves[q].get(symbols[k])
+                if move is None:
+                    break
+                q = move[0]
+                gain += move[1] - prose[k]
+                n = k + 1 - at
+                if k + 1 in stops and n >= max(16, shortest) and own.stop[q] > -inf and (gain + own.stop[q]) / n >= least and not value[at : k + 1].isalpha():
+                    found.append((gain + own.stop[q], at, k + 1, kind))
+    out: list[tuple[int, int, int, str]] = []
+    for _, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1:])):
+        if all(start + b <= x[0] or x[2] <= start + a for x in out):
+            out.append((start + a, 3, start + b, kind))
+    return out
+
+
 def scan(text: str, formats: Formats, least: float = 0.4) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
     """Base spans and learned spans of a text as (start, rank of kind, end, kind), each sorted."""
     base = []
@@ -191,6 +226,9 @@ def scan(text: str, formats: Formats, least: float = 0.4) -> tuple[list[tuple[in
                 found = (*best, len(form))
         if found:
             learned.append((start, 3, start + found[2], found[0]))
+            learned += _parts(text, m.start(), start, formats, least) + _parts(text, start + found[2], m.end(), formats, least)
+        else:
+            learned += _parts(text, m.start(), m.end(), formats, least)
     return sorted(base), sorted(learned)
 
 

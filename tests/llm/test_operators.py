@@ -270,6 +270,23 @@ def test_op7_automata_know_formats_and_leave_prose():
     assert secrets.scan(text, formats) == ([], [])
 
 
+def test_op7_finds_credentials_within_paths_and_urls():
+    formats = secrets.Formats(secrets.labelled_credentials())
+    fresh = secrets.labelled_credentials(60, seed=98)
+    missed = []
+    for kind, value in fresh:
+        for before, after in (("https://maps.example.com/v1/", ""), ("docs/", "/index.html"), ("/hook/", "/")):
+            text = f"see {before}{value}{after} here"
+            at = len(f"see {before}")
+            base, learned = secrets.scan(text, formats)
+            if not any(a < at + len(value) and b > at for a, _, b, _ in base + learned):
+                missed.append((kind, text))
+    assert len(missed) <= len(fresh) * 3 // 100, missed[:5]
+    google, slack = (next(v for k, v in fresh if k == kind) for kind in ("google", "slack"))
+    text = f"https://maps.example.com/v1/{google}/x and /hook/{slack}"
+    assert [(text[a:b], k) for a, _, b, k in secrets.scan(text, formats)[1]] == [(google, "google"), (slack, "slack")]
+
+
 def test_op8_equals_brute_force(spark):
     import random
 
