@@ -93,8 +93,9 @@ def unsorted_rows(df: DataFrame, order: str = "recno", cell: str = "hpx29", bloc
     """Rows whose cell is below that of the row before them by ``order``: none in a sorted catalogue."""
     block = F.floor(F.col(order) / F.lit(blocks)).cast("long")
     cut = df.withColumn("_block", block)
-    # the last cell of each block is compared with the first of the next: one row a block
-    last = cut.groupBy("_block").agg(F.max_by(cell, order).alias("_last")).select((F.col("_block") + 1).alias("_block"), "_last")
+    # the last cell of each block is compared with the first of the next one that has rows: one row a block
+    ends = cut.groupBy("_block").agg(F.max_by(cell, order).alias("_end"))
+    last = ends.select("_block", F.lag("_end").over(W.orderBy("_block")).alias("_last"))
     before = F.lag(cell).over(W.partitionBy("_block").orderBy(order))
     return cut.join(last, "_block", "left").withColumn("_before", F.coalesce(before, F.col("_last"))).where(F.col(cell) < F.col("_before")).drop("_block", "_last", "_before")
 

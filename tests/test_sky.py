@@ -86,6 +86,11 @@ def test_sorted_catalogue_is_a_permutation_and_prunes(spark, points, tmp_path):
     assert [r["recno"] for r in catalog.unsorted_rows(swapped).collect()] == [1]
 
 
+def test_unsorted_rows_behind_empty_blocks_are_found(spark):
+    rows = spark.createDataFrame([(0, 5), (1, 6), (35, 4), (36, 7), (90, 8), (200, 1)], "recno long, hpx29 long")
+    assert sorted(r["recno"] for r in catalog.unsorted_rows(rows, blocks=10).collect()) == [35, 200]
+
+
 def test_index_sums_and_coverage(points):
     for implicit in (True, False):
         index = sorted(catalog.cumulative_index(points, 2, implicit).collect(), key=lambda r: r["cell"])
