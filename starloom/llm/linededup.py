@@ -1,9 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-A line of length l is cut into threshold + 1 even segments. Two lines within the threshold share a segment whose place
+A line of length l may differ from another by some edits, more for longer lines; the shorter line's length says how many.
+It is cut into that number + 1 of even segments. Two lines within the threshold share a segment whose place
 differs only by what the edits around it allow, so each line is looked up, for every length it may match, at the few
-positions left by the multi-match-aware bounds. Lookups are 64-bit keys (length, segment, substring's hash) of
-distinct lines; an aggregate finds the keys that lines share, and a semi-join leaves their lines, never pairs. The lines of a key are cut into
+positions left by the multi-match-aware bounds. Lookups are 64-bit keys (length, segment, substring's hash), taken from
+prefix sums over the characters of many lines at once.
+
+Texts are split once: the lines (with their text where it is new to its batch) are a written table, and everything else reads columns
+of it. An aggregate finds the keys that lines share, and a semi-join leaves their lines, never pairs. The lines of a key are cut into
 tiles of bounded size, and each pair of tiles is compared in one task by a banded bit-parallel edit distance, many pairs
 at a time. A pair that shares several keys is compared at the first only, so links are counted exactly; a task gives one
 row per linked line: its number of links and the root of a spanning star, so output is linear in a key's lines.
@@ -15,57 +19,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, fold_labels, let, stored, unused
+from .common import SPACE, components, fold_labels, stored, unused
 
-#: Edits that still make two lines the same; of lines of fewer characters only exact repeats are, as so few edits could change their sense.
-EDITS, LEAST = 2, 32
+#: Edits that still make two lines the same: at most so many, and one for every so many characters of the shorter line. Lines too
+#: short for one edit are the same only if equal.
+EDITS, PER_EDIT = 2, 16
 #: Lines of a key in a tile, for each of its two sides.
 TILE = 1024
 #: Tables of up to this many rows of two or three longs are broadcast; and those of lists of up to so many line numbers in all.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 20_000
+#: Characters whose lines are keyed at once.
+BLOCK_CHARS = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and size of each of edits + 1 even segments of a line; the longer ones come last."""
-    parts = edits + 1
-    small = F.floor(length / parts).cast("int")
-    short = parts - length % parts
+def _lookups(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits of the other line, how much shorter it is, segment, shift) of all lookups; those with no difference and shift are the line's own keys."""
     out = []
-    for i in range(parts):
-        longer = F.greatest(F.lit(0), F.lit(i) - short)
-        out.append(((1 + i * small + longer).cast("int"), (small + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")))
+    for e in range(1, edits + 1):
+        for less in range(e + 1):
+            for i in range(e + 1):
+                low, high = max(-i, less - (e - i)), min(i, less + (e - i))
+                out += [(e, less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def _lookups(edits: int) -> list[tuple[int, int, int]]:
-    """(how much shorter the other line is, segment, shift) of all lookups; those with no difference and shift are the line's own keys."""
-    out = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            out += [(less, i, shift) for shift in range(low, high + 1)]
-    return out
+def allowed(length, edits: int = EDITS, per: int = PER_EDIT):
+    """Edits that a line of this length may differ by from one that is as long or longer."""
+    return np.minimum(edits, length // per)
+
+
+def _segment(length, i: int, edits: int):
+    """Start and size of segment i of edits + 1 even ones; the longer ones come last."""
+    small, short = length // (edits + 1), edits + 1 - length % (edits + 1)
+    return i * small + np.maximum(0, i - short), small + (i >= short)
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+class _Keys:
+    """Keys of the lines of a block: substrings' hashes are differences of prefix sums of characters times powers of an odd base."""
+
+    def __init__(self, edits: int, per: int):
+        self.edits, self.per, self.lookups, self.powers = edits, per, _lookups(edits), None
+
+    def __call__(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line's index, key, whether the line is indexed there) of all lookups; a key's last two bits are the segment's number modulo 4."""
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if self.powers is None or len(self.powers[0]) < len(codes) + 1:
+            n = max(BLOCK_CHARS, len(codes)) + 1
+            self.powers = []
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                self.powers.append(np.cumprod(steps))
+        up, down = self.powers
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+        starts = np.cumsum(sizes) - sizes
+        rows, keys, owns = [], [], []
+        for e, less, i, shift in self.lookups:
+            length = sizes - less
+            row = np.flatnonzero((length >= self.per) & (allowed(length, self.edits, self.per) == e))
+            length = length[row]
+            start, size = _segment(length, i, e)
+            at = starts[row] + start + shift
+            part = (sums[at + size] - sums[at]) * down[at]
+            key = _mixed(part ^ _mixed((length * 8 + i).astype(np.uint64) + np.uint64(_BASE)))
+            rows.append(row)
+            keys.append(key & np.uint64((1 << 64) - 4) | np.uint64(i % 4))
+            owns.append(np.full(len(row), less == 0 and shift == 0))
+        return np.concatenate(rows), np.concatenate(keys).view(np.int64), np.concatenate(owns)
+
+
+def line_keys(lines: DataFrame, edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:
+    """(key, h, own) of all lookups of lines (h, line)."""
 
-def line_keys(line: Column, edits: int = EDITS) -> Column:
-    """Array of the keys of all lookups of a line, in the order of _lookups; a key's last two bits are the segment's number modulo 4."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = _Keys(edits, per)
+        for batch in batches:
+            h, lines = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            at = chars = 0
+            for k, line in enumerate(lines):
+                chars += len(line)
+                if chars >= BLOCK_CHARS or k + 1 == len(lines):
+                    row, key, own = keys(lines[at : k + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[at + row]), pa.array(own)], ["key", "h", "own"])
+                    at, chars = k + 1, 0
 
-    def keys(x: Column) -> Column:
-        out = []
-        for less, i, shift in _lookups(edits):
-            length = F.length(x) - less
-            start, size = _segments(length, edits)[i]
-            out.append(F.xxhash64(F.lit(i), length, F.substr(x, start + shift, size)).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(i % 4)))
-        return F.array(*out)
+    return lines.select("h", "line").mapInArrow(run, "key long, h long, own boolean")
 
-    return let(line, keys)
 
+def within(a: list[str], b: list[str], edits: int, per: int = 0) -> np.ndarray:
+    """Whether each pair of strings is within ``edits`` edits, by Hyyrö's banded bit-parallel algorithm over all pairs at once.
 
-def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Whether each pair of strings is within ``edits`` edits, by Hyyrö's banded bit-parallel algorithm over all pairs at once."""
+    With ``per``, of those only one for every so many characters of the shorter string; strings are longer than ``edits`` then.
+    """
     n, width = len(a), 2 * edits + 1
     out = np.zeros(n, bool)
     codes = [(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(y.encode("utf-32-le", "surrogatepass"), np.uint32)) for x, y in zip(a, b, strict=True)]
@@ -79,7 +138,8 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
         part = [j for j in order[at:k] if len(codes[j][0]) - len(codes[j][1]) <= edits]
         at = k
         if part:
-            out[part] = _banded([codes[j] for j in part], edits, width)
+            most = [min(edits, len(codes[j][1]) // per) if per else edits for j in part]
+            out[part] = _banded([codes[j] for j in part], edits, width) <= np.array(most)
     return out
 
 
@@ -108,36 +168,68 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int, width: int)
         dist += np.where(last, ((hp & side) > 0).astype(int) - ((hn & side) > 0).astype(int), 0)
         side = np.where(last, side >> one, side)
         vp, vn = (hn | ~((d0 >> one) | hp)) & full, (d0 >> one) & hp
-    return dist <= edits
+    return dist  # exact up to edits, in strings that are longer than those
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
-    """(id, th: hash of the text, line_no, line, h: hash of the line) of all lines of ``least`` or more characters, trimmed; 1: all with a word."""
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PER_EDIT) -> DataFrame:
+    """(id, th: hash of the text, line_no, h: hash of the line, line) of all lines with a word, trimmed.
+
+    ``line`` is given where h is new to its batch, and only if it has ``least`` or more characters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            row, number, hashes, texts, seen = [], [], [], [], set()
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                for n, raw in enumerate(text.split("\n")):
+                    line = raw.strip(SPACE)
+                    if line:
+                        h = digest(line.encode("utf-8", "surrogatepass"))
+                        row.append(k)
+                        number.append(n)
+                        hashes.append(h)
+                        if h in seen or len(line) < least:
+                            texts.append(None)
+                        else:
+                            seen.add(h)
+                            texts.append(line)
+            row = pa.array(row, pa.int32())
+            h = pa.array(np.array(hashes, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(number, pa.int32()), h, pa.array(texts, pa.string())], ["id", "th", "line_no", "h", "line"])
+
     text = F.col(text_col).cast("string")
-    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    return cut.select("id", "th", "line_no", F.btrim("raw", F.lit(SPACE)).alias("line")).where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
+    return rows.mapInArrow(run, "id long, th long, line_no int, h long, line string")
 
 
-def _pairs(probers: list[str], owners: list[str], segment: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(probers: list[str], owners: list[str], segment: int, edits: int, per: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the pairs to compare at a key of this segment (modulo 4): of the lookups that find the owner, this is the first."""
     lookups, known = _lookups(edits), {}
+    of_length: dict[int, list[tuple[int, int]]] = {}
 
     def place(length: int) -> list[tuple[int, int]]:
-        small, short = length // (edits + 1), edits + 1 - length % (edits + 1)
-        return [(i * small + max(0, i - short), small + (i >= short)) for i in range(edits + 1)]
+        if length not in of_length:
+            e = min(edits, length // per)
+            of_length[length] = [tuple(map(int, _segment(length, i, e))) for i in range(e + 1)]
+        return of_length[length]
 
     def code(i: int, length: int, part: str) -> int:
         return known.setdefault((i, length, part), len(known))
 
-    own = np.empty((len(owners), edits + 1), np.int64)
+    own = np.full((len(owners), edits + 1), -2, np.int64)
     for k, x in enumerate(owners):
-        own[k] = [code(i, len(x), x[at : at + size]) for i, (at, size) in enumerate(place(len(x)))]
-    asked = np.empty((len(probers), len(lookups)), np.int64)
+        found = [code(i, len(x), x[at : at + size]) for i, (at, size) in enumerate(place(len(x)))]
+        own[k, : len(found)] = found
+    asked = np.full((len(probers), len(lookups)), -1, np.int64)
     for k, x in enumerate(probers):
-        places = {less: place(len(x) - less) for less in range(edits + 1)}
-        asked[k] = [code(i, len(x) - less, x[at : at + size]) for less, i, shift in lookups for at, size in [(places[less][i][0] + shift, places[less][i][1])]]
+        for j, (e, less, i, shift) in enumerate(lookups):
+            length = len(x) - less
+            if length >= per and min(edits, length // per) == e:
+                at, size = place(length)[i]
+                asked[k, j] = code(i, length, x[at + shift : at + shift + size])
     open_, here = np.ones((len(probers), len(owners)), bool), np.zeros((len(probers), len(owners)), bool)
-    for j, (_, i, _) in enumerate(lookups):
+    for j, (_, _, i, _) in enumerate(lookups):
         same = open_ & (asked[:, j, None] == own[None, :, i])
         if i % 4 == segment:
             here |= same
@@ -148,8 +240,8 @@ def _pairs(probers: list[str], owners: list[str], segment: int, edits: int) -> t
 class _Comparer:
     """Gathers the pairs of one tile after another and compares many at once; ``add`` and ``close`` give (line, root, number of links) arrays."""
 
-    def __init__(self, edits: int, pairs: int = 16_384, chars: int = 8_000_000):
-        self.edits, self.most_pairs, self.most_chars = edits, pairs, chars
+    def __init__(self, edits: int, per: int, pairs: int = 16_384, chars: int = 8_000_000):
+        self.edits, self.per, self.most_pairs, self.most_chars = edits, per, pairs, chars
         self._clear()
 
     def _clear(self):
@@ -161,7 +253,7 @@ class _Comparer:
 
     def add(self, h: np.ndarray, owns: np.ndarray, lines: list[str], segment: int) -> list[tuple]:
         p, o = np.flatnonzero(~owns), np.flatnonzero(owns)
-        i, j = _pairs([lines[k] for k in p], [lines[k] for k in o], segment, self.edits)
+        i, j = _pairs([lines[k] for k in p], [lines[k] for k in o], segment, self.edits, self.per)
         a, b = p[i], o[j]
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         # lines of one length find each other: the one with the lesser hash asks
@@ -182,7 +274,7 @@ class _Comparer:
         a, b, lines = np.concatenate(self.left), np.concatenate(self.right), self.lines
         near = np.zeros(len(a), bool)
         for at in range(0, len(a), 65536):
-            near[at : at + 65536] = within([lines[k] for k in a[at : at + 65536].tolist()], [lines[k] for k in b[at : at + 65536].tolist()], self.edits)
+            near[at : at + 65536] = within([lines[k] for k in a[at : at + 65536].tolist()], [lines[k] for k in b[at : at + 65536].tolist()], self.edits, self.per)
         distinct, at = np.unique(np.concatenate(self.hashes), return_inverse=True)
         a, b = at[a[near]], at[b[near]]
         counts = np.bincount(a, minlength=len(distinct)) + np.bincount(b, minlength=len(distinct))
@@ -192,11 +284,11 @@ class _Comparer:
         return [(distinct[linked], distinct[labels[linked]], counts[linked])]
 
 
-def _compared(edits: int):
+def _compared(edits: int, per: int):
     """A function for mapInArrow over rows (key, o, a, h, own, line), those of a tile one behind the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comparer, held, at = _Comparer(edits), None, None
+        comparer, held, at = _Comparer(edits, per), None, None
         give = lambda found: [pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in x], ["h", "root", "n"]) for x in found]
         for batch in batches:
             if not batch.num_rows:
@@ -219,24 +311,20 @@ def _compared(edits: int):
     return run
 
 
-def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFrame:
-    """Rows (h, root, n) of different lines (h, line) within ``edits`` edits of others: n sums up to a line's links, roots join what is linked.
+def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE, per: int = PER_EDIT) -> DataFrame:
+    """Rows (h, root, n) of different lines (h, line) within the edits of others: n sums up to a line's links, roots join what is linked.
 
-    Tiles are compared one behind the other within a partition, so that small ones share the vectorised steps.
+    Lines can be repeated; those without text are not looked at. Tiles are compared one behind the other within a partition, so
+    that small ones share the vectorised steps.
     """
-    lookups = _lookups(edits)
-    names = [f"k{k}" for k in range(len(lookups))]
-    own = [name for name, (less, _, shift) in zip(names, lookups, strict=True) if less == 0 and shift == 0]
-    every = lines.select("h", line_keys(F.col("line"), edits).alias("keys")).select("h", *[F.get("keys", F.lit(k)).alias(name) for k, name in enumerate(names)])
-    keyed = stored(every.groupBy("h").agg(*[F.max(name).alias(name) for name in names]), "keys")
-    asked = F.array(*[F.struct(F.col(name).alias("key"), F.lit(name in own).alias("own")) for name in names])
-    rows = keyed.select("h", F.explode(asked).alias("k")).select("k.key", "h", "k.own")
+    lines = lines.select("h", "line").where("line is not null")
     # keys at which some line is indexed and another one asks: most keys are of one line alone
-    shared = rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("own and low <> high")
+    shared = line_keys(lines, edits, per).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("own")).where("own and low <> high")
     shared = stored(shared.select(F.col("key").alias("_key")), "shared")
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    hit = stored(rows.join(side, F.col("key") == F.col("_key"), "left_semi"), "hit")
-    members = stored(hit.select("key", "h", F.lit(False).alias("own")).distinct().unionAll(hit.where("own").select("key", "h", "own")), "members")
+    hit = line_keys(lines, edits, per).join(side, F.col("key") == F.col("_key"), "left_semi").groupBy("key", "h").agg(F.max("own").alias("own"))
+    both = F.when(F.col("own"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    members = stored(hit.select("key", "h", F.explode(both).alias("own")), "members")
     # keys with more lines than a tile holds are few: (lines over tile size) of them at most
     many = members.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("owners"), F.count(F.when(~F.col("own"), 1)).alias("askers")).where((F.col("owners") > tile) | (F.col("askers") > tile))
     many = stored(many.select(F.col("key").alias("_key"), F.ceil(F.col("owners") / tile).cast("int").alias("_o"), F.ceil(F.col("askers") / tile).cast("int").alias("_a")), "many")
@@ -249,20 +337,21 @@ def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE) -> DataFr
     dealt = dealt.select("key", "h", "own", "o", F.explode(F.when(F.col("own"), tiles("_a")).otherwise(mine("_a"))).alias("a"))
     wanted = stored(members.select("h").distinct(), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = stored(lines.select("h", "line").join(side, "h", "left_semi").dropDuplicates(["h"]), "texts")
+    texts = stored(lines.join(side, "h", "left_semi").dropDuplicates(["h"]), "texts")
 
     rows = dealt.join(texts, "h").select("key", "o", "a", "h", "own", "line")
-    return rows.repartition("key", "o", "a").sortWithinPartitions("key", "o", "a").mapInArrow(_compared(edits), "h long, root long, n long")
+    return rows.repartition("key", "o", "a").sortWithinPartitions("key", "o", "a").mapInArrow(_compared(edits, per), "h long, root long, n long")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:
     """(id, th, removed: sorted line numbers from 0, n_links) of the rows that lose lines or hold linked ones.
 
-    Lines with a word are of one class if equal or joined by links, which only lines of ``least`` or more characters have. Of each class the first line by id, text hash and number stays, null ids
-    last; all others go. n_links counts the links of the row's distinct lines to different lines.
+    Lines with a word are of one class if equal or joined by links: ``edits`` edits or fewer, and one at most for every ``per``
+    characters of the shorter line. Of each class the first line by id, text hash and number stays, null ids
+    last; all others go. n_links counts the links of the row's distinct lines to different lines. Null and blank texts have no lines.
     """
-    lines = lines_of(docs, id_col, text_col)
-    found = stored(edit_links(lines_of(docs, id_col, text_col, least).select("h", "line"), edits), "links")
+    lines = stored(lines_of(docs, id_col, text_col, per), "lines")
+    found = stored(edit_links(lines, edits, TILE, per), "links")
     roots = stored(components(found.select(F.col("h").alias("a"), F.col("root").alias("b"))), "roots")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "th", "line_no")
     per_line = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "per_line")
@@ -280,13 +369,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     return per_row
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:
     """docs with the repeated lines taken out of the text; every row stays, also if no line is left of it.
 
-    Null texts stay null; blank lines stay, and those under ``least`` characters that are no exact repeats; rows equal in id and text are treated alike; columns keep their
+    Null texts stay null; blank lines stay; rows equal in id and text are treated alike; columns keep their
     names and order, and none of docs' other columns is looked at.
     """
-    gone = stored(removals(docs, id_col, text_col, edits, least).where(F.size("removed") > 0), "removed")
+    gone = stored(removals(docs, id_col, text_col, edits, per).where(F.size("removed") > 0), "removed")
     key, hashed, lost = unused(docs, "_id", "_th", "_removed")
     side = gone.select(F.col("id").alias(key), F.col("th").alias(hashed), F.col("removed").alias(lost))
     numbers = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0)).alias("n")).first()["n"]
@@ -298,10 +387,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Per document: lines (with a word), lines removed, their numbers and the links of its lines."""
+    """Per document: lines (with a word), lines removed, their numbers (from 0, joined by commas) and the links of its lines to different ones.
+
+    Null and blank texts have no lines; rows equal in id and text are treated alike and stay repeated; null ids come last where the first
+    line of a class is chosen; an empty table gives an empty result; other columns are not looked at.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = removals(docs).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "removed", "n_links")
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    n_lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long")  # one match for each line with a word
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), n_lines.alias("n_lines"))
     out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     return out.select(

@@ -67,6 +67,12 @@ def distance(a, b):
     return row[-1]
 
 
+def same_line(a, b, edits=2, per=16):
+    """Whether two lines are within the edits that the shorter one's length allows."""
+    most = min(edits, len(a) // per, len(b) // per)
+    return a == b or abs(len(a) - len(b)) <= most and most > 0 and distance(a, b) <= most
+
+
 def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     """Target by source, by repeated sharing of what is over."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8")))

@@ -287,14 +287,14 @@ def test_op7_finds_credentials_within_paths_and_urls():
     assert [(text[a:b], k) for a, _, b, k in secrets.scan(text, formats)[1]] == [(google, "google"), (slack, "slack")]
 
 
-def test_op8_equals_brute_force(spark):
+def test_op8_equals_brute_force(spark, tmp_path):
     import random
 
     rng = random.Random(4)
-    lines = [prose(k, 9).replace("\n", " ") for k in range(25)]
-    for k in range(60):
+    lines = [prose(k, 9).replace("\n", " ") for k in range(25)] + [prose(k, 9).replace("\n", " ")[: 1 + k] for k in range(40)] + [" ", "\t", ""]
+    for k in range(140):
         x = list(rng.choice(lines))
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(1, 4) if len(x) > 3 else 0):
             at = rng.randrange(len(x))
             if rng.random() < 0.4:
                 x[at] = rng.choice("abcxyz")
@@ -305,14 +305,24 @@ def test_op8_equals_brute_force(spark):
         lines.append("".join(x).strip())
     docs = spark.createDataFrame([(k, "\n".join(lines[k::17])) for k in range(17)], "doc_id long, text string")
     placed = [(d, n, x.strip()) for d in range(17) for n, x in enumerate(lines[d::17])]
-    long = [p for p in placed if len(p[2]) >= linededup.LEAST]
-    root = brute.classes(len(long), lambda i, j: brute.distance(long[i][2], long[j][2]) <= linededup.EDITS)
+    long = [p for p in placed if p[2]]
+    root = brute.classes(len(long), lambda i, j: brute.same_line(long[i][2], long[j][2]))
     gone = brute.groups((long[k][0], long[k][1]) for k in range(len(long)) if root[k] != k)
+    assert any(len(long[k][2]) < 32 and long[k][2] not in {p[2] for p in long[:k]} for k in range(len(long)) if root[k] != k)
     got = {r["id"]: list(r["removed"]) for r in linededup.removals(docs).collect() if r["removed"]}
     assert got == {k: sorted(v) for k, v in gone.items()}
     texts = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
     for d in range(17):
         assert texts[d] == "\n".join(x for n, x in enumerate(lines[d::17]) if n not in gone.get(d, ()))
+    where = as_dir(spark, tmp_path, documents=docs)
+    distinct = sorted({p[2] for p in long})
+    links = {x: sum(y != x and brute.same_line(x, y) for y in distinct) for x in distinct}
+    want = []
+    for d in range(17):
+        own = [p for p in placed if p[0] == d and p[2]]
+        lost = sorted(gone.get(d, ()))
+        want.append([d, len(own), len(lost), ",".join(map(str, lost)), sum(links[p[2]] for p in own)])
+    assert rows_of(linededup.op8_line_dedup(spark, where), "doc_id", "n_lines", "n_removed", "removed", "n_links") == sorted(want, key=repr)
 
 
 def test_op8_removes_exact_repeats_of_short_lines(spark):
@@ -327,7 +337,7 @@ def test_op8_links_of_a_large_group_in_small_tiles(spark):
     base = prose(1, 9).replace("\n", " ")
     lines = sorted({base[:k] + c + base[k + 1 :] for k in range(len(base)) for c in "xy"} | {base[:k] + base[k + 1 :] for k in range(0, len(base), 3)} | {prose(k, 9).replace("\n", " ") for k in range(2, 9)})
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "h long, line string")
-    near = [[abs(len(a) - len(b)) <= 2 and brute.distance(a, b) <= 2 for b in lines] for a in lines]
+    near = [[brute.same_line(a, b) for b in lines] for a in lines]
     want = [sum(row) - 1 for row in near]
     for tile in (10, 1024):
         found = linededup.edit_links(df, 2, tile).collect()
@@ -345,6 +355,9 @@ def test_op8_banded_distance():
     for edits in (0, 1, 2, 3):
         got = linededup.within([a for a, _ in pairs], [b for _, b in pairs], edits)
         assert got.tolist() == [brute.distance(a, b) <= edits for a, b in pairs]
+    pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) > 3]
+    got = linededup.within([a for a, _ in pairs], [b for _, b in pairs], 3, 2)
+    assert got.tolist() == [brute.distance(a, b) <= min(3, len(a) // 2, len(b) // 2) for a, b in pairs]
 
 
 def test_op9_equals_brute_force(spark, odd_dir):

@@ -7,7 +7,9 @@ import brute
 import corpus_pipeline
 import pytest
 from llm_tables import as_dir, odd_rows
-from starloom.llm import bpe, linededup
+from pyspark.sql import functions as F
+from starloom.llm import bpe
+from starloom.llm.common import SPACE
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -18,6 +20,13 @@ def small_dir(spark, odd, tmp_path_factory):
     return as_dir(spark, tmp_path_factory.mktemp("pipeline"), documents=odd, labels=labels)
 
 
+def linededup_hash(spark, text, known={}):  # noqa: B006
+    """The hash that orders rows of one id, as Spark takes it."""
+    if text not in known:
+        known[text] = spark.range(1).select(F.xxhash64(F.lit(text).cast("string"))).first()[0]
+    return known[text]
+
+
 def test_stages(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
     seen = {}
@@ -33,16 +42,20 @@ def test_stages(spark, small_dir):
     assert not Counter(after) - Counter(before)
 
     before, after = seen["line_dedup"]
-    key = lambda r: (r[0] is None, r[0] or 0)
-    assert len(before) == len(after)
-    assert sorted(map(key, before)) == sorted(map(key, after))
-    long = [x.strip() for r in after for x in (r[1] or "").split("\n") if len(x.strip()) >= linededup.LEAST]
-    by_length = brute.groups((len(x) // 3, x) for x in long if len(x) < 200)
-    assert len({r[0] for r in after}) == len({r[0] for r in before})
-    repeated = Counter(long)
-    # rows equal in id and text are treated alike, so that only they can keep a line twice
-    twice = {r for r, n in Counter(before).items() if n > 1}
-    assert all(n == 1 or any(x in (r[1] or "") for r in twice) for x, n in repeated.items()), by_length
+    # of each class of lines the first one by id (null last), row and number stays; rows equal in id and text are treated alike
+    place = lambda r: (r[0] is None, r[0] or 0, linededup_hash(spark, r[1]))
+    placed = sorted({(*place(r), n, x.strip(SPACE)) for r in before for n, x in enumerate((r[1] or "").split("\n")) if x.strip(SPACE)})
+    distinct = sorted({p[-1] for p in placed}, key=len)
+    root = brute.classes(len(distinct), lambda i, j: brute.same_line(distinct[i], distinct[j]))
+    label, first = dict(zip(distinct, root, strict=True)), {}
+    for p in placed:
+        first.setdefault(label[p[-1]], p[:-1])
+    want = Counter()
+    for r in before:
+        kept = [x for n, x in enumerate((r[1] or "").split("\n")) if not x.strip(SPACE) or first[label[x.strip(SPACE)]] == (*place(r), n)]
+        text = None if r[1] is None else "\n".join(kept)
+        want[(r[0], text, r[2], r[3], None if text is None else len(text))] += 1
+    assert Counter(after) == want
 
     before, after = seen["near_dedup"]
     prints = [brute.fingerprint(r[1]) for r in before]
