@@ -70,6 +70,13 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_of(df: DataFrame, bytes_each: int) -> int:
+    """Partitions for df so that each has about so many bytes by the optimizer's estimate, and no fewer than the session's number."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60  # without statistics the estimate is close to the largest long
+    return max(n_partitions(df.sparkSession), -(-size // bytes_each) if known else 0)
+
+
 def fold_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after joining i and j: minimum labels spread until nothing changes."""
     while True:

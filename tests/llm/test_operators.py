@@ -134,6 +134,20 @@ def test_op3_reads_back_what_the_tokenizer_gives(spark, odd_dir):
         want.append(r)
 
 
+def test_op3_words_of_any_plain_texts_are_those_of_the_library():
+    import random
+
+    rng = random.Random(3)
+    own = tokenfiles.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 400)
+    odd = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028)]] + ["\u20ac", "  ", "\n", "'s", "'ll", "e\u0301", "\u4e2d", "<|endoftext|>", "09"]
+    plain = [c for c in odd if tokenfiles._PLAIN.fullmatch(c) and not c.startswith("<")]
+    for _ in range(60):
+        texts = ["".join(rng.choices(rng.choice((odd, plain)), k=rng.randint(0, 60))) for _ in range(20)]
+        ids, counts = own(texts, 2)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in parts] == [[*own.own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_op3_random_access_is_zero_copy(spark, tmp_path):
     docs = spark.createDataFrame([(k, prose(k, 300)) for k in range(20)], "doc_id long, text string")
     manifest = tokenfiles.write_tokens(docs, f"file://{tmp_path}/tokens", public_tokenizers.path("word_bpe_49k.json"), length=64)
