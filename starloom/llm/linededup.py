@@ -33,7 +33,7 @@ TILE = 1024
 #: Tables of up to this many rows of two or three longs are broadcast; and those of lists of up to so many line numbers in all.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 20_000
 #: Characters whose lines are keyed at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
