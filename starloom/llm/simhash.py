@@ -1,18 +1,25 @@
 """SimHash near-duplicates by tiled exact comparison of fingerprints.
 
-Fingerprints of whole texts come from one Arrow pass. Distinct fingerprints are grouped by the population
-counts of their two halves and cut into tiles of bounded size; a tile pair is compared, by numpy exclusive-or
-and bit counts, only if its population counts differ by the radius or less, which every linked pair does
-(|pop(a) - pop(b)| <= popcount(a ^ b), half by half). Each task emits a spanning star per linked set within its
-tile pair, never all pairs, and the stars are joined into components.
+Fingerprints of whole texts come from one Arrow pass. Distinct fingerprints are dealt to groups by population counts
+and cut into tiles of bounded size; a tile pair is compared, by numpy exclusive-or and bit counts, only if its population
+counts differ by the radius or less, which every linked pair does (|pop(a) - pop(b)| <= popcount(a ^ b), part by part).
+Each task emits a spanning star per linked set within its tile pair, never all pairs, and the stars are joined into
+components.
+
+There are two kinds. ``near_duplicates`` has 64 bits over shingles of three words and links at three bits or fewer, grouped by
+the counts of the two halves. ``similar_documents`` and ``keep_one`` look for shingle sets of a Jaccard similarity: 256 bits over distinct
+shingles of five words, whose share of differing bits tells the cosine of the sets, as it is the angle over pi. Groups
+there are by whole population counts and by the number of shingles, as similar sets are of similar size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +29,23 @@ from .common import components, fold_labels, stored, unused
 TILE = 8192
 #: Tables of up to this many single longs are broadcast.
 BROADCAST_ROWS = 500_000
+#: Jaccard similarity and words of a shingle of near duplicates; 64-bit words of a wide fingerprint; population counts to a band.
+SIMILARITY, WIDTH, WIDE, BAND = 0.8, 5, 4, 16
+#: Words of texts that are hashed at once.
+BLOCK_WORDS = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHIFTS = np.arange(64, dtype=np.uint64)
+_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of h (n, w) of 64-bit words: 64 * w counts."""
+    sums = np.zeros(64 * h.shape[1], np.int64)
+    for at in range(0, len(h), 255 * 128):  # bits become bytes, of which eight are added at once, 255 rows at most before they could run over
+        bits = np.unpackbits(h[at : at + 255 * 128].view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            sums += np.add.reduce(bits[k : k + 255].view(np.uint64), axis=0).view(np.uint8)
+    return sums
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -38,13 +60,56 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    sums = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], dtype=np.uint64)
-        sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    sums = bit_sums(np.array(hashes, dtype=np.uint64)[:, None])
     return int(((2 * sums > len(hashes)).astype(np.uint64) << _SHIFTS).sum(dtype=np.uint64))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprints(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (n, WIDE) of texts and their numbers of distinct shingles; without a word: zeros.
+
+    Words are cut at ASCII space after lower-casing A-Z; a text of fewer words than ``width`` has one shingle of all of them. A bit is
+    set if it is in over half of the hashes of distinct shingles.
+    """
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(trimmed)
+    flat = pc.dictionary_encode(lists.flatten())
+    known = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
+    words = known[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
+    counts = np.where(pc.equal(trimmed, "").to_numpy(zero_copy_only=False), 0, lists.value_lengths().to_numpy(zero_copy_only=False))
+    starts = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64) - lists.value_lengths().to_numpy(zero_copy_only=False)
+    rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
+        rolled = _mixed(rolled * _STEP + words[k : k + len(rolled)] + np.uint64(1))
+    out, sizes = np.zeros((len(texts), WIDE), np.uint64), np.zeros(len(texts), np.int64)
+    steps = (np.arange(WIDE, dtype=np.uint64) * _STEP)[None, :]
+    for k, (at, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+        if n >= width:
+            h = np.sort(rolled[at : at + n - width + 1])
+            h = h[np.concatenate(([True], h[1:] != h[:-1]))]
+        elif n:
+            h = np.zeros(1, np.uint64)
+            for w in words[at : at + n]:
+                h = _mixed(h * _STEP + w + np.uint64(1))
+        else:
+            continue
+        sums = bit_sums(_mixed(h[:, None] + steps))
+        sizes[k] = len(h)
+        out[k] = np.packbits(2 * sums > len(h), bitorder="little").view(np.uint64)
+    return out, sizes
+
+
+def reach(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Differing bits up to which fingerprints of sets link: those expected at the Jaccard similarity, for sets of one size, and one standard deviation more."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, th, fp) of every row: th is a hash of the text, fp the fingerprint's bit pattern as a signed long. Null text: as an empty one."""
 
@@ -57,19 +122,43 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
 
 
-def _stars(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs (member, root) that connect what is linked among a and b; at most len(a) + len(b) of them."""
-    same = a is b
+def _near(radius: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A test of rows of 64-bit words (n, 1) against others: indexes of pairs within the radius."""
+    return lambda a, b: np.nonzero(np.bitwise_count(a[:, 0, None] ^ b[None, :, 0]) <= radius)
+
+
+def _similar(similarity: float) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """A test of rows (n, WIDE + 1), the last the number of shingles: indexes of pairs that are as similar.
+
+    Their bits differ in ``reach`` or fewer, in no more than double the first word's share of those in the first word, and
+    neither set is smaller than ``similarity`` times the other.
+    """
+    radius = reach(similarity)
+    first = 2 * radius // WIDE
+
+    def test(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.nonzero(np.bitwise_count(a[:, 0, None] ^ b[None, :, 0]) <= first)
+        near = np.zeros(len(i), bool)
+        for at in range(0, len(i), 262_144):
+            x, y = a[i[at : at + 262_144]], b[j[at : at + 262_144]]
+            low, high = np.minimum(x[:, -1], y[:, -1]), np.maximum(x[:, -1], y[:, -1])
+            near[at : at + 262_144] = (np.bitwise_count(x[:, :-1] ^ y[:, :-1]).sum(axis=1) <= radius) & (low >= high * similarity)
+        return i[near], j[near]
+
+    return test
+
+
+def _stars(keys: np.ndarray, a: np.ndarray, b: np.ndarray | None, near) -> np.ndarray:
+    """Pairs (member, root) of keys that connect what is linked among the rows a and b (None: a itself), whose keys these are; one for each row at most."""
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
+    off = 0 if b is None else len(a)
+    b = a if b is None else b
     step = max(1, 2_000_000 // max(1, len(b)))
-    parent = np.arange(len(a) + (0 if same else len(b)))
-    off = 0 if same else len(a)
+    parent = np.arange(len(keys))
     for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius
-        i, j = np.nonzero(near)
-        i += at
-        j = j + off
+        i, j = near(a[at : at + step], b)
+        i, j = i + at, j + off
         keep = i < j
         if keep.any():
             left.append(i[keep])
@@ -79,55 +168,65 @@ def _stars(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
             left, right = [], []
     if left:
         parent = fold_labels(parent, np.concatenate(left), np.concatenate(right))
-    values = a if same else np.concatenate([a, b])
     moved = np.nonzero(parent != np.arange(len(parent)))[0]
-    return np.stack([values[moved], values[parent[moved]]], axis=1)
+    return np.stack([keys[moved], keys[parent[moved]]], axis=1)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """Links (a, b: fingerprints as longs) that span every component of the distinct fingerprints in fps (fp: long)."""
-    high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    marked = fps.select("fp", high.alias("hi"), low.alias("lo"))
-    sizes = marked.groupBy("hi", "lo").count()
-    # 33 x 33 groups at most: how many tiles each is cut into, and which groups lie within the radius
-    own = sizes.select("hi", "lo", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("k"))
-    tiles = own.select(F.col("hi").alias("h2"), F.col("lo").alias("l2"), F.col("k").alias("k2"))
-    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
-    shifted = own.select("hi", "lo", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("d"))
-    shifted = shifted.select("hi", "lo", "k", (F.col("hi") + F.col("d.i")).alias("h2"), (F.col("lo") + F.col("d.j")).alias("l2"))
-    code = lambda h, l: F.col(h) * 33 + F.col(l)
-    reach = (
-        shifted.join(F.broadcast(tiles), ["h2", "l2"])
-        .groupBy("hi", "lo", "k")
-        .agg(F.collect_list(F.struct(code("h2", "l2").alias("g"), "k2")).alias("partners"))
-    )
-    rows = marked.join(F.broadcast(reach), ["hi", "lo"]).withColumns(
-        {"g0": code("hi", "lo"), "t0": F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")}
-    )
-    pairs = (
-        rows.select("fp", "g0", "t0", F.explode("partners").alias("p"))
-        .select("fp", "g0", "t0", F.col("p.g").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("p.k2") - 1)).alias("t1"))
+def _tiled_links(rows: DataFrame, steps: list[tuple[int, int]], near, tile: int) -> DataFrame:
+    """Links (a, b) between keys of rows (key: long, x, y: the group, words: array of longs) that span every component of the pairs that ``near`` finds.
+
+    Groups meet whose (x, y) differ by one of ``steps``; they are few, whatever the number of rows, and so is what is broadcast of them.
+    """
+    own = rows.groupBy("x", "y").count().select("x", "y", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("k"))
+    tiles = own.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2"))
+    shifted = own.select("x", "y", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("d"))
+    shifted = shifted.select("x", "y", "k", (F.col("x") + F.col("d.i")).alias("x2"), (F.col("y") + F.col("d.j")).alias("y2"))
+    code = lambda x, y: F.col(x) * 64 + F.col(y)
+    partners = shifted.join(F.broadcast(tiles), ["x2", "y2"]).groupBy("x", "y", "k").agg(F.collect_list(F.struct(code("x2", "y2").alias("g"), "k2")).alias("partners"))
+    dealt = rows.join(F.broadcast(partners), ["x", "y"]).withColumns({"g0": code("x", "y"), "t0": F.pmod(F.xxhash64("key"), F.col("k").cast("long")).cast("int")})
+    pairs = dealt.select("key", "words", "g0", "t0", F.explode("partners").alias("p")).select(
+        "key", "words", "g0", "t0", F.col("p.g").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("p.k2") - 1)).alias("t1")
     )
     me, other = F.struct(F.col("g0").alias("g"), F.col("t0").alias("t")), F.struct(F.col("g1").alias("g"), F.col("t1").alias("t"))
-    keyed = pairs.select(F.least(me, other).alias("x"), F.greatest(me, other).alias("y"), (me > other).alias("second"), "fp")
+    keyed = pairs.select(F.least(me, other).alias("x"), F.greatest(me, other).alias("y"), (me > other).alias("second"), "key", "words")
 
-    def run(key, table):
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        second = table.column("second").to_numpy(zero_copy_only=False)
-        a = np.unique(fp[~second])
-        b = a if key[0].as_py() == key[1].as_py() else np.unique(fp[second])
-        links = _stars(a, b, radius) if len(a) and len(b) else np.zeros((0, 2), np.uint64)
-        return pa.table({"a": links[:, 0].astype(np.uint64).view(np.int64), "b": links[:, 1].astype(np.uint64).view(np.int64)})
+    def run(group, table):
+        keys, second = table.column("key").to_numpy(), table.column("second").to_numpy(zero_copy_only=False)
+        words = pc.list_flatten(table.column("words")).to_numpy().view(np.uint64).reshape(len(keys), -1)
+        if group[0].as_py() == group[1].as_py():
+            links = _stars(keys, words, None, near)
+        else:
+            links = _stars(np.concatenate([keys[~second], keys[second]]), words[~second], words[second], near)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return keyed.groupBy("x", "y").applyInArrow(run, "a long, b long")
 
 
-def _groups(fps: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Of stored (id, th, fp): one row per distinct fingerprint (fp, id: the least, head: the first row by id, null last, and th), and the roots (fp, root) of linked ones."""
+def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+    """Links (a, b: fingerprints as longs) that span every component of the distinct fingerprints in fps (fp: long), linked at ``radius`` differing bits or fewer."""
+    high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
+    return _tiled_links(fps.select(F.col("fp").alias("key"), high.alias("x"), low.alias("y"), F.array("fp").alias("words")), steps, _near(radius), tile)
+
+
+def similarity_links(wide: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that span every component of wide (fp: a hash of the rest, n: shingles, words: array of WIDE longs), distinct rows linked if as similar."""
+    counts = sum((F.bit_count(F.get("words", F.lit(k))) for k in range(1, WIDE)), F.bit_count(F.get("words", F.lit(0))))
+    bucket = F.when(F.col("n") > 0, 1 + F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-log(similarity)) + F.lit(1e-9))).otherwise(-1)
+    bands = ceil(reach(similarity) / BAND)
+    steps = [(i, j) for i in (-1, 0, 1) for j in range(-bands, bands + 1)]
+    rows = wide.select(F.col("fp").alias("key"), bucket.cast("int").alias("x"), F.floor(counts / BAND).cast("int").alias("y"), F.concat("words", F.array(F.col("n"))).alias("words"))
+    return _tiled_links(rows, steps, _similar(similarity), tile)
+
+
+def _distinct(fps: DataFrame, *more: str) -> DataFrame:
+    """Of stored (id, th, fp, more), the stored table of one row per fp: (fp, more, id: the least, head: the first row by id, null last, and th, n: rows)."""
     head = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("id"), F.min(head).alias("head"), F.count(F.lit(1)).alias("n")), "distinct")
-    links = stored(fingerprint_links(distinct, radius), "links")
-    return distinct, stored(components(links).withColumnRenamed("node", "fp"), "roots")
+    return stored(fps.groupBy("fp", *more).agg(F.min("id").alias("id"), F.min(head).alias("head"), F.count(F.lit(1)).alias("rows")), "distinct")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return stored(components(stored(links, "links")).withColumnRenamed("node", "fp"), "roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
@@ -138,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns of docs are not looked at.
     """
     fps = stored(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct, roots = _groups(fps, radius)
+    distinct = _distinct(fps)
+    roots = _roots(fingerprint_links(distinct, radius))
     # most fingerprints have no link: only linked ones are joined with their roots
     named = roots.join(distinct.select("fp", "id"), "fp")
     least = named.groupBy("root").agg(F.min("id").alias("component"))
@@ -147,17 +247,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(least_of, "fp", "left").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the first row by id (null last) and hash of the text stays.
+def with_wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, th, fp, n, words) of every row: th is a hash of the text, words the wide fingerprint, n the number of distinct shingles, fp a hash of both. Null text: as an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 6 * BLOCK_WORDS, side="right")))
+                part = batch.slice(at, to - at)
+                words, sizes = wide_fingerprints(part.column(2), width)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * WIDE, pa.int32()), pa.array(words.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), lists], ["id", "th", "n", "words"])
+                at = to
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, n long, words array<long>")
+    return rows.select("id", "th", F.xxhash64("n", "words").alias("fp"), "n", "words")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """One row per row of docs: (id, component_id), the smallest id reachable over texts of this Jaccard similarity or more of their shingles.
+
+    The similarity is told by wide fingerprints, so pairs within some hundredths of it can fall on either side; equal texts always link. Null ids
+    carry through and never name a component unless all ids of it are null; texts without a word link with each other; repeated rows stay repeated.
+    """
+    fps = stored(with_wide_fingerprints(docs, id_col, text_col, width), "fingerprints")
+    distinct = _distinct(fps, "n", "words")
+    roots = _roots(similarity_links(distinct, similarity))
+    named = roots.join(distinct.select("fp", "id"), "fp")
+    by_fp = named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
+    least_of = distinct.join(by_fp, "fp", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return fps.select("id", "fp").join(least_of, "fp", "left").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of docs without near duplicates (see similar_documents): of each component the first row by id (null last) and hash of the text stays.
 
     Of rows equal in id and text one stays; rows of one id but different texts are different documents. Null and empty texts are
     near duplicates of each other. Columns are docs' own.
     """
-    fps = stored(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct, roots = _groups(fps, radius)
+    fps = stored(with_wide_fingerprints(docs, id_col, text_col, width), "fingerprints")
+    distinct = _distinct(fps, "n", "words")
+    roots = _roots(similarity_links(distinct, similarity))
+    fps = fps.select("id", "th", "fp")
     linked = roots.join(distinct, "fp")
     heads = stored(linked.join(linked.groupBy("root").agg(F.min("head").alias("first")), "root").select("fp", F.col("first").alias("head")), "heads")
-    several = distinct.where("n > 1").join(heads, "fp", "left_anti").select("fp", "head").unionAll(heads)
+    several = distinct.where("rows > 1").join(heads, "fp", "left_anti").select("fp", "head").unionAll(heads)
     key, hashed = unused(docs, "_id", "_th")
     same = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))
     of_groups = stored(fps.join(several, "fp").groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"), F.max(same).alias("same")), "of_groups")
@@ -176,5 +313,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint: 16 hexadecimal digits, component_id) of every document.
+
+    Null, empty and blank texts have fingerprint zero and link like any other; null ids carry through and name a component only if all its ids are
+    null; repeated rows stay repeated; an empty table gives an empty result; other columns are not looked at.
+    """
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -39,6 +39,41 @@ def fingerprint(text, width=3):
     return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
+def shingles(text, width=5):
+    """Distinct shingles of a text, lower-cased in A-Z."""
+    w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) > width else {tuple(w)} - {()}
+
+
+def wide_fingerprint(text, width=5, parts=4):
+    """Bit by bit, with the number of shingles: (list of 64-bit words, n)."""
+    most = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & most
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & most
+        return x ^ (x >> 31)
+
+    hashes = set()
+    for s in shingles(text, width):
+        h = 0
+        for w in s:
+            h = mixed((h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) + 1) & most)
+        hashes.add(h)
+    out = []
+    for k in range(parts):
+        every = [mixed((h + k * 0x9E3779B97F4A7C15) & most) for h in hashes]
+        out.append(sum((2 * sum(x >> b & 1 for x in every) > len(every)) << b for b in range(64)))
+    return out, len(hashes)
+
+
+def similar(a, b, radius=47, similarity=0.8):
+    """Whether two wide fingerprints with their numbers of shingles link."""
+    (x, m), (y, n) = a, b
+    apart = [(i ^ j).bit_count() for i, j in zip(x, y, strict=True)]
+    return sum(apart) <= radius and apart[0] <= radius // 2 and min(m, n) >= similarity * max(m, n)
+
+
 def classes(n, linked):
     """Least index reachable, for each of n things."""
     parent = list(range(n))

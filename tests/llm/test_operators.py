@@ -402,12 +402,52 @@ def test_op9_links_of_random_fingerprints(spark):
 def test_op9_keeps_one_of_each_group(spark, odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    prints = [brute.fingerprint(r[1]) for r in odd_rows()]
-    root = brute.classes(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
-    got = [brute.fingerprint(r["text"]) for r in kept.collect()]
+    prints = [brute.wide_fingerprint(r[1]) for r in odd_rows()]
+    root = brute.classes(len(prints), lambda i, j: brute.similar(prints[i], prints[j], simhash.reach(0.8)))
+    got = [brute.wide_fingerprint(r["text"]) for r in kept.collect()]
     assert len(got) == len(set(root)) and {root[prints.index(x)] for x in got} == set(root)
 
 
+def _similar_texts():
+    import random
+
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):
+        base = prose(k, rng.choice((30, 60, 120, 300, 900))).split()
+        for share in (0.0, 0.01, 0.02, 0.04, 0.07, 0.12):
+            texts.append(" ".join(w if rng.random() > share else rng.choice(("quick", "brown", "fox")) for w in base))
+        texts.append(" ".join(base + prose(500 + k, len(base) // 8 + 1).split()))
+        texts.append(" ".join(base[: len(base) // 2]))
+    return texts + ["", " \n", "one two", "one two", "one two three"]
+
+
+def test_op9_wide_links_equal_brute_force(spark):
+    texts = _similar_texts()
+    prints = [brute.wide_fingerprint(t) for t in texts]
+    got, sizes = simhash.wide_fingerprints(__import__("pyarrow").array(texts))
+    assert [(x.tolist(), n) for x, n in zip(got, sizes.tolist(), strict=True)] == prints
+    root = brute.classes(len(texts), lambda i, j: brute.similar(prints[i], prints[j], simhash.reach(0.8)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(root))
+
+
+def test_op9_wide_links_find_similar_texts_and_leave_others():
+    texts = _similar_texts()
+    sets, prints = [brute.shingles(t) for t in texts], [brute.wide_fingerprint(t) for t in texts]
+    found, all_, wrong, apart = 0, 0, 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            like = len(sets[i] & sets[j]) / union if union else 1.0
+            linked = brute.similar(prints[i], prints[j], simhash.reach(0.8))
+            if like >= 0.8:
+                all_, found = all_ + 1, found + linked
+            if like < 0.6:
+                apart, wrong = apart + 1, wrong + linked
+    assert all_ > 80 and found >= 0.9 * all_ and wrong == 0 and apart > 10_000, (found, all_, wrong)
+
+
 def test_op9_keeps_different_texts_of_one_id(spark, clashing):
     docs = spark.createDataFrame([(7, prose(1, 60)), (7, prose(2, 60)), (None, prose(3, 60)), (None, prose(4, 60)), (7, prose(1, 60))], "doc_id long, text string")
     assert {r["text"] for r in simhash.keep_one(docs).collect()} == {prose(k, 60) for k in (1, 2, 3, 4)}
