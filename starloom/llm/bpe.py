@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, n_partitions
+from .common import fresh_path, partitions_of
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^{S}\p{L}\p{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 JAVA_SPLIT = _SPLIT.replace("{S}", r"\p{IsWhite_Space}")
@@ -93,7 +93,9 @@ def _unpack_ids(blob: bytes) -> pa.ListArray:
 
 
 #: Words that are joined with their ids at once; memory per task stays bounded for any length of texts.
-SLICE_WORDS = 500_000
+SLICE_WORDS = 1_000_000
+#: Bytes of the input (as stored) for a part of the distinct words; words that the task of a part remembers from one asking partition to the next.
+PART_BYTES, REMEMBER = 64 << 20, 500_000
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -113,7 +115,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     split = F.expr(f"regexp_extract_all(text, r\"{JAVA_SPLIT}\", 0)")
     based = docs.select(F.col(id_col).alias("id"), text.alias("text"), direct.alias("direct"))
     spark, uri = docs.sparkSession, fresh_path(docs.sparkSession, "dictionaries")
-    parts = n_partitions(spark)
+    parts = partitions_of(docs, PART_BYTES)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block = set(), None
@@ -135,14 +137,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             found = []
             for blob in batch.column(2).to_pylist():
                 words = _unpack(blob).to_pylist()
+                if len(known) > REMEMBER:
+                    known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = tuple(piece_ids(own, w))
                 found.append(_pack_ids([known[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["block", "words", "ids"])
 
-    answered = asked.repartition(parts, "part").mapInArrow(once, "block int, words binary, ids binary")
-    answered.withColumn("bucket", F.pmod("block", F.lit(parts))).repartition(parts, "bucket").write.partitionBy("bucket").parquet(uri)
+    answered = asked.repartitionById(parts, F.col("part")).mapInArrow(once, "block int, words binary, ids binary")
+    answered.withColumn("bucket", F.pmod("block", F.lit(parts))).repartitionById(parts, F.col("bucket")).write.partitionBy("bucket").parquet(uri)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids, at = None, None, None
@@ -247,6 +251,11 @@ def _decoded(batch: pa.RecordBatch, at: int, path: str) -> pa.RecordBatch:
 
 
 def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document.
+
+    Null and empty texts have no ids and decode to an empty text; null ids and repeated rows are kept; an empty table gives an empty result; other
+    columns are not looked at.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
