@@ -119,7 +119,12 @@ def sizes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sourc
 
 
 def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as they are, no row order."""
+    """The rows of docs, each as often as the mix takes it; columns as they are, no row order.
+
+    Null and empty texts have size 0 and are taken with the other rows of their hash; a null source is a source of its own, the last; rows of one id
+    (null too) hash alike, so that they are taken or left together; an empty table gives an empty result.
+    The names of docs' columns do not matter.
+    """
     limits = plan_mix(sizes(docs, text_col, id_col, source_col))
     narrow = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
     taken = with_copies(narrow, limits, "id", "source").where("copies > 0")
@@ -127,6 +132,11 @@ def mix_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 
 def op2_mix(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document.
+
+    Null texts have size 0; null sources are one source, the last in order; rows of one id are taken or left together; repeated rows each count; an
+    empty table gives an empty result; other columns are not looked at.
+    """
     sized = sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     out = with_copies(sized, plan_mix(sized), "id", "source")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -148,14 +148,18 @@ def held_out_of(id_col):
 
 
 def fit(docs, labels, label: str = "quality", max_labels: int = MAX_LABELS, **params) -> Gam:
-    """A model of ``label`` from at most max_labels labelled rows that are not held out, the least by hash of the id.
+    """A model of ``label`` from at most max_labels labelled rows that are not held out, the least by hash of the id (a threshold keeps all others from the sort).
 
     Null labels and ids are left out; several labels of one id count as their majority (ties: 1), several texts of one id as
     the least feature vector. Only the sampled texts are featured; ids of the sample, at most max_labels, are broadcast.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out_of(F.col("doc_id")))
     own = own.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+    n, wanted = own.count(), 1.2 * max_labels + 1000
+    if n > wanted:  # of so many rows the first max_labels lie under this threshold
+        own = own.where(place <= int(wanted / n * (1 << 32)))
+    sample = own.orderBy(place, "doc_id").limit(max_labels)
     vector = pandas_udf(_vectors, "array<double>")
     # one id may have many texts: the sample is of ids, and each gives one row
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_y", vector("text").alias("x"))
@@ -180,6 +184,11 @@ def score_column(model: Gam, text_col: str = "text"):
 
 
 def op4_quality(spark, sf_dir: str):
+    """(doc_id, held_out, score, predicted) of every document.
+
+    Null and empty texts are scored as empty texts; a null id is held out; repeated rows each have their score; an empty table gives an empty
+    result, and without labels every score is one half; columns besides doc_id and text are not looked at.
+    """
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit(docs, labels)
     out = docs.select("doc_id", held_out_of(F.col("doc_id")).alias("held_out"), score_column(model).alias("score"))

@@ -1,6 +1,7 @@
 """Brute-force versions of what the operators compute, from plain Python."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -144,3 +145,88 @@ def groups(pairs):
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+class Gam:
+    """Cyclic boosting of shallow trees over bins, then over pairs, by loops over rows."""
+
+    def __init__(self, x, y, bins, coarse_bins, rounds, n_pairs, rate=0.1, lam=2.0):
+        n, d = len(y), len(x[0])
+        self.edges = [self.cuts([r[j] for r in x], bins) for j in range(d)]
+        self.coarse = [self.cuts([r[j] for r in x], coarse_bins) for j in range(d)]
+        share = (sum(y) + 1) / (n + 2)
+        self.intercept = math.log(share / (1 - share))
+        self.tables, self.pairs = [[0.0] * (len(e) + 1) for e in self.edges], []
+        value = lambda s, lo, hi: sum(s[k][0] for k in range(lo, hi)) / (sum(s[k][1] for k in range(lo, hi)) + lam)
+        gain = lambda cells: sum(g for g, _ in cells) ** 2 / (sum(h for _, h in cells) + lam)
+        for _ in range(rounds):
+            for j in range(d):
+                sums = [[0.0, 0.0] for _ in self.tables[j]]
+                for r, t in zip(x, y, strict=True):
+                    p = self.score(r)
+                    cell = sums[self.bin(self.edges[j], r[j])]
+                    cell[0] += t - p
+                    cell[1] += p * (1 - p)
+                ends = [0, len(sums)]
+                for _ in range(3):
+                    best, where = 1e-9, None
+                    for a, b in zip(ends, ends[1:], strict=False):
+                        for m in range(a + 1, b):
+                            g = gain(sums[a:m]) + gain(sums[m:b]) - gain(sums[a:b])
+                            if g > best + 1e-12:
+                                best, where = g, m
+                    if where is not None:
+                        ends = sorted([*ends, where])
+                for a, b in zip(ends, ends[1:], strict=False):
+                    for k in range(a, b):
+                        self.tables[j][k] += rate * value(sums, a, b)
+
+        def split(i, j):
+            cells = [[[0.0, 0.0] for _ in range(len(self.coarse[j]) + 1)] for _ in range(len(self.coarse[i]) + 1)]
+            for r, t in zip(x, y, strict=True):
+                p = self.score(r)
+                cell = cells[self.bin(self.coarse[i], r[i])][self.bin(self.coarse[j], r[j])]
+                cell[0] += t - p
+                cell[1] += p * (1 - p)
+            whole = gain([c for row in cells for c in row])
+            best, out = 0.0, None
+            for a in range(len(cells) - 1):
+                for b in range(len(cells[0]) - 1):
+                    parts = defaultdict(list)
+                    for u, row in enumerate(cells):
+                        for v, c in enumerate(row):
+                            parts[u > a, v > b].append(c)
+                    g = sum(map(gain, parts.values())) - whole
+                    if g > best + 1e-12:
+                        best = g
+                        leaf = {k: sum(c[0] for c in p) / (sum(c[1] for c in p) + lam) for k, p in parts.items()}
+                        out = [[leaf[u > a, v > b] for v in range(len(cells[0]))] for u in range(len(cells))]
+            return best, out
+
+        found = sorted((-split(i, j)[0], i, j) for i in range(d) for j in range(i))
+        self.pairs = [(i, j, [[0.0] * (len(self.coarse[j]) + 1) for _ in range(len(self.coarse[i]) + 1)]) for g, i, j in found[:n_pairs] if g < 0]
+        for _ in range(rounds // 4):
+            for i, j, table in self.pairs:
+                step = split(i, j)[1]
+                if step:
+                    for u, row in enumerate(step):
+                        for v, leaf in enumerate(row):
+                            table[u][v] += rate * leaf
+
+    @staticmethod
+    def cuts(values, k):
+        values, out = sorted(values), []
+        for q in range(1, k):
+            at = q / k * (len(values) - 1)
+            low = int(at)
+            out.append(values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low]))
+        return sorted(set(out))
+
+    @staticmethod
+    def bin(edges, v):
+        return sum(e <= v for e in edges)
+
+    def score(self, r):
+        f = self.intercept + sum(t[self.bin(e, v)] for t, e, v in zip(self.tables, self.edges, r, strict=True))
+        f += sum(t[self.bin(self.coarse[i], r[i])][self.bin(self.coarse[j], r[j])] for i, j, t in self.pairs)
+        return 1 / (1 + math.exp(-f))

@@ -191,6 +191,30 @@ def test_op4_gam_finds_an_interaction():
     assert ((model.score(x) > 0.5) == y).mean() > 0.95
 
 
+def test_op4_boosting_equals_a_plain_version():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((220, 3)), 2)
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6) ^ (rng.random(220) < 0.1)).astype(float)
+    model = quality.Gam.fit(x, y, bins=7, coarse_bins=4, rounds=9, n_pairs=2)
+    plain = brute.Gam(x.tolist(), y.tolist(), bins=7, coarse_bins=4, rounds=9, n_pairs=2)
+    for j in range(3):
+        assert np.allclose(model.tables[j], plain.tables[j], atol=1e-9)
+    assert [(i, j) for i, j, _ in model.pairs] == [(i, j) for i, j, _ in plain.pairs]
+    assert np.allclose(model.score(x), [plain.score(r) for r in x.tolist()], atol=1e-9)
+
+
+def test_op4_sample_is_bounded_and_the_least_by_hash(spark, monkeypatch):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    seen = {}
+    monkeypatch.setattr(quality.Gam, "fit", classmethod(lambda cls, x, y, **_: seen.update(n=len(x), y=y.sum())))
+    quality.fit(docs, labels, max_labels=500)
+    assert seen["n"] == 500
+    hashes = spark.range(9000).where(~quality.held_out_of(F.col("id"))).select("id", F.shiftrightunsigned(F.xxhash64("id"), 32).alias("h")).collect()
+    least = sorted(hashes, key=lambda r: (r["h"], r["id"]))[:500]
+    assert seen["y"] == sum(r["id"] % 2 for r in least)
+
+
 def test_op5_equals_the_library(spark, odd_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = bpe.tokenizer(path)
