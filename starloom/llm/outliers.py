@@ -18,8 +18,9 @@ from .common import let, stored, words_of
 #: Smallest group that gets an estimate of its own; share of rows that a concentration step keeps; concentration steps.
 MIN_ROWS, SUPPORT, STEPS = 50, 0.6, 4
 NAMES = ("x1", "x2", "x3", "x4", "x5")
-#: Standard deviations (of the transformed statistics) added to each estimate: differences below do not count as odd.
-FLOORS = (0.08, 0.08, 0.20, 0.20, 0.08)
+#: Standard deviations (of the transformed statistics) added to each estimate: differences below do not count as odd. Those of
+#: repeated lines and words are small enough that either share alone can pass the cut-off (at some 0.44, where a group has none).
+FLOORS = (0.08, 0.08, 0.13, 0.13, 0.08)
 SCALE = 1024
 #: Of 5 degrees of freedom: the median, the 0.975 quantile for reweighting, and the 0.9999 quantile as the verdict's cut-off.
 CHI2_MEDIAN, CHI2_975, CHI2_CUT = 4.351, 12.833, 25.745
@@ -151,18 +152,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = final.count()
     out = rows
     fields = [c for c in final.columns if c not in _KEY]
-    for k in range(3):
+    for k in range(2):
         side = _side(final.where(F.col("level") == k).select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.struct(*fields).alias(f"p{k}")), n)
         key = _keys(k)
         out = out.join(side, (key[1] == F.col(f"a{k}")) & (key[2] == F.col(f"b{k}")), "left").drop(f"a{k}", f"b{k}")
-    out = out.withColumn("p", F.coalesce("p0", "p1", "p2"))
+    every = final.where("level = 2").select(*fields).first()  # one row, if there are enough
+    out = out.withColumn("p", F.coalesce("p0", "p1", *([F.struct(*[F.lit(every[c]).alias(c) for c in fields])] if every else [])))
     distance = _squared([F.col(c) for c in NAMES], lambda name: F.col(f"p.{name}")) / F.col("p.scale")
     judged = out.withColumn("distance", F.when(~F.col("base_failed"), distance))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CHI2_CUT)
-    return judged.withColumn("kept", kept).drop("p", "p0", "p1", "p2", *NAMES)
+    return judged.withColumn("kept", kept).drop("p", "p0", "p1", *NAMES)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of every document.
+
+    Null and empty texts count as empty and fail the fixed rules; null ids, languages and sources are kept as such; repeated rows each have
+    their result; an empty table gives an empty result; other columns are not looked at.
+    """
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
 

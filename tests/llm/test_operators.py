@@ -68,6 +68,22 @@ def test_op1_rejects_what_is_odd_for_its_group_and_keeps_the_rest(spark):
     assert not any(kept[k] for k in kept if k >= 1000)
 
 
+def test_op1_rejects_repeated_lines_and_repeated_words_alone(spark):
+    import random
+
+    rng = random.Random(6)
+    lines = lambda n: [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(12)) for _ in range(n)]
+    rows = [(k, "\n".join(lines(12 + k % 30)), "en", "web") for k in range(300)]
+    rows += [(1000 + k, "\n".join(y for x in lines(20) for y in (f"menu{k}", x)), "en", "web") for k in range(3)]
+    for k in range(3):
+        again = " ".join(lines(6))
+        rows.append((2000 + k, "\n".join([*lines(14), again, again]), "en", "web"))
+    out = {r["id"]: r for r in outliers.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(not r["kept"] for k, r in out.items() if k >= 1000), [(k, r["base_failed"], r["distance"]) for k, r in out.items() if k >= 1000]
+    assert sum(not out[k]["kept"] for k in range(300)) <= 2
+    assert any(not r["base_failed"] for k, r in out.items() if 1000 <= k < 2000) and any(not r["base_failed"] for k, r in out.items() if k >= 2000)
+
+
 def test_op1_small_groups_use_wider_ones(spark):
     rows = [(k, prose(k, 150), "en", f"s{k % 40}") for k in range(200)] + [(900, prose(900, 150), "fr", "only")]
     out = outliers.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
