@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each of one operator; every stage works on all that the one before it kept."""
+"""A corpus pipeline of five stages, each of one operator; every stage works on all that the one before it kept.
+
+Nulls in any column are carried through: a null text is treated as an empty one (and stays null until it is encoded), a null id is an id, a null source a
+source of its own. Repeated rows are rows; empty tables give empty results; columns besides those of documents ride along up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +17,28 @@ LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that the quality classifier rejects go; labels come from the input's own table."""
+    """Operator 4: documents that the quality classifier rejects go; labels come from the input's own table. Null and empty texts are scored as empty ones."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score_column(model) >= LEAST_QUALITY)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of equal and nearly equal lines the first stays; every document stays."""
+    """Operator 8: of equal and nearly equal lines the first stays (by id, null last); every document stays, also if its text is empty then."""
     return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of near duplicates stays."""
+    """Operator 9: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the first by id stays, null last; texts without a word are one group."""
     return simhash.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: sources are mixed to target weights; a document can be taken twice."""
+    """Operator 2: sources are mixed to target weights; a document can be taken twice, rows of one id are taken or left together."""
     return mixing.mix_documents(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: token ids of each document, and the digest of what they decode to."""
+    """Operator 5: token ids of each document (null and empty texts: none), and the digest of what they decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what one returns is written as Parquet and read again for the next."""
+    """All stages in turn over documents; what one returns is written as Parquet and read again for the next. An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
