@@ -93,7 +93,7 @@ def _unpack_ids(blob: bytes) -> pa.ListArray:
 
 
 #: Words that are joined with their ids at once; memory per task stays bounded for any length of texts.
-SLICE_WORDS = 1_000_000
+SLICE_WORDS = 400_000
 #: Bytes of the input (as stored) for a part of the distinct words; words that the task of a part remembers from one asking partition to the next.
 PART_BYTES, REMEMBER = 64 << 20, 500_000
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,16 @@ def partitions_of(df: DataFrame, bytes_each: int) -> int:
     return max(n_partitions(df.sparkSession), -(-size // bytes_each) if known else 0)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose strings in a column have ``most`` bytes or less together, or one row: what a worker makes of a run stays small."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def fold_labels(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after joining i and j: minimum labels spread until nothing changes."""
     while True:

@@ -6,7 +6,7 @@ differs only by what the edits around it allow, so each line is looked up, for e
 positions left by the multi-match-aware bounds. Lookups are 64-bit keys (length, segment, substring's hash), taken from
 prefix sums over the characters of many lines at once.
 
-Texts are split once: the lines (with their text where it is new to its batch) are a written table, and everything else reads columns
+Texts are split once: the lines (with their text where it is new to the texts beside it) are a written table, and everything else reads columns
 of it. An aggregate finds the keys that lines share, and a semi-join leaves their lines, never pairs. The lines of a key are cut into
 tiles of bounded size, and each pair of tiles is compared in one task by a banded bit-parallel edit distance, many pairs
 at a time. A pair that shares several keys is compared at the first only, so links are counted exactly; a task gives one
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, fold_labels, stored, unused
+from .common import SPACE, components, fold_labels, stored, text_slices, unused
 
 #: Edits that still make two lines the same: at most so many, and one for every so many characters of the shorter line. Lines too
 #: short for one edit are the same only if equal.
@@ -32,8 +32,8 @@ EDITS, PER_EDIT = 2, 16
 TILE = 1024
 #: Tables of up to this many rows of two or three longs are broadcast; and those of lists of up to so many line numbers in all.
 BROADCAST_ROWS, BROADCAST_NUMBERS = 200_000, 20_000
-#: Characters whose lines are keyed at once.
-BLOCK_CHARS = 1 << 18
+#: Bytes of texts that are split at once; characters whose lines are keyed at once.
+SLICE_BYTES, BLOCK_CHARS = 1 << 22, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -174,12 +174,12 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int, width: int)
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = PER_EDIT) -> DataFrame:
     """(id, th: hash of the text, line_no, h: hash of the line, line) of all lines with a word, trimmed.
 
-    ``line`` is given where h is new to its batch, and only if it has ``least`` or more characters.
+    ``line`` is given where h is new to its run of texts, and only if it has ``least`` or more characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 2, SLICE_BYTES)):
             row, number, hashes, texts, seen = [], [], [], [], set()
             for k, text in enumerate(batch.column(2).to_pylist()):
                 for n, raw in enumerate(text.split("\n")):

@@ -14,7 +14,7 @@ there are by whole population counts and by the number of shingles, as similar s
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from math import acos, ceil, log, pi
 
 import numpy as np
@@ -24,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fold_labels, stored, unused
+from .common import components, fold_labels, stored, text_slices, unused
 
 TILE = 8192
 #: Tables of up to this many single longs are broadcast.
 BROADCAST_ROWS = 500_000
 #: Jaccard similarity and words of a shingle of near duplicates; 64-bit words of a wide fingerprint; population counts to a band.
 SIMILARITY, WIDTH, WIDE, BAND = 0.8, 5, 4, 16
-#: Words of texts that are hashed at once.
-BLOCK_WORDS = 1 << 20
+#: Bytes of texts whose words are hashed at once.
+SLICE_BYTES = 1 << 21
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHIFTS = np.arange(64, dtype=np.uint64)
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -41,8 +41,8 @@ _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 def bit_sums(h: np.ndarray) -> np.ndarray:
     """How often each bit is set in the rows of h (n, w) of 64-bit words: 64 * w counts."""
     sums = np.zeros(64 * h.shape[1], np.int64)
-    for at in range(0, len(h), 255 * 128):  # bits become bytes, of which eight are added at once, 255 rows at most before they could run over
-        bits = np.unpackbits(h[at : at + 255 * 128].view(np.uint8), axis=1, bitorder="little")
+    for at in range(0, len(h), 255 * 16):  # bits become bytes, of which eight are added at once, 255 rows at most before they could run over
+        bits = np.unpackbits(h[at : at + 255 * 16].view(np.uint8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):
             sums += np.add.reduce(bits[k : k + 255].view(np.uint64), axis=0).view(np.uint8)
     return sums
@@ -122,58 +122,63 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
 
 
-def _near(radius: int) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """A test of rows of 64-bit words (n, 1) against others: indexes of pairs within the radius."""
+def _first_word(radius: int):
+    """Whether the first of the 64-bit words of rows a and b differ in ``radius`` bits or fewer: indexes of such pairs."""
     return lambda a, b: np.nonzero(np.bitwise_count(a[:, 0, None] ^ b[None, :, 0]) <= radius)
 
 
-def _similar(similarity: float) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """A test of rows (n, WIDE + 1), the last the number of shingles: indexes of pairs that are as similar.
+def _similar(similarity: float):
+    """Tests of rows (n, WIDE + 1), the last the number of shingles, that are as similar: one of all pairs, and one of those it leaves.
 
     Their bits differ in ``reach`` or fewer, in no more than double the first word's share of those in the first word, and
     neither set is smaller than ``similarity`` times the other.
     """
     radius = reach(similarity)
-    first = 2 * radius // WIDE
 
-    def test(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.nonzero(np.bitwise_count(a[:, 0, None] ^ b[None, :, 0]) <= first)
-        near = np.zeros(len(i), bool)
-        for at in range(0, len(i), 262_144):
-            x, y = a[i[at : at + 262_144]], b[j[at : at + 262_144]]
-            low, high = np.minimum(x[:, -1], y[:, -1]), np.maximum(x[:, -1], y[:, -1])
-            near[at : at + 262_144] = (np.bitwise_count(x[:, :-1] ^ y[:, :-1]).sum(axis=1) <= radius) & (low >= high * similarity)
-        return i[near], j[near]
+    def rest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(x[:, -1], y[:, -1]), np.maximum(x[:, -1], y[:, -1])
+        return (np.bitwise_count(x[:, :-1] ^ y[:, :-1]).sum(axis=1) <= radius) & (low >= high * similarity)
 
-    return test
+    return _first_word(2 * radius // WIDE), rest
 
 
-def _stars(keys: np.ndarray, a: np.ndarray, b: np.ndarray | None, near) -> np.ndarray:
-    """Pairs (member, root) of keys that connect what is linked among the rows a and b (None: a itself), whose keys these are; one for each row at most."""
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
+def _stars(keys: np.ndarray, a: np.ndarray, b: np.ndarray | None, first, rest=None) -> np.ndarray:
+    """Pairs (member, root) of keys that connect what is linked among the rows a and b (None: a itself), whose keys these are; one for each row at most.
+
+    Pairs that are connected already are left out, so that a group of many rows costs no memory for its pairs.
+    """
     off = 0 if b is None else len(a)
     b = a if b is None else b
-    step = max(1, 2_000_000 // max(1, len(b)))
+    step = max(1, 500_000 // max(1, len(b)))
     parent = np.arange(len(keys))
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    held = 0
     for at in range(0, len(a), step):
-        i, j = near(a[at : at + step], b)
+        i, j = first(a[at : at + step], b)
         i, j = i + at, j + off
-        keep = i < j
-        if keep.any():
-            left.append(i[keep])
-            right.append(j[keep])
-        if sum(map(len, left)) > 4_000_000:  # fold what is found so far into the labels, so that memory stays bounded
-            parent = fold_labels(parent, np.concatenate(left), np.concatenate(right))
-            left, right = [], []
-    if left:
+        for k in range(0, len(i), 65_536):
+            x, y = i[k : k + 65_536], j[k : k + 65_536]
+            new = (x < y) & (parent[x] != parent[y])
+            x, y = x[new], y[new]
+            if rest is not None and len(x):
+                near = rest(a[x], b[y - off])
+                x, y = x[near], y[near]
+            if len(x):
+                left.append(x)
+                right.append(y)
+                held += len(x)
+            if held > 100_000:  # fold what is found so far into the labels
+                parent = fold_labels(parent, np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+    if held:
         parent = fold_labels(parent, np.concatenate(left), np.concatenate(right))
     moved = np.nonzero(parent != np.arange(len(parent)))[0]
     return np.stack([keys[moved], keys[parent[moved]]], axis=1)
 
 
-def _tiled_links(rows: DataFrame, steps: list[tuple[int, int]], near, tile: int) -> DataFrame:
-    """Links (a, b) between keys of rows (key: long, x, y: the group, words: array of longs) that span every component of the pairs that ``near`` finds.
+def _tiled_links(rows: DataFrame, steps: list[tuple[int, int]], tests: tuple, tile: int) -> DataFrame:
+    """Links (a, b) between keys of rows (key: long, x, y: the group, words: array of longs) that span every component of the pairs that pass the tests (see _stars).
 
     Groups meet whose (x, y) differ by one of ``steps``; they are few, whatever the number of rows, and so is what is broadcast of them.
     """
@@ -194,9 +199,9 @@ def _tiled_links(rows: DataFrame, steps: list[tuple[int, int]], near, tile: int)
         keys, second = table.column("key").to_numpy(), table.column("second").to_numpy(zero_copy_only=False)
         words = pc.list_flatten(table.column("words")).to_numpy().view(np.uint64).reshape(len(keys), -1)
         if group[0].as_py() == group[1].as_py():
-            links = _stars(keys, words, None, near)
+            links = _stars(keys, words, None, *tests)
         else:
-            links = _stars(np.concatenate([keys[~second], keys[second]]), words[~second], words[second], near)
+            links = _stars(np.concatenate([keys[~second], keys[second]]), words[~second], words[second], *tests)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return keyed.groupBy("x", "y").applyInArrow(run, "a long, b long")
@@ -206,7 +211,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> Data
     """Links (a, b: fingerprints as longs) that span every component of the distinct fingerprints in fps (fp: long), linked at ``radius`` differing bits or fewer."""
     high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
-    return _tiled_links(fps.select(F.col("fp").alias("key"), high.alias("x"), low.alias("y"), F.array("fp").alias("words")), steps, _near(radius), tile)
+    return _tiled_links(fps.select(F.col("fp").alias("key"), high.alias("x"), low.alias("y"), F.array("fp").alias("words")), steps, (_first_word(radius),), tile)
 
 
 def similarity_links(wide: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -251,16 +256,10 @@ def with_wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """(id, th, fp, n, words) of every row: th is a hash of the text, words the wide fingerprint, n the number of distinct shingles, fp a hash of both. Null text: as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64)
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 6 * BLOCK_WORDS, side="right")))
-                part = batch.slice(at, to - at)
-                words, sizes = wide_fingerprints(part.column(2), width)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * WIDE, pa.int32()), pa.array(words.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), lists], ["id", "th", "n", "words"])
-                at = to
+        for part in (part for whole in batches for part in text_slices(whole, 2, SLICE_BYTES)):
+            words, sizes = wide_fingerprints(part.column(2), width)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * WIDE, pa.int32()), pa.array(words.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), lists], ["id", "th", "n", "words"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, n long, words array<long>")

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .bpe import piece_ids, tokenizer
-from .common import fresh_path, n_partitions, partitions_of, stored
+from .common import fresh_path, n_partitions, partitions_of, stored, text_slices
 
 LENGTH, ROWS = 2048, 64
-#: Bytes of the input (as stored) for a shard; documents for a batch of the index; characters of texts whose words are encoded at once.
-SHARD_BYTES, INDEX_ROWS, BLOCK_CHARS = 128 << 20, 8192, 1 << 24
+#: Bytes of the input (as stored) for a shard; documents for a batch of the index; bytes of texts whose words are encoded at once.
+SHARD_BYTES, INDEX_ROWS, SLICE_BYTES = 128 << 20, 8192, 1 << 24
 #: Texts of these code points only are split here word by word; any other text goes to the tokenizer whole. Below U+0250 no
 #: code point composes under NFC, lower-casing depends on no neighbour, and but for U+001C to U+001F Arrow cuts at the white
 #: space at which the tokenizer does.
@@ -214,15 +214,11 @@ def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = 2, id_col:
         shard = TaskContext.get().partitionId()
         own, writer, n = _encoder(path), None, 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-            at = 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, side="right")))
-                if writer is None:
-                    writer = ShardWriter(f"{uri}/part-{shard:06d}", arrow_type, dtype, length)
-                writer.add(batch.column(0).slice(at, to - at), *own(texts[at:to], end_id))
-                n, at = n + to - at, to
+            if batch.num_rows and writer is None:
+                writer = ShardWriter(f"{uri}/part-{shard:06d}", arrow_type, dtype, length)
+            for part in text_slices(batch, 1, SLICE_BYTES):
+                writer.add(part.column(0), *own(part.column(1).to_pylist(), end_id))
+                n += part.num_rows
         if writer:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [f"{uri}/part-{shard:06d}"], "n_docs": [n], "n_tokens": [writer.close()]})
 
