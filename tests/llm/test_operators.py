@@ -511,3 +511,41 @@ def test_op10_inheritance_and_headers(spark):
 def test_op10_root_licence_reaches_all(spark):
     docs = spark.createDataFrame([(1, "LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "x"), (3, "d.py", "y")], "doc_id long, path string, text string")
     assert {r["license"] for r in licenses.scan_licenses(docs, F.col("path")).collect()} == {"MIT"}
+
+
+def test_op10_headers_and_files_as_they_are_written(spark):
+    import textwrap
+
+    lead = {"#": "# ", "//": "// ", "*": " * "}
+    wrap = lambda text, mark: "\n".join(lead[mark] + x for part in text.split("\n") for x in textwrap.wrap(part, 72))
+    prose_lines = prose(4, 150)
+    mit, bsd = licenses._MIT + "\n\n" + licenses._MIT_END, "\n".join((licenses._BSD2, licenses._BSD3, licenses._BSD_END))
+    rows = [
+        ("a.py", wrap(licenses._GPL3, "#") + "\nimport os\nprint(os.name)", "GPL-3.0"), ("b.c", "/*\n" + wrap(licenses._GPL2, "*") + "\n */\nint main;", "GPL-2.0"), ("c.js", wrap(licenses._ISC, "//") + "\nlet x = 1", "ISC"),
+        ("d.rs", "fn f() {}\n" + wrap(dict(licenses.TEMPLATES[::-1])["MPL-2.0"], "//") + "\nfn g() {}", "MPL-2.0"), ("e.java", wrap(licenses._APACHE, "*"), "Apache-2.0"), ("f.txt", mit.replace("\n", " "), "MIT"),
+        ("g.txt", textwrap.fill(mit, 70), "MIT"), ("LICENSE", "Copyright (c) 2020 Some One\n\n" + textwrap.fill(mit, 80), "MIT"), ("sub/COPYING", "Copyright (c) 2001, A B\n" + "\n".join(textwrap.fill(x, 75) for x in bsd.split("\n")), "BSD-3-Clause"),
+        ("h.txt", f"{prose_lines}\nReleased under the MIT.\n{prose_lines}", "MIT"), ("i.txt", "Use of this code is governed by a BSD-style file.", "BSD-3-Clause"), ("j.txt", "Subject to the terms of the Mozilla Public, v. 2.0.", "MPL-2.0"),
+        ("k/l.txt", prose_lines, "MIT"), ("m.txt", "the terms of the house are that you may use the garden\n" * 3 + prose_lines, "MIT"), ("n.c", "// GNU GENERAL PUBLIC LICENSE\n//   Version 2, June 1991", "GPL-2.0"),
+    ]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(docs, F.col("path")).collect()}
+    assert {k: got[k][0] for k in got} == {k: r[2] for k, r in enumerate(rows)}
+    assert {k for k in got if got[k][1] == "inherited"} == {12, 13} and {k for k in got if got[k][1] == "file"} == {7, 8}
+
+
+def test_op10_needed_terms_are_in_every_match():
+    import random
+
+    rng, needed = random.Random(2), set(licenses.needed_terms())
+    known, unknown = licenses.template_terms()
+    idf = {t: v for t, v, *_ in known}
+    vectors = brute.groups(((k, (t, w)) for t, _, k, _, w in known))
+    others = sorted(set(idf) - needed)
+    assert {"the", "of", "and", "to", "in", "is"} <= set(others) and "license" in idf
+    for _ in range(300):
+        terms = rng.sample(others, rng.randint(1, min(40, len(others))))
+        if rng.random() < 0.5:  # the worst case: what a template has besides needed terms
+            terms = [t for t, _ in vectors[rng.randrange(len(vectors))] if t not in needed] or terms
+        u = {t: (1 + rng.random()) * idf[t] for t in terms}
+        norm = sum(v * v for v in u.values()) ** 0.5
+        assert all(sum(u.get(t, 0) * w for t, w in own) / norm < licenses.THRESHOLD for own in vectors.values())
