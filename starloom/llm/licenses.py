@@ -24,8 +24,8 @@ from .common import let, stored
 
 THRESHOLD = 0.6
 BROADCAST_ROWS = 200_000
-#: Words that any text may hold: of a template's terms these are left out first where the ones that a match needs are chosen.
-ORDINARY = "a all an and any are as be by can do for from has have if in into is it its may must no not of on or other out such that the their they this to under use used was which with without you your".split()
+#: Words that any text may hold; they weigh as terms that all documents have.
+ORDINARY = frozenset("a all an and any are as at be but by can do even for from has have if in into is it its may more must no not of on one or other out see shall so such that the their they this to under use used was way what which will with without you your".split())
 # Public licence texts, headers and titles.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -105,7 +105,7 @@ def template_terms(templates=TEMPLATES) -> tuple[list[tuple[str, float, int, str
             own[t] = own.get(t, 0) + 1
         counts.append(own)
     n = len(templates)
-    idf = lambda t: log((1 + n) / (1 + sum(t in c for c in counts))) + 1
+    idf = lambda t: 1.0 if t in ORDINARY else log((1 + n) / (1 + sum(t in c for c in counts))) + 1
     out = []
     for k, ((name, _), own) in enumerate(zip(templates, counts, strict=True)):
         raw = {t: (1 + log(c)) * idf(t) for t, c in own.items()}
@@ -133,6 +133,15 @@ def needed_terms(templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[str
     return tuple(sorted(out))
 
 
+def _any_of(terms: list[str]) -> str:
+    """A regular expression for any of these strings in which common beginnings are shared, so that it fails within a step or two."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[:1], []).append(t[1:])
+    out = [re.escape(c) + ("" if rest == [""] else _any_of(rest)) for c, rest in sorted(by.items()) if c]
+    return ("(?:" + "|".join(out) + ")" + ("?" if "" in by else "")) if out else ""
+
+
 def _known(spark: SparkSession, templates) -> tuple[DataFrame, DataFrame]:
     """Constant tables (term, idf) and (term, template, license, weight)."""
     rows, _ = template_terms(templates)
@@ -166,7 +175,7 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     unknown = template_terms(templates)[1]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     based = docs.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), text.alias("text"))
-    wanted = F.col("text").rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in needed_terms(templates, threshold)) + r")(?![a-z0-9])")
+    wanted = F.lower("text").rlike(r"(?<![a-z0-9])" + _any_of(list(needed_terms(templates, threshold))) + r"(?![a-z0-9])")
     rows = stored(
         based.select(F.monotonically_increasing_id().alias("row"), "id", "path", directory(F.col("path")).alias("dir"), is_license_file(F.col("path")).alias("is_file"), F.when(wanted, F.split("text", "\n", -1)).alias("lines")), "rows"
     )
