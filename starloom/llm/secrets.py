@@ -1,19 +1,20 @@
 """Secret scans: fixed rules, and formats learned by grammar inference.
 
-For each kind of labelled credential, a prefix tree over character classes is folded into a probabilistic automaton
-by merging states whose outgoing frequencies agree within a Hoeffding bound (state merging in red-blue order). Every
-long enough run of credential characters in a text is a candidate, and so are its parts between separators where the run
-itself is none, as in paths and URLs; the score is the log-likelihood per character
-under each automaton against a background of ordinary prose. Values that no fixed rule knows are reported so.
+For each kind of labelled credential, a prefix tree is folded into a probabilistic automaton by merging states whose outgoing frequencies, and
+whose distributions of the number of characters still to come, agree within a Hoeffding bound. So fixed lengths stay in the states and
+free ones become loops. Symbols are character classes, and the characters themselves at the beginning of a format as long as all its samples
+have few different ones there. Every run of credential characters in a text is a candidate, and so are its parts between separators; each is scored by every
+automaton: its log-likelihood against a background of ordinary strings (classes of characters one behind the other). Values that no fixed rule knows
+are reported so. Runs of one shape (a word, a word in capitals, a number) are not scored if no automaton can accept any such run, which follows from
+the automata themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os.path
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from math import inf, log, log2, sqrt
 
@@ -25,42 +26,77 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-#: A credential that is joined to other text begins behind one of these (or at its kind's prefix) and ends before one.
-_SEPARATOR = re.compile(r"[+/_.=-]")
-_SIZES = {"l": 20, "h": 6, "U": 20, "H": 6, "d": 10}
-#: Log2 chance of a character of each class in prose that a credential must beat.
-_PROSE = {"l": log2(0.62 / 20), "h": log2(0.27 / 6), "U": log2(0.03 / 20), "H": log2(0.02 / 6), "d": log2(0.03 / 10)}
-_OTHER = log2(0.005)
-
-
-def classes(value: str) -> str:
-    """Characters by class: l and h lower case (h: a-f), U and H upper case, d digits; others stand for themselves."""
-    return "".join("h" if "a" <= c <= "f" else "l" if "a" <= c <= "z" else "H" if "A" <= c <= "F" else "U" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else c for c in value)
+_CHARS = "A-Za-z0-9+/_.=-"
+_SEPARATORS = "+/_.=-"
+#: Classes of characters with the number of their members: lower case (those of hexadecimal digits apart), upper case alike, digits.
+_SIZES = {"lower": 20, "a-f": 6, "upper": 20, "A-F": 6, "digit": 10}
+_CLASS = {c: "a-f" if c <= "f" else "lower" for c in "abcdefghijklmnopqrstuvwxyz"}
+_CLASS |= {c.upper(): "A-F" if c <= "f" else "upper" for c in "abcdefghijklmnopqrstuvwxyz"} | dict.fromkeys("0123456789", "digit") | {c: c for c in _SEPARATORS}
+_GROUP = {"lower": "low", "a-f": "low", "upper": "up", "A-F": "up", "digit": "digit"}
+#: Chances in ordinary words, names, numbers, paths and the like that a character of a group follows one of another.
+_FOLLOWS = {
+    "start": {"low": 0.60, "up": 0.20, "digit": 0.15, "sign": 0.05},
+    "low": {"low": 0.93, "up": 0.02, "digit": 0.02, "sign": 0.03},
+    "up": {"low": 0.45, "up": 0.45, "digit": 0.05, "sign": 0.05},
+    "digit": {"low": 0.06, "up": 0.04, "digit": 0.75, "sign": 0.15},
+    "sign": {"low": 0.50, "up": 0.15, "digit": 0.30, "sign": 0.05},
+}
+_WITHIN = {"lower": 0.73 / 20, "a-f": 0.27 / 6, "upper": 0.73 / 20, "A-F": 0.27 / 6, "digit": 1 / 10}
+_group = lambda c: _GROUP.get(_CLASS[c], "sign")
+_START = {c: log2(_FOLLOWS["start"][_group(c)] * _WITHIN.get(_CLASS[c], 1 / 6)) for c in _CLASS}
+_NEXT = {(_group(b), c): log2(_FOLLOWS[_group(b)][_group(c)] * _WITHIN.get(_CLASS[c], 1 / 6)) for b in _CLASS for c in _CLASS}
+#: Bits over the background that a credential has at least, in all and for each character.
+LEAST_BITS, LEAST_RATE = 8.0, 0.3
+#: Different characters up to which a place at the beginning of a format is one of fixed characters.
+FIXED = 6
+#: Samples in a state from which a class that none of them has is no part of the format.
+ENOUGH = 30
+
+
+def background(value: str) -> list[float]:
+    """Log2 chance of each character of a value under the background."""
+    return [_NEXT[_group(value[k - 1]), c] if k else _START[c] for k, c in enumerate(value)]
 
 
 class Automaton:
-    """A probabilistic automaton merged from the prefix tree of samples; ``bits(symbols)`` is their log2-likelihood."""
+    """A probabilistic automaton merged from the prefix tree of samples; ``bits(value)`` is their log2-likelihood."""
 
     def __init__(self, samples: Iterable[str], alpha: float = 0.05):
+        samples = [s for s in samples if all(c in _CLASS for c in s)]
+        fixed = 0
+        while samples and fixed < min(map(len, samples)) and len({s[fixed] for s in samples}) <= min(FIXED, 1 + len(samples) // 20):
+            fixed += 1
         count, ends, step = [0], [0], [{}]  # the prefix tree
         passed: list[dict[str, int]] = [defaultdict(int)]
+        rest: list[Counter] = [Counter()]  # how many characters are still to come
         for s in samples:
             at = 0
             count[0] += 1
-            for c in s:
+            rest[0][len(s)] += 1
+            for k, c in enumerate(s):
+                c = c if k < fixed else _CLASS[c]
                 passed[at][c] += 1
                 if c not in step[at]:
                     step[at][c] = len(count)
-                    count.append(0), ends.append(0), step.append({}), passed.append(defaultdict(int))
+                    count.append(0), ends.append(0), step.append({}), passed.append(defaultdict(int)), rest.append(Counter())
                 at = step[at][c]
                 count[at] += 1
+                rest[at][len(s) - k - 1] += 1
             ends[at] += 1
         bound = sqrt(0.5 * log(2 / alpha))
 
         def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
             return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (1 / sqrt(n1) + 1 / sqrt(n2))
 
+        def apart(a: int, b: int) -> float:
+            """The largest difference between the shares of strings with so many characters, or fewer, to come."""
+            most = x = y = 0.0
+            for r in sorted(rest[a].keys() | rest[b].keys()):
+                x += rest[a][r] / count[a]
+                y += rest[b][r] / count[b]
+                most = max(most, abs(x - y))
+            return most
+
         def compatible(a: int, b: int) -> bool:
             stack = [(a, b)]
             while stack:
@@ -82,6 +118,7 @@ class Automaton:
                     continue
                 count[a] += count[b]
                 ends[a] += ends[b]
+                rest[a].update(rest[b])
                 for c, n in passed[b].items():
                     passed[a][c] += n
                 for c, to in list(step[b].items()):
@@ -91,43 +128,69 @@ class Automaton:
                         step[a][c] = to
 
         red = [0]
-        blue = [(0, c) for c in sorted(step[0])]
-        while blue:
+        while True:
             blue = [(q, c) for q in red for c in sorted(step[q]) if step[q][c] not in red]
             if not blue:
                 break
             q, c = min(blue, key=lambda x: (-count[step[x[0]][x[1]]], x))
             b = step[q][c]
-            for r in red:
+            near = sorted((d, r) for d, r in ((apart(r, b), r) for r in red) if d <= bound * (1 / sqrt(count[r]) + 1 / sqrt(count[b])))
+            for _, r in near:
                 if compatible(r, b):
                     step[q][c] = r
                     merge(r, b)
                     break
             else:
                 red.append(b)
-        self.n_states = len(red)
+        self.n_states, self.fixed = len(red), fixed
         at = {q: i for i, q in enumerate(red)}
         self.moves = [{c: (at[step[q][c]], log2(passed[q][c] / count[q]) - log2(_SIZES.get(c, 1))) for c in step[q] if passed[q][c]} for q in red]
         self.stop = [log2(ends[q] / count[q]) if ends[q] else -inf for q in red]
-        for i, q in enumerate(red):  # a class that no sample has here goes where the likeliest one goes, as the next sample might have it
+        for i, q in enumerate(red):  # a class that none of a few samples has here goes where the likeliest one goes, as the next sample might have it
             known = [self.moves[i][c] for c in _SIZES if c in self.moves[i]]
-            if known:
+            if known and count[q] < ENOUGH:
                 to = max(known, key=lambda move: move[1])[0]
                 self.moves[i] |= {c: (to, -log2(count[q] + 2) - log2(n)) for c, n in _SIZES.items() if c not in self.moves[i]}
 
-    def bits(self, symbols: str) -> float:
+    def move(self, q: int, c: str) -> tuple[int, float] | None:
+        """The state behind q by a character, and its log2 chance."""
+        return self.moves[q].get(c) or self.moves[q].get(_CLASS[c])
+
+    def bits(self, value: str) -> float:
         q, total = 0, 0.0
-        for c in symbols:
-            move = self.moves[q].get(c)
+        for c in value:
+            move = self.move(q, c)
             if move is None:
                 return -inf
             q = move[0]
             total += move[1]
-        return total + self.stop[q] if self.stop[q] > -inf else -inf
-
-
-def labelled_credentials(n: int = 400, seed: int = 7) -> list[tuple[str, str]]:
-    """Labelled credentials (kind, value) in publicly documented formats, made with a fixed seed."""
+        return total + self.stop[q]
+
+    def most(self, first: str, others: str, needed: str) -> float:
+        """A bound on the bits over the background of strings of one character of ``first`` and any of ``others``, one of them or more from ``needed``."""
+        best = {(0, None, False): 0.0}
+        found, changed = -inf, set(best)
+        for length in range(4 * self.n_states + 8):
+            new: dict[tuple[int, str | None, bool], float] = {}
+            for key in changed:
+                q, g, seen = key
+                for c in others if length else first:
+                    move = self.move(q, c)
+                    if move:
+                        gain = best[key] + move[1] - (_NEXT[g, c] if g else _START[c])
+                        to = (move[0], _group(c), seen or c in needed)
+                        if gain > max(best.get(to, -inf), new.get(to, -inf)) + 1e-9:
+                            new[to] = gain
+            best |= new
+            changed = set(new)
+            found = max([found, *(v + self.stop[q] for (q, _, seen), v in new.items() if seen)])
+            if not changed:
+                return found
+        return inf  # some loop gains with every round
+
+
+def labelled_credentials(n: int = 300, seed: int = 7) -> list[tuple[str, str]]:
+    """Labelled credentials (kind, value) in publicly documented formats and, as random and prefixed ones, of no known format; made with a fixed seed."""
     rng = random.Random(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
@@ -142,70 +205,64 @@ def labelled_credentials(n: int = 400, seed: int = 7) -> list[tuple[str, str]]:
         "digest": lambda: pick("0123456789abcdef", rng.choice((32, 40, 64))),
         "key": lambda: "AKIA" + pick(upper + "234567", 16),
         "base64": lambda: pick(every + "+/", 40),
+        "random": lambda: pick(every, rng.randint(14, 48)),
+        "prefixed": lambda: pick(lower, rng.randint(2, 6)) + rng.choice("_-") + pick(every, rng.randint(16, 48)),
     }
     return [(kind, f()) for kind, f in make.items() for _ in range(n)]
 
 
 class Formats:
-    """One automaton for each kind of labelled credentials, behind the prefix that all its samples share."""
+    """One automaton for each kind of labelled credentials; all of them score every candidate."""
 
-    def __init__(self, labelled: Iterable[tuple[str, str]]):
+    def __init__(self, labelled: Iterable[tuple[str, str]], least_bits: float = LEAST_BITS, least_rate: float = LEAST_RATE):
         by: dict[str, list[str]] = defaultdict(list)
         for kind, value in labelled:
             if kind and value:
                 by[kind].append(value)
-        self.kinds = {}
-        self.longest = {kind: max(map(len, values)) for kind, values in by.items()}
-        for kind, values in sorted(by.items()):
-            prefix = os.path.commonprefix(values) if len(values) > 1 else ""
-            own = Automaton(classes(v[len(prefix) :]) for v in values)
-            self.kinds[kind] = (prefix, own, min(map(len, values)))
-
-    def best(self, value: str) -> tuple[str, float] | None:
-        """The likeliest kind and its gain over prose in bits a character, or None if no automaton accepts the value."""
-        symbols = classes(value)
-        prose = sum(_PROSE.get(c, _OTHER) for c in symbols)
-        found = None
-        for kind, (prefix, own, least) in self.kinds.items():
-            if value.startswith(prefix) and len(value) >= least:
-                gain = (own.bits(symbols[len(prefix) :]) - prose) / len(value)
-                if gain > -inf and (found is None or gain > found[1]):
-                    found = (kind, gain)
-        return found
-
-
-def _parts(text: str, start: int, end: int, formats: Formats, least: float) -> list[tuple[int, int, int, str]]:
-    """Learned spans within text[start:end]: parts from a separator or a kind's prefix to a separator, the most bits over prose first."""
-    if end - start < 16:
-        return []
-    value = text[start:end]
-    symbols = classes(value)
-    after = {0} | {m.end() for m in _SEPARATOR.finditer(value)}
-    stops = {m.start() for m in _SEPARATOR.finditer(value)} | {len(value)}
-    prose = [_PROSE.get(c, _OTHER) for c in symbols]
-    found = []
-    for kind, (prefix, own, shortest) in formats.kinds.items():
-        starts = {m.start() for m in re.finditer(f"(?={re.escape(prefix)})", value)} if prefix else after
-        for at in starts:
-            q, gain = 0, -sum(prose[at : at + len(prefix)])
-            # without a prefix any place is a start: these end with the longest sample
-            for k in range(at + len(prefix), len(value) if prefix else min(len(value), at + formats.longest[kind])):
-                move = own.moves[q].get(symbols[k])
-                if move is None:
-                    break
-                q = move[0]
-                gain += move[1] - prose[k]
-                n = k + 1 - at
-                if k + 1 in stops and n >= max(16, shortest) and own.stop[q] > -inf and (gain + own.stop[q]) / n >= least and not value[at : k + 1].isalpha():
-                    found.append((gain + own.stop[q], at, k + 1, kind))
-    out: list[tuple[int, int, int, str]] = []
-    for _, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1:])):
-        if all(start + b <= x[0] or x[2] <= start + a for x in out):
-            out.append((start + a, 3, start + b, kind))
-    return out
-
-
-def scan(text: str, formats: Formats, least: float = 0.4) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
+        self.least_bits, self.least_rate = least_bits, least_rate
+        self.kinds = {kind: Automaton(values) for kind, values in sorted(by.items())}
+        lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+        every = upper + lower
+        shapes = {"[A-Z]?[a-z]*[g-z][a-z]*": (every, lower, lower[6:]), "[A-Z]*[G-Z][A-Z]*": (upper, upper, upper[6:]), "[0-9]+": (digits, digits, digits)}
+        # runs of these shapes are left to prose if no automaton can give them the bits
+        self.hopeless = [shape for shape, strings in shapes.items() if all(own.most(*strings) < least_bits for own in self.kinds.values())]
+        skip = f"(?!(?:{'|'.join(self.hopeless)})[.=-]*(?![{_CHARS}]))" if self.hopeless else ""
+        self.run = re.compile(f"(?<![{_CHARS}]){skip}[{_CHARS}]+")
+
+    def spans(self, value: str) -> list[tuple[int, int, str, float]]:
+        """Learned spans (start, end, kind, bits) in a run of credential characters, those of the most bits first, none over another.
+
+        A span begins behind a separator (or anywhere, for formats that begin with fixed characters) and ends before one.
+        """
+        stops = {k for k, c in enumerate(value) if c in _SEPARATORS} | {len(value)}
+        borders = {0} | {k + 1 for k in stops if k < len(value)}
+        # in the middle of a run the first character of a span is the first of a string
+        plain = background(value)
+        found = []
+        for kind, own in self.kinds.items():
+            first = own.moves[0]
+            for at in range(len(value)) if own.fixed > 2 else sorted(borders):
+                if value[at : at + 1] not in first and (own.fixed > 2 or at == len(value)):
+                    continue
+                q, gain = 0, 0.0
+                for k in range(at, len(value)):
+                    move = own.move(q, value[k])
+                    if move is None:
+                        break
+                    q = move[0]
+                    gain += move[1] - (plain[k] if k > at else _START[value[k]])
+                    if k + 1 in stops and own.stop[q] > -inf:
+                        total = gain + own.stop[q]
+                        if total >= self.least_bits and total >= self.least_rate * (k + 1 - at):
+                            found.append((total, at, k + 1, kind))
+        out: list[tuple[int, int, str, float]] = []
+        for total, a, b, kind in sorted(found, key=lambda x: (-x[0], x[1:])):
+            if all(b <= x or y <= a for x, y, _, _ in out):
+                out.append((a, b, kind, total))
+        return out
+
+
+def scan(text: str, formats: Formats) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
     """Base spans and learned spans of a text as (start, rank of kind, end, kind), each sorted."""
     base = []
     low = text.lower()
@@ -214,25 +271,11 @@ def scan(text: str, formats: Formats, least: float = 0.4) -> tuple[list[tuple[in
     if "AKIA" in text:
         base += [(m.start(), 1, m.end(), "access") for m in _ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end(), "hex") for m in _HEX.finditer(text)]
-    learned = []
-    for m in _CANDIDATE.finditer(text):
-        value = m[0]
-        start = m.start() + (value.rfind("=", 0, len(value) - 2) + 1 if "=" in value[:-2] else 0)  # what follows a name= is the value
-        value = text[start : m.end()]
-        found = None
-        for form in dict.fromkeys((value, value.rstrip(".-="))):  # signs at the end may belong to the sentence
-            best = formats.best(form) if len(form) >= 16 and not form.isalpha() else None
-            if best and best[1] >= least and (found is None or best[1] > found[1]):
-                found = (*best, len(form))
-        if found:
-            learned.append((start, 3, start + found[2], found[0]))
-            learned += _parts(text, m.start(), start, formats, least) + _parts(text, start + found[2], m.end(), formats, least)
-        else:
-            learned += _parts(text, m.start(), m.end(), formats, least)
+    learned = [(m.start() + a, 3, m.start() + b, kind) for m in formats.run.finditer(text) for a, b, kind, _ in formats.spans(m[0])]
     return sorted(base), sorted(learned)
 
 
-def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.4) -> DataFrame:
+def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, learned) per row: arrays of (kind, start, end) in code points, by start and kind.
 
     Null texts count as empty and have no spans; repeated rows and null ids are kept; other columns are not looked at; an empty
@@ -246,7 +289,7 @@ def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str =
         for batch in batches:
             base, learned = [], []
             for text in batch.column(1):
-                x, y = scan(text.as_py() or "", formats, least)
+                x, y = scan(text.as_py() or "", formats)
                 base.append(as_rows(x))
                 learned.append(as_rows(y))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(learned, span)], ["id", "base", "learned"])
@@ -256,6 +299,11 @@ def find_secrets(docs: DataFrame, formats: Formats | None = None, id_col: str =
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document.
+
+    Null and empty texts have no spans; null ids and repeated rows are kept; spans that begin together come in the order of their kinds; an
+    empty table gives an empty result; other columns are not looked at.
+    """
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
