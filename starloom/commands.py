@@ -1,7 +1,8 @@
 """The commands: struct, head, info, csv, sort, mkidx, qidx, mkhips, qhips, and cgi; as functions and as ``python -m starloom``.
 
 A sorted catalogue is a folder of Parquet files (or, for ``*.fits`` outputs, one FITS file); an index is a Parquet table of
-(cell, row_start, n) beside a note of the catalogue that it belongs to.
+(cell, row_start, n) beside a note of the catalogue that it belongs to, with its size and time of change. Queries take the row ranges of
+a region's cells from the index, and of a FITS catalogue only these rows are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .functions import regions as R
 from .functions import text
 from .operators import catalog
+from .operators.shared import shared_path
 from .sources import fits, hips_store, metadata
 
 
@@ -57,18 +59,32 @@ def write_rows(df: DataFrame, path: str) -> None:
 def csv(spark: SparkSession, path: str, out: str | None = None, header: bool = True) -> Iterable[str]:
     """The text of every binary table of a file, in order; with ``out``, each table goes to a file of its own and nothing is returned.
 
-    One file is written in row order from the partitions' text, a partition at a time; ``text.write`` writes in parallel to a folder.
+    A file is put together from the texts of partitions, which tasks write in parallel to the shared folder; only bytes pass through the driver.
     """
     tables = [h for h in fits.open_hdus(path) if h.kind == "BINTABLE"]
     for k, h in enumerate(tables):
-        pieces = text.render(fits.read(spark, path, hdu=h.idx), ",", header)
+        rows = fits.read(spark, path, hdu=h.idx)
         if out is None:
-            yield from pieces
+            yield from text.render(rows, ",", header)
             continue
+        parts = shared_path(spark, "csv")
+        text.lines(rows).write.text(parts)
+        source, inner = fits.file_system(parts)
         fs, at = fits.file_system(text.numbered_name(out, k, h.idx))
         with fs.open_output_stream(at) as f:
-            for piece in pieces:
-                f.write(piece.encode())
+            f.write(((text.header(rows.columns) if header else "") + "\n").encode())
+            for part in _files(parts):
+                with source.open_input_stream(part) as g:
+                    while piece := g.read(1 << 23):
+                        f.write(piece)
+        source.delete_dir(inner)
+
+
+def _files(folder: str) -> list[str]:
+    """Paths of the data files that Spark wrote to a folder, in the order of partitions."""
+    fs, at = fits.file_system(folder)
+    found = fs.get_file_info(fits.pa.fs.FileSelector(at))
+    return sorted(f.path for f in found if f.base_name.startswith("part-"))
 
 
 def sort(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | str, partitions: int | None = None) -> None:
@@ -87,41 +103,80 @@ def sort(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | st
         catalog.sort_catalogue(ordered, out, lon, lat, "_row", partitions)
 
 
-def catalogue(spark: SparkSession, path: str, lon: int | str, lat: int | str) -> DataFrame:
-    """A sorted catalogue with hpx29 and recno, from what ``sort`` wrote."""
+def catalogue(spark: SparkSession, path: str, lon: int | str, lat: int | str, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+    """A sorted catalogue with hpx29 and recno, from what ``sort`` wrote; ``ranges`` of row numbers: of a FITS file no others are read.
+
+    In a Parquet catalogue the cells' own ranges prune the scan. Neither form is shuffled or sorted again: a Parquet catalogue holds its cells and numbers, a FITS file's rows are numbered as they are read.
+    """
     if not _is_fits(path):
         rows = spark.read.parquet(path)
         if "_part" in rows.columns:
             return catalog.read_catalogue(spark, path).drop("_row")
-    df = load(spark, path).withColumn("_row", F.monotonically_increasing_id())
-    hashed = catalog.H.with_hash(df, "hpx29", lon=column_of(df, lon), lat=column_of(df, lat))
-    return catalog.with_recno(hashed, ["hpx29", "_row"]).drop("_row")
+    if not path.endswith((".fits", ".fit")):
+        rows = load(spark, path)
+        df = rows.withColumn("_row", F.monotonically_increasing_id())
+        hashed = catalog.H.with_hash(df, "hpx29", lon=column_of(rows, lon), lat=column_of(rows, lat))
+        return catalog.with_recno(hashed, ["hpx29", "_row"]).drop("_row")
+    df = fits.read(spark, path, rows=ranges, number="recno")
+    return catalog.H.with_hash(df, "hpx29", lon=column_of(df, lon), lat=column_of(df, lat))
+
+
+def _state(path: str) -> tuple[int, int]:
+    """Bytes of a file, or of all files in a folder, and the last change in nanoseconds."""
+    fs, at = fits.file_system(path)
+    info = fs.get_file_info(at)
+    files = [info] if info.is_file else [f for f in fs.get_file_info(fits.pa.fs.FileSelector(at, recursive=True)) if f.is_file]
+    return sum(f.size for f in files), max((f.mtime_ns or 0 for f in files), default=0)
+
 
+def mkidx(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | str, depth: int = 9, explicit: bool = True, ratio: float | None = None) -> None:
+    """Write the cumulative index of a sorted catalogue; refuses one that is not sorted.
 
-def mkidx(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | str, depth: int = 9, explicit: bool = True) -> None:
-    """Write the cumulative index of a sorted catalogue; refuses one that is not sorted."""
+    With ``ratio`` the form is chosen by size: explicit if the implicit one would have more than so many times its bytes.
+    """
     rows = load(spark, path)
     lon, lat = column_of(rows, lon), column_of(rows, lat)
-    if _is_fits(path):
-        hashed = catalog.H.with_hash(rows.withColumn("_row", F.monotonically_increasing_id()), "hpx29", lon=lon, lat=lat)
-        if not catalog.unsorted_rows(hashed, "_row").isEmpty():
-            raise ValueError(f"{path} is not sorted by its positions")
-    index = catalog.cumulative_index(catalogue(spark, path, lon, lat), depth, implicit=not explicit)
-    about = [F.lit(v).alias(k) for k, v in (("file", path), ("depth", depth), ("lon", lon), ("lat", lat))]
-    index.select("*", *about).write.mode("overwrite").parquet(out)
-
-
-def indexed(spark: SparkSession, index: str) -> tuple[DataFrame, str, str]:
-    """The catalogue that an index belongs to, and its position columns."""
-    about = spark.read.parquet(index).select("file", "lon", "lat").first()
+    own = catalogue(spark, path, lon, lat)
+    if _is_fits(path) and not catalog.unsorted_rows(own).isEmpty():
+        raise ValueError(f"{path} is not sorted by its positions")
+    if ratio is not None:  # a start for each cell and the end, or a cell and a start for each that is not empty and the end
+        explicit = 8 * (catalog.H.n_cells(depth) + 1) > ratio * 16 * (catalog.n_nonempty(own, depth).first()["n_cells"] + 1)
+    size, changed = _state(path)
+    about = [F.lit(v).alias(k) for k, v in (("file", path), ("depth", depth), ("lon", lon), ("lat", lat), ("bytes", size), ("changed", changed))]
+    catalog.cumulative_index(own, depth, implicit=not explicit).select("*", *about).write.mode("overwrite").parquet(out)
+
+
+def indexed(spark: SparkSession, index: str, region: R.Region | None = None) -> tuple[DataFrame, str, str]:
+    """The catalogue that an index belongs to, and its position columns; with a region, the rows of the cells that it touches.
+
+    Raises ValueError if the catalogue is not what it was when the index was made.
+    """
+    table = spark.read.parquet(index)
+    about = table.select("file", "depth", "lon", "lat", "bytes", "changed").first()
     if about is None:
         raise ValueError(f"{index} holds no index")
-    return catalogue(spark, about["file"], about["lon"], about["lat"]), about["lon"], about["lat"]
+    if _state(about["file"]) != (about["bytes"], about["changed"]):
+        raise ValueError(f"{about['file']} has changed since {index} was made")
+    ranges = None if region is None else row_ranges(table, about["depth"], region)
+    return catalogue(spark, about["file"], about["lon"], about["lat"], ranges), about["lon"], about["lat"]
+
+
+def row_ranges(index: DataFrame, depth: int, region: R.Region) -> list[tuple[int, int]]:
+    """Half-open ranges of row numbers of the cells that a region touches, by one pass over the index."""
+    shift = 2 * (catalog.H.MAX_DEPTH - depth)
+    cover, _ = region.cover(min(depth, 9))
+    cells = R.coarser(R.merge([(a >> shift, -(-b >> shift)) for a, b in cover]))
+    if not cells:
+        return []
+    # the first row of the first cell at or behind a bound; the end mark is behind all cells
+    start = lambda c: F.min(F.when(F.col("cell") >= c, F.col("row_start")))
+    found = index.agg(*[start(c).alias(f"c{k}_{i}") for k, r in enumerate(cells) for i, c in enumerate(r)]).first()
+    return [(found[f"c{k}_0"], found[f"c{k}_1"]) for k in range(len(cells)) if found[f"c{k}_0"] < found[f"c{k}_1"]]
 
 
 def qidx(spark: SparkSession, index: str, region: R.Region, out: str | None = None, limit: int | None = None) -> DataFrame:
     """The catalogue's rows in a region, in catalogue order, at most ``limit``; written to ``out`` if given."""
-    rows, lon, lat = indexed(spark, index)
+    rows, lon, lat = indexed(spark, index, region)
     return _give(R.select(rows, region, lon, lat), out, limit)
 
 
@@ -225,6 +280,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "mkidx":
             s.add_argument("-d", "--depth", type=int, default=9)
             s.add_argument("-e", "--explicit", action="store_true")
+            s.add_argument("-r", "--ratio", type=float)
     q = sub.add_parser("qidx")
     q.add_argument("index")
     q.add_argument("output")
@@ -256,8 +312,8 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, words: list[str]) -> Iterable[str]:
-    """The text that a command prints."""
+def run(spark: SparkSession, words: list[str]) -> Iterable[str | bytes]:
+    """The text that a command prints, or the bytes of a file."""
     a = parser().parse_args(words)
     if a.command == "struct":
         yield fits.struct_text(a.file)
@@ -270,7 +326,7 @@ def run(spark: SparkSession, words: list[str]) -> Iterable[str]:
     elif a.command == "sort":
         sort(spark, a.input, a.output, a.lon, a.lat)
     elif a.command == "mkidx":
-        mkidx(spark, a.input, a.output, a.lon, a.lat, a.depth, a.explicit)
+        mkidx(spark, a.input, a.output, a.lon, a.lat, a.depth, a.explicit, a.ratio)
     elif a.command == "qidx" and a.region == "multicone":
         centres = R.parse_centres(hips_store._get(a.args[0]), a.sep)
         qidx_cones(spark, a.index, spark.createDataFrame(centres, "ra double, dec double"), float(a.args[1]), a.output, a.limit)
@@ -287,7 +343,7 @@ def run(spark: SparkSession, words: list[str]) -> Iterable[str]:
             store.export(a.args[0])
         else:
             yield from {
-                "properties": lambda: [store.properties().to_text()], "metadata": lambda: [store.metadata()], "moc": lambda: [store.moc_text() + "\n"], "allsky": lambda: store.allsky_text(*numbers),
+                "properties": lambda: [store.properties().to_text()], "metadata": lambda: [store.metadata()], "moc": lambda: [store.moc_bytes()], "allsky": lambda: store.allsky_text(*numbers),
                 "tile": lambda: store.tile_text(*numbers), "list": store.list_text, "info": lambda: [store.info_html()],
             }[a.action]()
     else:
@@ -299,7 +355,8 @@ def run(spark: SparkSession, words: list[str]) -> Iterable[str]:
 def main(words: list[str] | None = None) -> int:
     try:
         for piece in run(_session(), sys.argv[1:] if words is None else words):
-            sys.stdout.write(piece)
+            sys.stdout.buffer.write(piece if isinstance(piece, bytes) else piece.encode())
+        sys.stdout.flush()
     except (ValueError, OSError) as error:
         print(f"starloom: {error}", file=sys.stderr)
         return 1

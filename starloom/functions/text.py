@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 _INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -38,34 +39,93 @@ def float_item(value, single: bool = False) -> str:
     return np.format_float_positional(np.float32(value) if single else np.float64(value), unique=True, trim="-")
 
 
-def _floats(single: bool):
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: float_text(v, single), na_action=None)
+def _scientific(text: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Digits without a point, and the power of the first one, of texts such as 1.25e+17."""
+    parts = pc.split_pattern(text, "e")
+    return pc.replace_substring(pc.list_element(parts, 0), ".", ""), pc.cast(pc.utf8_ltrim(pc.list_element(parts, 1), "+"), pa.int32())
 
-    return pandas_udf(run, "string")
+
+def _positional(digits: pa.Array, power: pa.Array) -> pa.Array:
+    """Digits whose first one has this power of ten, without an exponent and without a point if whole."""
+    out = pa.nulls(len(digits), pa.string())
+    for e in pc.unique(power).to_pylist():
+        own = pc.equal(power, e)
+        d = digits.filter(own)
+        if e < 0:
+            text = pc.binary_join_element_wise("0." + "0" * (-e - 1), d, "")
+        else:
+            tail = pc.utf8_slice_codeunits(d, e + 1)
+            whole = pc.utf8_rpad(pc.utf8_slice_codeunits(d, 0, e + 1), e + 1, "0")
+            text = pc.if_else(pc.equal(tail, ""), whole, pc.binary_join_element_wise(whole, tail, "."))
+        out = pc.replace_with_mask(out, own, text)
+    return out
+
+
+def float_texts(values: pa.Array, item: bool = False) -> pa.Array:
+    """float_text (``item``: float_item) of an array of floats or doubles, by kernels that give the shortest digits; null: empty."""
+    x = values.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    size = np.abs(x)
+    out = pc.cast(pa.array(size, values.type), pa.string())
+    finite = np.isfinite(x)
+    exponent = pc.match_substring(out, "e").to_numpy(zero_copy_only=False) & finite
+
+    def put(mask: np.ndarray, change) -> None:
+        nonlocal out
+        if mask.any():
+            where = pa.array(mask)
+            out = pc.replace_with_mask(out, where, change(out.filter(where)))
+
+    if item:
+        put(exponent, lambda t: _positional(*_scientific(t)))
+    else:
+        plain = (size.astype(np.float64) >= 1e-4) & (size.astype(np.float64) < 1e16)
+        put(exponent & plain, lambda t: _positional(*_scientific(t)))
+        put(exponent & ~plain, lambda t: pc.replace_substring(t, "e+", "e"))
+
+        def small(t: pa.Array) -> pa.Array:
+            after = pc.utf8_slice_codeunits(t, 2)
+            digits = pc.utf8_ltrim(after, "0")
+            power = pc.cast(pc.add(pc.subtract(pc.utf8_length(after), pc.utf8_length(digits)), 1), pa.string())
+            first, rest = pc.utf8_slice_codeunits(digits, 0, 1), pc.utf8_slice_codeunits(digits, 1)
+            return pc.binary_join_element_wise(pc.if_else(pc.equal(rest, ""), first, pc.binary_join_element_wise(first, rest, ".")), power, "e-")
+
+        put(~exponent & ~plain & (size > 0) & finite, small)
+        put(finite & ~pc.match_substring_regex(out, "[.e]").to_numpy(zero_copy_only=False), lambda t: pc.binary_join_element_wise(t, "0", "."))
+    put(np.signbit(x) & ~np.isnan(x), lambda t: pc.binary_join_element_wise("-", t, ""))
+    put(np.isnan(x), lambda t: pa.array([""] * len(t), pa.string()))
+    return out
 
 
-def _float_arrays(single: bool):
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: "" if v is None or len(v) == 0 else '"[' + ", ".join(float_item(x, single) for x in v) + ']"')
+def _listed(values: pa.Array, items: pa.Array) -> pa.Array:
+    """The cells of arrays whose elements have these texts."""
+    sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), items)
+    return pc.if_else(pa.array(sizes > 0), pc.binary_join_element_wise('"[', pc.binary_join(lists, ", "), ']"', ""), "")
 
-    return pandas_udf(run, "string")
 
+def _complex_texts(values: pa.Array) -> pa.Array:
+    re, im = (float_texts(part, True) for part in values.flatten())
+    return pc.binary_join_element_wise("(", re, ", ", im, ")", "")
 
-def _complex_text(v, single: bool) -> str:
-    return f"({float_item(v['re'], single)}, {float_item(v['im'], single)})"
 
+@arrow_udf(T.StringType())
+def _floats(values: pa.Array) -> pa.Array:
+    return float_texts(values)
 
-def _complexes(single: bool, many: bool):
-    def run(values: pd.Series) -> pd.Series:
-        if many:
-            return values.map(lambda v: "" if v is None or len(v) == 0 else '"[' + ", ".join(_complex_text(x, single) for x in v) + ']"')
-        return values.map(lambda v: "" if v is None else f'"{_complex_text(v, single)}"')
 
-    def framed(values: pd.DataFrame) -> pd.Series:
-        return pd.Series([f'"{_complex_text(r, single)}"' for r in values.to_dict("records")])
+@arrow_udf(T.StringType())
+def _float_arrays(values: pa.Array) -> pa.Array:
+    return _listed(values, float_texts(values.flatten(), True))
 
-    return pandas_udf(run, "string") if many else pandas_udf(framed, "string")
+
+@arrow_udf(T.StringType())
+def _complexes(values: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise('"', _complex_texts(values), '"', "")
+
+
+@arrow_udf(T.StringType())
+def _complex_arrays(values: pa.Array) -> pa.Array:
+    return _listed(values, _complex_texts(values.flatten()))
 
 
 def _is_complex(t: T.DataType) -> bool:
@@ -88,17 +148,17 @@ def cell(df: DataFrame, name: str, sep: str = ",") -> Column:
     elif isinstance(t, T.DecimalType):
         out = c.cast("string")
     elif isinstance(t, (T.FloatType, T.DoubleType)):
-        out = _floats(isinstance(t, T.FloatType))(c)
+        out = _floats(c)
     elif isinstance(t, T.StringType):
         out = quoted(c, sep)
     elif _is_complex(t):
-        out = F.when(c.isNotNull(), _complexes(isinstance(t["re"].dataType, T.FloatType), False)(c))
+        out = F.when(c.isNotNull(), _complexes(c))
     elif isinstance(t, T.ArrayType):
         e = t.elementType
         if isinstance(e, (T.FloatType, T.DoubleType)):
-            out = _float_arrays(isinstance(e, T.FloatType))(c)
+            out = _float_arrays(c)
         elif _is_complex(e):
-            out = _complexes(isinstance(e["re"].dataType, T.FloatType), True)(c)
+            out = _complex_arrays(c)
         elif isinstance(e, T.BooleanType):
             items = F.transform(c, lambda x: F.when(x, "T").when(~x, "F").otherwise(""))
             out = F.when(F.size(c) > 0, F.concat(F.lit('"['), F.array_join(items, ", "), F.lit(']"')))
@@ -142,8 +202,6 @@ def write(df: DataFrame, path: str, sep: str = ",", with_header: bool = True) ->
     names = header(df.columns, sep)
 
     def prepend(batches):
-        import pyarrow as pa
-
         first = True
         for batch in batches:
             values = batch.column(0)

@@ -10,6 +10,9 @@ from ..functions import healpix as H
 from ..functions import regions as R
 from .shared import stored
 
+#: The folder of a sorted catalogue that holds the number of rows before each part.
+STARTS = "_starts"
+
 
 def sort_catalogue(df: DataFrame, path: str, lon: str = "ra", lat: str = "dec", tie: str = "row_id", partitions: int | None = None) -> DataFrame:
     """Write df to parquet in the order of its depth-29 cells (ties by ``tie``) and return it with ``hpx29`` and ``recno``.
@@ -22,12 +25,14 @@ def sort_catalogue(df: DataFrame, path: str, lon: str = "ra", lat: str = "dec",
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = keyed.repartitionByRange(n, "hpx29", tie).sortWithinPartitions("hpx29", tie)
     _placed(part).write.parquet(path)
+    # how many rows each part has is kept beside the rows (readers skip the folder, as its name says), so that no query counts them again
+    _starts(spark.read.parquet(path)).coalesce(1).write.parquet(f"{path}/{STARTS}")
     return read_catalogue(spark, path)
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """A catalogue that sort_catalogue wrote; one small row per part is broadcast to number the rows."""
-    return _numbered(spark.read.parquet(path), "recno")
+    return _numbered(spark.read.parquet(path), "recno", spark.read.schema("_part int, _start long").parquet(f"{path}/{STARTS}"))
 
 
 def _placed(part: DataFrame) -> DataFrame:
@@ -36,11 +41,16 @@ def _placed(part: DataFrame) -> DataFrame:
     return part.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))})
 
 
-def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of _placed() that were written, numbered by adding the sizes of the parts before."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """(_part, _start): the number of rows in the parts before, of rows of _placed() that were written."""
     sizes = rows.groupBy("_part").count()
     before = F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return sizes.select("_part", F.coalesce(before, F.lit(0)).cast("long").alias("_start"))
+
+
+def _numbered(rows: DataFrame, name: str, starts: DataFrame | None = None) -> DataFrame:
+    """Rows of _placed() that were written, numbered by adding the sizes of the parts before."""
+    starts = _starts(rows) if starts is None else starts
     return rows.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_part", "_at", "_start")
 
 
@@ -118,12 +128,15 @@ def merge_cells(cells: DataFrame) -> DataFrame:
     numbered = both.withColumn("b", block)
     w = W.partitionBy("b").orderBy("v", F.col("kind").desc()).rowsBetween(1, W.unboundedFollowing)
     near = numbered.withColumn("end", F.min(F.when(F.col("kind") == 1, F.col("v"))).over(w))
-    firsts = ends.groupBy(block.alias("b")).agg(F.min("v").alias("first"))
-    later = firsts.withColumn("later", F.min("first").over(W.orderBy("b").rowsBetween(W.currentRow, W.unboundedFollowing)))
-    open_runs = near.where("kind = 0 and end is null").select("v", (F.col("b") + 1).alias("b"))
+    # a run that goes on behind its block ends at the first end in a later one: looked up over blocks of blocks first, then over the few of these
+    firsts = numbered.groupBy("b").agg(F.min(F.when(F.col("kind") == 1, F.col("v"))).alias("first")).withColumn("bb", F.shiftright("b", 20))
+    after = lambda by: F.min("first").over(by.rowsBetween(1, W.unboundedFollowing))
+    inner = firsts.withColumn("near", after(W.partitionBy("bb").orderBy("b")))
+    outer = firsts.groupBy("bb").agg(F.min("first").alias("first")).select("bb", after(W.orderBy("bb")).alias("far"))
+    later = inner.join(outer, "bb").select("b", F.coalesce("near", "far").alias("later"))
     closed = near.where("kind = 0 and end is not null").select(F.col("v").alias("start"), "end")
-    if_open = open_runs.join(later.select(F.col("b").alias("lb"), "later"), F.col("lb") >= F.col("b")).groupBy("v").agg(F.min("later").alias("end")).select(F.col("v").alias("start"), "end")
-    return closed.unionAll(if_open)
+    open_runs = near.where("kind = 0 and end is null").select("v", "b").join(later, "b").select(F.col("v").alias("start"), F.col("later").alias("end"))
+    return closed.unionAll(open_runs)
 
 
 def coverage(ranges: DataFrame) -> DataFrame:

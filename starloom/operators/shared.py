@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder named by ``spark.checkpoint.dir``; only where that is unset, in a temporary one."""
+    """A fresh path in the folder named by ``spark.checkpoint.dir``; a local session where that is unset takes a temporary one, any other is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="starloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/starloom/{uuid.uuid4().hex}/{name}"

@@ -443,7 +443,8 @@ def table_schema(columns: list[Column]) -> T.StructType:
 
 
 class FitsSource(DataSource):
-    """Options: ``path``; ``view`` (rows, hdus, columns, keywords); ``hdu``: which table, else the first."""
+    """Options: ``path``; ``view`` (rows, hdus, columns, keywords); ``hdu``: which table, else the first; ``rows``: half-open ranges a-b,c-d of the
+    rows of one file, the others are not read; ``number``: the name of a column of row numbers from 0, put behind the others."""
 
     @classmethod
     def name(cls) -> str:
@@ -455,7 +456,11 @@ class FitsSource(DataSource):
             return VIEWS[view]
         if view != "rows":
             raise FitsError(f"there is no view {view}")
-        return table_schema(_same_tables(self.options)[0][1].columns())
+        out = table_schema(_same_tables(self.options)[0][1].columns())
+        number = self.options.get("number")
+        if number in out.names:
+            raise FitsError(f"there is a column {number} already")
+        return out.add(number, T.LongType(), False) if number else out
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -497,7 +502,11 @@ class _Reader(DataSourceReader):
         out = []
         for f, h in _same_tables(self.options):
             step = max(1, int(self.options.get("task_bytes", TASK_BYTES)) // max(1, h.row_bytes))
-            out += [_Part(f, h.idx, a, min(h.n_rows, a + step)) for a in range(0, h.n_rows, step)]
+            wanted = self.options.get("rows")
+            if wanted is not None and len(tables_of(self.options["path"])) > 1:
+                raise FitsError("rows by number are those of one file")
+            ranges = [(0, h.n_rows)] if wanted is None else [tuple(map(int, r.split("-"))) for r in wanted.split(",") if r]
+            out += [_Part(f, h.idx, a, min(end, h.n_rows, a + step)) for first, end in ranges for a in range(first, min(end, h.n_rows), step)]
         return out or [_Part("", -2, 0, 0)]
 
     def read(self, part: _Part):
@@ -519,16 +528,22 @@ class _Reader(DataSourceReader):
                 b = min(part.end, a + CHUNK_ROWS)
                 f.seek(h.data_start + a * h.row_bytes)
                 raw = np.frombuffer(f.read((b - a) * h.row_bytes), np.uint8).reshape(b - a, h.row_bytes)
-                yield decode_rows(columns, raw, heap)
+                batch = decode_rows(columns, raw, heap)
+                yield batch.append_column(self.options["number"], pa.array(np.arange(a, b))) if "number" in self.options else batch
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FitsSource)
 
 
-def read(spark: SparkSession, path: str, view: str = "rows", hdu: int | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, view: str = "rows", hdu: int | None = None, rows: list[tuple[int, int]] | None = None, number: str | None = None) -> DataFrame:
+    """A file's table or a view of it; ``rows``: only these half-open ranges are read; ``number``: with a column of row numbers."""
     register(spark)
     reader = spark.read.format("fits").option("path", path).option("view", view)
+    if rows is not None:
+        reader = reader.option("rows", ",".join(f"{a}-{b}" for a, b in rows))
+    if number is not None:
+        reader = reader.option("number", number)
     return (reader if hdu is None else reader.option("hdu", hdu)).load()
 
 

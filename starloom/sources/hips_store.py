@@ -19,6 +19,7 @@ from ..functions import healpix as H
 from ..functions import regions as R
 from ..functions import text
 from ..operators import catalog, hips
+from ..operators.shared import shared_path
 from . import fits, metadata
 
 BUILDER = "starloom"
@@ -219,6 +220,16 @@ class Hips:
         bounds = self.moc().orderBy("start").select(F.explode(F.array("start", "end")).alias("RANGE"))
         fits.write(bounds, path)
 
+    def moc_bytes(self) -> bytes:
+        """The coverage as the bytes of a FITS file."""
+        path = shared_path(self.spark, "Moc.fits")
+        self.write_moc(path)
+        fs, at = fits.file_system(path)
+        with fs.open_input_stream(at) as f:
+            content = f.read()
+        fs.delete_file(at)
+        return content
+
     def export(self, path: str) -> None:
         """The standard tree: Norder{d}/Dir{n}/Npix{cell}.tsv, Allsky.tsv of depths 1 and 2, properties, metadata.xml, Moc.fits, index.html.
 
@@ -262,7 +273,7 @@ class Response:
 
     status: int
     kind: str
-    body: Iterator[str] | list[str]
+    body: Iterator[str] | list[str] | list[bytes]
 
 
 def route(spark: SparkSession, root: str, path_info: str = "", query: str = "", method: str = "GET") -> Response:
@@ -274,7 +285,7 @@ def route(spark: SparkSession, root: str, path_info: str = "", query: str = "",
         return Response(status, "text/plain", [why])
 
     if method != "GET":
-        return refuse(501 if method in ("POST", "PUT", "HEAD", "DELETE", "OPTIONS", "PATCH", "TRACE", "CONNECT") else 400, f"Method {method} not supported.")
+        return refuse(501 if method in ("POST", "PUT", "HEAD", "DELETE", "OPTIONS", "PATCH", "TRACE", "CONNECT") else 400, f"Only GET is answered, not {method}")
     asked = {k: v[0] for k, v in parse_qs(query).items()}
     depth = cell = None
     if "action" in asked:
@@ -312,13 +323,13 @@ def route(spark: SparkSession, root: str, path_info: str = "", query: str = "",
             return refuse(400, "A tile needs depth and hash.")
         body = store.tile_text(depth, cell)
         first = next(body, None)
-        return refuse(404, f"No cell {depth}/{cell} in the HiPS.") if first is None else Response(200, "text/plain", _chain(first, body))
+        return refuse(404, f"The catalogue has no tile at order {depth}, pixel {cell}") if first is None else Response(200, "text/plain", _chain(first, body))
     if action == "allsky":
-        return refuse(400, "Allsky with order > 2 not allowed.") if depth is None or depth > 2 else Response(200, "text/plain", store.allsky_text(depth))
+        return refuse(400, "Whole layers are given for orders 1 and 2 alone") if depth is None or depth > 2 else Response(200, "text/plain", store.allsky_text(depth))
     if action == "list":
         return Response(200, "text/plain", store.list_text())
     if action == "moc":
-        return Response(200, "text/plain", [store.moc_text()])
+        return Response(200, "application/fits", [store.moc_bytes()])
     if action == "properties":
         return Response(200, "text/plain", [store.properties().to_text()])
     if action == "metadata":

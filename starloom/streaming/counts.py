@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import catalog
+from ..operators.shared import shared_path
 
 
 def count_stream(spark: SparkSession, folder: str, schema, hashed: Callable[[DataFrame], DataFrame], depth: int, name: str | None = None) -> DataFrame:
@@ -24,7 +24,10 @@ def run_once(spark: SparkSession, path: str, hashed: Callable[[DataFrame], DataF
     probe = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     is_folder = probe.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(probe).isDirectory()
     stream = count_stream(spark, path if is_folder else folder, schema, hashed, depth, None if is_folder else name)
-    table = f"counts_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    out = shared_path(spark, "counts")
+    # each batch replaces the table in the shared folder: no cell passes through the driver
+    keep = lambda counts, _: counts.write.mode("overwrite").parquet(out)
+    options = {"checkpointLocation": shared_path(spark, "stream")}
+    query = stream.writeStream.outputMode("complete").options(**options).foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(stream.schema).parquet(out)

@@ -117,6 +117,20 @@ def test_commands_end_to_end(spark, tmp_path):
         run("qidx", tmp_path / f"{name}.idx", tmp_path / f"{name}.few", "cone", 10, 20, 40, "-l", 5)
     a, b = (sorted(r["id"] for r in fits.read(spark, str(tmp_path / f"{n}.cone.fits")).collect()) for n in ("sorted", "sorted.fits"))
     assert a == b and len(a) > 20 and spark.read.parquet(str(tmp_path / "sorted.few")).count() == 5
+    table_ = spark.read.parquet(str(tmp_path / "sorted.fits.idx"))
+    ranges = commands.row_ranges(table_, 5, commands.R.Cone(10, 20, 15))
+    read = fits.read(spark, str(tmp_path / "sorted.fits"), rows=ranges, number="at")
+    assert 0 < read.count() == sum(b - a for a, b in ranges) < 300 and all(any(a <= r["at"] < b for a, b in ranges) for r in read.collect())
+    assert "Exchange" not in commands.indexed(spark, str(tmp_path / "sorted.fits.idx"), commands.R.Cone(10, 20, 15))[0]._jdf.queryExecution().executedPlan().toString()
+    for ratio, n in ((0.1, None), (50, 12 * 4**5 + 1)):
+        run("mkidx", tmp_path / "sorted.fits", tmp_path / "ratio.idx", "-l", "RA", "-b", "DEC", "-d", 5, "-r", ratio)
+        assert (spark.read.parquet(str(tmp_path / "ratio.idx")).count() == n) == (n is not None)
+    stale = tmp_path / "stale.fits"
+    stale.write_bytes((tmp_path / "sorted.fits").read_bytes())
+    run("mkidx", stale, tmp_path / "stale.idx", "-l", "RA", "-b", "DEC", "-d", 5)
+    stale.write_bytes((tmp_path / "sorted.fits").read_bytes()[:-2880])
+    with pytest.raises(ValueError, match="changed"):
+        run("qidx", tmp_path / "stale.idx", tmp_path / "x", "cone", 10, 20, 4)
     with pytest.raises(ValueError, match="sorted"):
         run("mkidx", source, tmp_path / "bad.idx", "-l", "RA", "-b", "DEC")
     (tmp_path / "centres").write_text("# c\n10 20\n11 20\n")
@@ -133,12 +147,15 @@ def test_commands_end_to_end(spark, tmp_path):
     d, c, cumul, tot = listed[-1]
     tile = run("qhips", tmp_path / "hips", "tile", d, c)
     assert tile.startswith(f"# Completeness = {cumul}/{tot}\nid\tRA\tDEC\tmag\tname\n") and run("qhips", tmp_path / "hips", "tile", 9, 1) == ""
-    assert "VOTABLE" in run("qhips", tmp_path / "hips", "metadata") and "&lt;title&gt;" in run("qhips", tmp_path / "hips", "info") and "/" in run("qhips", tmp_path / "hips", "moc")
+    assert "VOTABLE" in run("qhips", tmp_path / "hips", "metadata") and "&lt;title&gt;" in run("qhips", tmp_path / "hips", "info")
     run("qhips", tmp_path / "hips", "export", tmp_path / "tree")
     assert len(list((tmp_path / "tree").glob("Norder*/Dir*/Npix*.tsv"))) == len(listed) - 1
     assert (tmp_path / "tree" / f"Norder{d}" / f"Dir{int(c) // 10000 * 10000}" / f"Npix{c}.tsv").read_text() == tile
     moc = commands.load_moc(str(tmp_path / "tree" / "Moc.fits"))
-    assert moc.ranges == commands.R.moc_from_text(run("qhips", tmp_path / "hips", "moc")).ranges
+    assert moc.ranges == commands.R.moc_from_text(hips_store.Hips(spark, str(tmp_path / "hips")).moc_text()).ranges and moc.ranges
+    content = b"".join(commands.run(spark, ["qhips", str(tmp_path / "hips"), "moc"]))
+    served = hips_store.route(spark, str(tmp_path), "/hips/Moc.fits")
+    assert (served.status, served.kind, b"".join(served.body)) == (200, "application/fits", content) and content == (tmp_path / "tree" / "Moc.fits").read_bytes()
 
     ask = lambda path, query="", method="GET": (lambda r: (r.status, "".join(r.body)))(hips_store.route(spark, str(tmp_path), path, query, method))
     assert ask(f"/hips/Norder{d}/Dir0/Npix{c}.tsv") == (200, tile) and ask("", f"input=hips&action=tile&depth={d}&hash={c}") == (200, tile)

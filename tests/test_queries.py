@@ -21,11 +21,11 @@ def test_query_without_oracle_gives_rows(spark, sf_dir, name):
 def test_coverage_and_centre_are_registered_over_all_rows(spark, sf_dir):
     rows = catalogue_queries.hashed(spark, sf_dir).select("ra", "dec", "hpx29").collect()
     cells = {r["hpx29"] >> 46 for r in rows}
-    ranges = QUERIES["moc_build_all"](spark, sf_dir).collect()
+    ranges = QUERIES["moc_build"](spark, sf_dir).collect()
     assert {c for r in ranges for c in range(r["start"] >> 46, r["end"] >> 46)} == cells
-    fraction = QUERIES["coverage_fraction_all"](spark, sf_dir).first()["sky_fraction"]
+    fraction = QUERIES["coverage_fraction"](spark, sf_dir).first()["sky_fraction"]
     assert fraction == len(cells) / 49152 and 0 < fraction < 1
-    centre = QUERIES["mean_center_all"](spark, sf_dir).first()
+    centre = QUERIES["mean_center"](spark, sf_dir).first()
     lo, la = (np.radians([r[c] for r in rows]) for c in ("ra", "dec"))
     x, y, z = (np.cos(la) * np.cos(lo)).mean(), (np.cos(la) * np.sin(lo)).mean(), np.sin(la).mean()
     assert abs(centre["lon"] - np.degrees(np.arctan2(y, x)) % 360) < 2e-6 and abs(centre["lat"] - np.degrees(np.arctan2(z, np.hypot(x, y)))) < 2e-6

@@ -143,3 +143,30 @@ def test_expressions(spark):
     for bad in ("A", "s", "a +", "a && f", "nope(a)", "f ? 1 : f", "a ~ b", ""):
         with pytest.raises(expr.ExpressionError):
             expr.number(df, bad)
+
+
+def test_float_texts_of_whole_arrays_are_those_of_scalars():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    special = [1.0, 0.1, 1e23, 1e-7, 1e15, 1e16, 9999999999999998.0, 1e10, 1e21, 1e-4, 1e-5, 1.234e-5, 1e-6, 5e-324, -0.0, 0.0, np.nan, np.inf, -np.inf, 1.7976931348623157e308, 123456789012.5]
+    values = np.concatenate([special, rng.normal(size=3000) * 10.0 ** rng.integers(-25, 25, 3000), rng.integers(0, 1 << 62, 3000).view(np.float64), 10.0 ** np.arange(-30, 30)])
+    with np.errstate(over="ignore"):
+        halves = values.astype(np.float32)
+    for x, single in ((values, False), (halves, True)):
+        assert text.float_texts(pa.array(x)).to_pylist() == [text.float_text(v, single) for v in x.tolist()]
+        assert text.float_texts(pa.array(x), True).to_pylist() == [text.float_item(v, single) for v in x.tolist()]
+    assert text.float_texts(pa.array([None, 1.5])).to_pylist() == ["", "1.5"]
+
+
+def test_runs_of_cells_go_on_over_blocks(spark):
+    far = 1 << 45
+    cells = [*range((1 << 20) - 3, (1 << 20) * 2 + 5), 5, far, far + 1, *range(far + (1 << 20) * 3 - 1, far + (1 << 20) * 3 + 2), (1 << 61) + 7]
+    rows = spark.range((1 << 20) - 3, (1 << 20) * 2 + 5).select(F.col("id").alias("c")).unionAll(spark.createDataFrame([(c,) for c in cells[-7:]] + [(5,)], "c long")).distinct()
+    runs, want = sorted(tuple(r) for r in catalog.merge_cells(rows).collect()), []
+    for c in sorted(set(cells)):
+        if want and want[-1][1] == c:
+            want[-1][1] = c + 1
+        else:
+            want.append([c, c + 1])
+    assert runs == [tuple(r) for r in want]
