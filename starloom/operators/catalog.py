@@ -119,20 +119,21 @@ def moc(df: DataFrame, depth: int, cell: str = "hpx29") -> DataFrame:
 
 def merge_cells(cells: DataFrame) -> DataFrame:
     """Half-open runs (start, end) of consecutive values of c. A run starts where c - 1 is lacking and ends where c + 1 is."""
-    one = cells.select("c")
+    one = stored(cells.select("c"), "cells")
     starts = one.join(one.select((F.col("c") + 1).alias("c")), "c", "left_anti").select(F.col("c").alias("v"), F.lit(0).alias("kind"))
     ends = one.join(one.select((F.col("c") - 1).alias("c")), "c", "left_anti").select((F.col("c") + 1).alias("v"), F.lit(1).alias("kind"))
     # the k-th start belongs to the k-th end: of a start, the end is the least end above it
-    both = starts.unionAll(ends)
+    both = stored(starts.unionAll(ends), "bounds")
     block = F.shiftright("v", 20)
     numbered = both.withColumn("b", block)
-    w = W.partitionBy("b").orderBy("v", F.col("kind").desc()).rowsBetween(1, W.unboundedFollowing)
+    # windows run from the last row on: frames that begin at a row would be gone through anew for each
+    w = W.partitionBy("b").orderBy(F.desc("v"), "kind").rowsBetween(W.unboundedPreceding, -1)
     near = numbered.withColumn("end", F.min(F.when(F.col("kind") == 1, F.col("v"))).over(w))
     # a run that goes on behind its block ends at the first end in a later one: looked up over blocks of blocks first, then over the few of these
     firsts = numbered.groupBy("b").agg(F.min(F.when(F.col("kind") == 1, F.col("v"))).alias("first")).withColumn("bb", F.shiftright("b", 20))
-    after = lambda by: F.min("first").over(by.rowsBetween(1, W.unboundedFollowing))
-    inner = firsts.withColumn("near", after(W.partitionBy("bb").orderBy("b")))
-    outer = firsts.groupBy("bb").agg(F.min("first").alias("first")).select("bb", after(W.orderBy("bb")).alias("far"))
+    after = lambda by: F.min("first").over(by.rowsBetween(W.unboundedPreceding, -1))
+    inner = firsts.withColumn("near", after(W.partitionBy("bb").orderBy(F.desc("b"))))
+    outer = firsts.groupBy("bb").agg(F.min("first").alias("first")).select("bb", after(W.orderBy(F.desc("bb"))).alias("far"))
     later = inner.join(outer, "bb").select("b", F.coalesce("near", "far").alias("later"))
     closed = near.where("kind = 0 and end is not null").select(F.col("v").alias("start"), "end")
     open_runs = near.where("kind = 0 and end is null").select("v", "b").join(later, "b").select(F.col("v").alias("start"), F.col("later").alias("end"))
