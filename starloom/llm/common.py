@@ -18,11 +18,13 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it in ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder all executors see, as the session names it in ``spark.checkpoint.dir``; a local session where that is unset takes a temporary one, any other is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="starloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

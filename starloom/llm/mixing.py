@@ -36,8 +36,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     caps = numbered.withColumns({"w": weight, "cap": F.col("source_size") * F.lit(float(most))}).withColumn("ratio", F.col("cap") / F.col("w"))
     order = W.orderBy("ratio", "rank")
-    before, rest, whole = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing), W.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
+    before, whole = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(1))
+    level = (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     filled = caps.withColumn("level", level)
     common = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(whole)
     return filled.withColumn("common", common["level"]).select(
