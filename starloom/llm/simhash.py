@@ -178,10 +178,11 @@ def _stars(keys: np.ndarray, a: np.ndarray, b: np.ndarray | None, first, rest=No
 
 
 def _tiled_links(rows: DataFrame, steps: list[tuple[int, int]], tests: tuple, tile: int) -> DataFrame:
-    """Links (a, b) between keys of rows (key: long, x, y: the group, words: array of longs) that span every component of the pairs that pass the tests (see _stars).
+    """Links (a, b) between keys of rows (key: long, x, y: the group, w0 and so on: longs) that span every component of the pairs that pass the tests (see _stars).
 
     Groups meet whose (x, y) differ by one of ``steps``; they are few, whatever the number of rows, and so is what is broadcast of them.
     """
+    words = [c for c in rows.columns if c not in ("key", "x", "y")]
     own = rows.groupBy("x", "y").count().select("x", "y", F.ceil(F.col("count") / F.lit(tile)).cast("int").alias("k"))
     tiles = own.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2"))
     shifted = own.select("x", "y", "k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("d"))
@@ -189,19 +190,19 @@ def _tiled_links(rows: DataFrame, steps: list[tuple[int, int]], tests: tuple, ti
     code = lambda x, y: F.col(x) * 64 + F.col(y)
     partners = shifted.join(F.broadcast(tiles), ["x2", "y2"]).groupBy("x", "y", "k").agg(F.collect_list(F.struct(code("x2", "y2").alias("g"), "k2")).alias("partners"))
     dealt = rows.join(F.broadcast(partners), ["x", "y"]).withColumns({"g0": code("x", "y"), "t0": F.pmod(F.xxhash64("key"), F.col("k").cast("long")).cast("int")})
-    pairs = dealt.select("key", "words", "g0", "t0", F.explode("partners").alias("p")).select(
-        "key", "words", "g0", "t0", F.col("p.g").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("p.k2") - 1)).alias("t1")
+    pairs = dealt.select("key", *words, "g0", "t0", F.explode("partners").alias("p")).select(
+        "key", *words, "g0", "t0", F.col("p.g").alias("g1"), F.explode(F.sequence(F.lit(0), F.col("p.k2") - 1)).alias("t1")
     )
     me, other = F.struct(F.col("g0").alias("g"), F.col("t0").alias("t")), F.struct(F.col("g1").alias("g"), F.col("t1").alias("t"))
-    keyed = pairs.select(F.least(me, other).alias("x"), F.greatest(me, other).alias("y"), (me > other).alias("second"), "key", "words")
+    keyed = pairs.select(F.least(me, other).alias("x"), F.greatest(me, other).alias("y"), (me > other).alias("second"), "key", *words)
 
     def run(group, table):
         keys, second = table.column("key").to_numpy(), table.column("second").to_numpy(zero_copy_only=False)
-        words = pc.list_flatten(table.column("words")).to_numpy().view(np.uint64).reshape(len(keys), -1)
+        own = np.stack([table.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
         if group[0].as_py() == group[1].as_py():
-            links = _stars(keys, words, None, *tests)
+            links = _stars(keys, own, None, *tests)
         else:
-            links = _stars(np.concatenate([keys[~second], keys[second]]), words[~second], words[second], *tests)
+            links = _stars(np.concatenate([keys[~second], keys[second]]), own[~second], own[second], *tests)
         return pa.table({"a": links[:, 0], "b": links[:, 1]})
 
     return keyed.groupBy("x", "y").applyInArrow(run, "a long, b long")
@@ -211,7 +212,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> Data
     """Links (a, b: fingerprints as longs) that span every component of the distinct fingerprints in fps (fp: long), linked at ``radius`` differing bits or fewer."""
     high, low = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius]
-    return _tiled_links(fps.select(F.col("fp").alias("key"), high.alias("x"), low.alias("y"), F.array("fp").alias("words")), steps, (_first_word(radius),), tile)
+    return _tiled_links(fps.select(F.col("fp").alias("key"), high.alias("x"), low.alias("y"), F.col("fp").alias("w0")), steps, (_first_word(radius),), tile)
 
 
 def similarity_links(wide: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -220,7 +221,7 @@ def similarity_links(wide: DataFrame, similarity: float = SIMILARITY, tile: int
     bucket = F.when(F.col("n") > 0, 1 + F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(-log(similarity)) + F.lit(1e-9))).otherwise(-1)
     bands = ceil(reach(similarity) / BAND)
     steps = [(i, j) for i in (-1, 0, 1) for j in range(-bands, bands + 1)]
-    rows = wide.select(F.col("fp").alias("key"), bucket.cast("int").alias("x"), F.floor(counts / BAND).cast("int").alias("y"), F.concat("words", F.array(F.col("n"))).alias("words"))
+    rows = wide.select(F.col("fp").alias("key"), bucket.cast("int").alias("x"), F.floor(counts / BAND).cast("int").alias("y"), *[F.get("words", F.lit(k)).alias(f"w{k}") for k in range(WIDE)], F.col("n").alias(f"w{WIDE}"))
     return _tiled_links(rows, steps, _similar(similarity), tile)
 
 
