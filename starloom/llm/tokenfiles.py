@@ -35,7 +35,7 @@ from .common import fresh_path, n_partitions, partitions_of, stored, text_slices
 
 LENGTH, ROWS = 2048, 64
 #: Bytes of the input (as stored) for a shard; documents for a batch of the index; bytes of texts whose words are encoded at once.
-SHARD_BYTES, INDEX_ROWS, SLICE_BYTES = 128 << 20, 8192, 1 << 23
+SHARD_BYTES, INDEX_ROWS, SLICE_BYTES = 128 << 20, 8192, 12 << 20
 #: Texts of these code points only are split here word by word; any other text goes to the tokenizer whole. Below U+0250 no
 #: code point composes under NFC, lower-casing depends on no neighbour, and but for U+001C to U+001F Arrow cuts at the white
 #: space at which the tokenizer does.
