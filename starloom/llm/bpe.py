@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions_of
+from .common import fresh_path, partitions_of, released
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^{S}\p{L}\p{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 JAVA_SPLIT = _SPLIT.replace("{S}", r"\p{IsWhite_Space}")
@@ -129,7 +129,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for part, own in dealt.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "words": pa.array([_pack(sorted(own))], pa.binary())})
 
-    asked = based.where(~F.col("direct")).select(split.alias("words"), F.spark_partition_id().alias("block")).mapInArrow(gather, "part int, block int, words binary")
+    asked = based.where(~F.col("direct")).select(split.alias("words"), F.spark_partition_id().alias("block")).mapInArrow(released(gather), "part int, block int, words binary")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = tokenizer(path), {}
@@ -145,7 +145,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 found.append(_pack_ids([known[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["block", "words", "ids"])
 
-    answered = asked.repartitionById(parts, F.col("part")).mapInArrow(once, "block int, words binary, ids binary")
+    answered = asked.repartitionById(parts, F.col("part")).mapInArrow(released(once), "block int, words binary, ids binary")
     answered.withColumn("bucket", F.pmod("block", F.lit(parts))).repartitionById(parts, F.col("bucket")).write.partitionBy("bucket").parquet(uri)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield _decoded(out, 1, path) if decoded else out
 
     cut = based.select("id", F.when(~F.col("direct"), split).alias("words"), F.when(F.col("direct"), F.col("text")).alias("text"), F.spark_partition_id().alias("block"))
-    return cut.mapInArrow(join, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>{', text string' if decoded else ''}")
+    return cut.mapInArrow(released(join), f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>{', text string' if decoded else ''}")
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words everywhere in this package.
 SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Rows of a few longs that are stored in one file at least, where their number is known.
+FILE_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,26 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows at most, in no more partitions than its rows fill files: small tables of many rounds are not stored in as many files as a large cluster has tasks."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with memory that the task leaves behind given back to the system: workers stay for other tasks, and so would what they hold free."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to differ from all of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -116,20 +139,22 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds; each round is stored, so lineage stays short, and the
     number of rounds grows with the logarithm of the longest chain. No group is gathered in one task:
     minima are aggregates with map-side combining, and joins on a hot hub are left to AQE's skew handling.
+    Rows are counted before each round, so that small graphs are stored in few files; links are read twice, so give a stored table.
     """
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = stored(few_files(edges, links.count()), "edges")
     before = state(edges)
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         # large star: each neighbour above u goes to the least node of u's neighbourhood
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large")
+        large = stored(few_files(large, before[0]), "large")
         # small star: the neighbours below u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        small = stored(small, "small")
+        small = stored(few_files(small, 2 * before[0]), "small")
         edges, after = small, state(small)
         if after == before:
             break
@@ -137,4 +162,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return few_files(nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), 2 * before[0])

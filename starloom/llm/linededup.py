@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, components, fold_labels, stored, text_slices, unused
+from .common import SPACE, components, fold_labels, released, stored, text_slices, unused
 
 #: Edits that still make two lines the same: at most so many, and one for every so many characters of the shorter line. Lines too
 #: short for one edit are the same only if equal.
@@ -200,7 +200,7 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
-    return rows.mapInArrow(run, "id long, th long, line_no int, h long, line string")
+    return rows.mapInArrow(released(run), "id long, th long, line_no int, h long, line string")
 
 
 def _pairs(probers: list[str], owners: list[str], segment: int, edits: int, per: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +340,7 @@ def edit_links(lines: DataFrame, edits: int = EDITS, tile: int = TILE, per: int
     texts = stored(lines.join(side, "h", "left_semi").dropDuplicates(["h"]), "texts")
 
     rows = dealt.join(texts, "h").select("key", "o", "a", "h", "own", "line")
-    return rows.repartition("key", "o", "a").sortWithinPartitions("key", "o", "a").mapInArrow(_compared(edits, per), "h long, root long, n long")
+    return rows.repartition("key", "o", "a").sortWithinPartitions("key", "o", "a").mapInArrow(released(_compared(edits, per)), "h long, root long, n long")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, per: int = PER_EDIT) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fold_labels, stored, text_slices, unused
+from .common import components, fold_labels, released, stored, text_slices, unused
 
 TILE = 8192
 #: Tables of up to this many single longs are broadcast.
@@ -119,7 +119,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], ["id", "th", "fp"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(released(run), "id long, th long, fp long")
 
 
 def _first_word(radius: int):
@@ -263,7 +263,7 @@ def with_wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), lists], ["id", "th", "n", "words"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "id long, th long, n long, words array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(released(run), "id long, th long, n long, words array<long>")
     return rows.select("id", "th", F.xxhash64("n", "words").alias("fp"), "n", "words")
 
 
