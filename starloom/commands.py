@@ -87,8 +87,12 @@ def _files(folder: str) -> list[str]:
     return sorted(f.path for f in found if f.base_name.startswith("part-"))
 
 
-def sort(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | str, partitions: int | None = None) -> None:
-    """Sort a file or a folder of files by depth-29 cell, rows of one cell in their first order; positions must be plain doubles."""
+def sort(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | str, partitions: int | None = None, depth: int = 10) -> None:
+    """Sort a file or a folder of files by depth-29 cell, rows of one cell in their first order; positions must be plain doubles.
+
+    A FITS output keeps how columns are stored and what the file (of a folder, the first one) holds before its table; of a single file also
+    what lies behind it. Sorting a folder to FITS also writes ``NAME.countmap.fits``: the rows n of each non-empty cell of ``depth``, by cell.
+    """
     df = load(spark, path)
     lon, lat = column_of(df, lon), column_of(df, lat)
     for c in (lon, lat):
@@ -98,7 +102,11 @@ def sort(spark: SparkSession, path: str, out: str, lon: int | str, lat: int | st
     if out.endswith((".fits", ".fit")):
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         cells = catalog.H.with_hash(ordered, "hpx29", lon=lon, lat=lat).repartitionByRange(n, "hpx29", "_row").sortWithinPartitions("hpx29", "_row")
-        fits.write(cells.select(*df.columns), out)
+        files = fits.tables_of(path) if _is_fits(path) else []
+        single = files == [path]
+        fits.write(cells.select(*df.columns), out, like=files[0] if files else None, tail=single)
+        if files and not single:
+            fits.write(catalog.count_map(cells, depth).repartitionByRange(n, "cell").sortWithinPartitions("cell"), f"{out.rpartition('.')[0]}.countmap.fits")
     else:
         catalog.sort_catalogue(ordered, out, lon, lat, "_row", partitions)
 

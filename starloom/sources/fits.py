@@ -106,6 +106,18 @@ def format_card(key: str, value, comment: str = "") -> bytes:
     return text[:CARD].ljust(CARD).encode("ascii")
 
 
+def text_cards(key: str, value: str) -> list[bytes]:
+    """The cards of a string: one, or with CONTINUE cards where it is too long for that."""
+    pieces, room = [""], 67
+    for c in value.encode("ascii", "replace").decode():
+        size = len(pieces[-1].replace("'", "''")) + (2 if c == "'" else 1)
+        if size > room:
+            pieces.append("")
+        pieces[-1] += c
+    quoted = [p.replace("'", "''") + ("&" if k < len(pieces) - 1 else "") for k, p in enumerate(pieces)]
+    return [format_card(key, value) if len(pieces) == 1 else f"{key:<8}= '{quoted[0]}'".ljust(CARD).encode(), *[f"CONTINUE  '{q}'".ljust(CARD).encode() for q in quoted[1:]]]
+
+
 def engineering(value: float, digits: int) -> str:
     """A number with so many significant digits and an exponent that is a multiple of 3."""
     if not value or not math.isfinite(value):
@@ -181,6 +193,13 @@ class Column:
             return self.element()
         return T.ArrayType(self.element())
 
+    def storage(self) -> dict | None:
+        """How single whole numbers are stored, for writing them so again; None: no such column."""
+        if self.pointer or self.repeat != 1 or self.code not in "BIJ" or not self.tscal:
+            return None
+        zero = int(self.tzero) if self.tzero == int(self.tzero) else float(self.tzero)
+        return {"code": self.code, "scal": self.tscal, "zero": zero, "scaled": self.is_scaled} | ({} if self.tnull is None else {"null": self.tnull})
+
     def display(self) -> str:
         """The type as text: ``i64?`` may be null, ``f32[3]`` has a fixed length, ``h32(i16[5])`` lies in the heap."""
         base = {"L": "bool?", "X": "bit", "B": "u8", "I": "i16", "J": "i32", "K": "i64", "E": "f32", "D": "f64", "C": "C32", "M": "C64", "A": "c"}[self.code]
@@ -438,7 +457,7 @@ def table_schema(columns: list[Column]) -> T.StructType:
     names = [c.name for c in columns]
     if len(set(names)) < len(names):
         raise FitsError("two columns have the same name")
-    about = lambda c: {k: v for k, v in (("unit", c.unit), ("ucd", c.ucd), ("desc", c.desc), ("tform", c.tform), ("tdisp", c.tdisp)) if v is not None}
+    about = lambda c: {k: v for k, v in (("unit", c.unit), ("ucd", c.ucd), ("desc", c.desc), ("tform", c.tform), ("tdisp", c.tdisp), ("tdmin", c.tdmin), ("tdmax", c.tdmax), ("stored", c.storage())) if v is not None}
     return T.StructType([T.StructField(c.name, c.spark_type(), True, about(c)) for c in columns])
 
 
@@ -565,8 +584,12 @@ def _plan(schema: T.StructType, about: dict) -> list[dict]:
             code = "C" if isinstance(e["re"].dataType, T.FloatType) else "M"
         if not code or array and code == "A" or isinstance(e, T.DecimalType) and (e.scale or e.precision > 20):
             raise FitsError(f"column {f.name}: {t.simpleString()} cannot be stored")
+        scal = 1
+        if own.get("as_read"):
+            how = f.metadata["stored"]
+            code, zero, scal, own = how["code"], how["zero"], how["scal"], {"null": how.get("null")}
         form = f"1Q{code}" if array else f"{max(1, own.get('width', 1))}A" if code == "A" else f"1{code}"
-        out.append({"name": f.name, "code": code, "array": array, "form": form, "zero": zero, "null": own.get("null"), "width": 16 if array else max(1, own.get("width", 1)) if code == "A" else _SIZES[code], "meta": dict(f.metadata or {})})
+        out.append({"name": f.name, "code": code, "array": array, "form": form, "zero": zero, "scal": scal, "null": own.get("null"), "width": 16 if array else max(1, own.get("width", 1)) if code == "A" else _SIZES[code], "meta": dict(f.metadata or {})})
     return out
 
 
@@ -581,6 +604,10 @@ def _stored(values: pa.Array, how: dict) -> np.ndarray:
         return values.cast(pa.float64() if code == "D" else pa.float32()).to_numpy(zero_copy_only=False).astype(dtype)
     if values.null_count and how["null"] is None:
         raise FitsError(f"column {how['name']} has nulls but no null mark")
+    if how["scal"] != 1 or isinstance(how["zero"], float) or pa.types.is_floating(values.type):
+        real = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        raw = np.rint((real - float(how["zero"])) / how["scal"])
+        return np.where(values.is_null().to_numpy(zero_copy_only=False), how["null"] or 0, raw).astype(dtype)
     if how["zero"] == 1 << 63:
         return np.array([how["null"] if v is None else int(v) - (1 << 63) for v in values.to_pylist()], dtype)
     if not values.null_count:
@@ -600,6 +627,7 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
         self.plan = _plan(schema, json.loads(options.get("about", "{}")))
+        self.like, self.tail = options.get("like"), options.get("tail") == "true"
         fs, at = file_system(self.path)
         if not overwrite and fs.get_file_info(at).type != pa.fs.FileType.NotFound:
             raise FitsError(f"{self.path} is there already")
@@ -642,7 +670,11 @@ class _Writer(DataSourceArrowWriter):
         rows, heap, width = sum(m.rows for m in messages), sum(m.heap for m in messages), sum(h["width"] for h in self.plan)
         shifts = [sum(h["width"] for h in self.plan[:k]) for k, h in enumerate(self.plan) if h["array"]]
         with fs.open_output_stream(at) as out:
-            out.write(primary_header())
+            if self.like:
+                h = binary_table(self.like)
+                _copy(self.like, 0, h.head_start, out)
+            else:
+                out.write(primary_header())
             out.write(table_header(self.plan, rows, heap))
             base = 0
             for m in messages:
@@ -661,6 +693,8 @@ class _Writer(DataSourceArrowWriter):
                     while block := f.read(8 << 20):
                         out.write(block)
             out.write(b"\0" * (-(rows * width + heap) % BLOCK))
+            if self.like and self.tail:
+                _copy(self.like, h.data_start + -(-h.data_bytes // BLOCK) * BLOCK, None, out)
         fs.delete_dir(f"{at}.parts")
 
     def abort(self, messages):
@@ -669,6 +703,16 @@ class _Writer(DataSourceArrowWriter):
             fs.delete_dir(f"{at}.parts")
 
 
+def _copy(path: str, start: int, end: int | None, out) -> None:
+    """Append bytes of a file, up to its end if that is None."""
+    fs, at = file_system(path)
+    with fs.open_input_file(at) as f:
+        end = f.size() if end is None else end
+        f.seek(start)
+        while (left := end - f.tell()) > 0 and (piece := f.read(min(left, 8 << 20))):
+            out.write(piece)
+
+
 def _block(cards: list[bytes]) -> bytes:
     text = b"".join([*cards, b"END".ljust(CARD)])
     return text.ljust(-(-len(text) // BLOCK) * BLOCK)
@@ -678,28 +722,54 @@ def primary_header(extra: list[bytes] | None = None) -> bytes:
     return _block([format_card("SIMPLE", True), format_card("BITPIX", 8, "Data element bit size"), format_card("NAXIS", 0), format_card("EXTEND", True), *(extra or [])])
 
 
+_KEYWORDS = {"unit": "TUNIT", "ucd": "TUCD", "desc": "TCOMM", "tdmin": "TDMIN", "tdmax": "TDMAX", "tdisp": "TDISP"}
+
+
 def table_header(plan: list[dict], rows: int, heap: int) -> bytes:
     width = sum(h["width"] for h in plan)
     cards = [format_card("XTENSION", "BINTABLE"), format_card("BITPIX", 8, "Data element bit size"), format_card("NAXIS", 2), format_card("NAXIS1", width), format_card("NAXIS2", rows), format_card("PCOUNT", heap), format_card("GCOUNT", 1), format_card("TFIELDS", len(plan))]
     for i, h in enumerate(plan, 1):
         cards += [format_card(f"TTYPE{i}", h["name"]), format_card(f"TFORM{i}", h["form"])]
-        if h["zero"]:
-            cards += [format_card(f"TSCAL{i}", 1), format_card(f"TZERO{i}", h["zero"])]
+        if h["zero"] or h["scal"] != 1:
+            cards += [format_card(f"TSCAL{i}", h["scal"]), format_card(f"TZERO{i}", h["zero"])]
         if h["null"] is not None:
             cards.append(format_card(f"TNULL{i}", h["null"]))
-        cards += [format_card(f"{key}{i}", str(h["meta"][name])[:67]) for key, name in (("TUNIT", "unit"), ("TUCD", "ucd"), ("TCOMM", "desc")) if h["meta"].get(name)]
+        kept = ["unit", "ucd", "desc", "tdmin", "tdmax"]
+        if re.search(r"[A-Z]", h["meta"].get("tform", "")) and re.search(r"[A-Z]", h["meta"]["tform"])[0] == h["code"]:
+            kept.append("tdisp")  # a display format is of the stored type
+        for name in kept:
+            if h["meta"].get(name):
+                cards += text_cards(f"{_KEYWORDS[name]}{i}", str(h["meta"][name]))
     return _block(cards)
 
 
-def write(df: DataFrame, path: str, overwrite: bool = True) -> None:
+def _as_read(f: T.StructField):
+    """Whether a row's value can be stored as the column's file did it (null: if there is a mark): it is what the stored number stands for."""
+    how = (f.metadata or {}).get("stored")
+    if not how or not isinstance(f.dataType, (T.FloatType, T.DoubleType) if how["scaled"] else (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return None
+    c = F.col(f"`{f.name}`")
+    raw = F.rint((c.cast("double") - F.lit(float(how["zero"]))) / F.lit(float(how["scal"])))
+    low, high = {"B": (0, 255), "I": (-(1 << 15), (1 << 15) - 1), "J": (-(1 << 31), (1 << 31) - 1)}[how["code"]]
+    real = "float" if isinstance(f.dataType, T.FloatType) else "double"
+    again = raw.cast(real) * F.lit(float(how["scal"])).cast(real) + F.lit(float(how["zero"])).cast(real)
+    fits_in = raw.between(low, high) & (again == c.cast(real))
+    return F.when(c.isNull(), F.lit("null" in how)).otherwise(fits_in & (raw != how["null"]) if "null" in how else fits_in)
+
+
+def write(df: DataFrame, path: str, overwrite: bool = True, like: str | None = None, tail: bool = True) -> None:
     """Write df, in its partitions' order, as one FITS file with a binary table.
 
-    One pass finds the widths of strings and, for whole-number columns with nulls, a stored value that no row has.
+    One pass finds the widths of strings and, for whole-number columns with nulls, a stored value that no row has. Columns that still have
+    the metadata of the file they were read from keep its storage (type, scale, null mark) if that gives each of their values again.
+    ``like``: a FITS file whose bytes before its first table, and with ``tail`` behind it, are taken over.
     """
     ranges = {T.ByteType: (-128, 127), T.ShortType: (-(1 << 15), (1 << 15) - 1), T.IntegerType: (-(1 << 31), (1 << 31) - 1), T.LongType: (-(1 << 63), (1 << 63) - 1), T.DecimalType: (0, (1 << 64) - 1)}
     asked = []
     for k, f in enumerate(df.schema):
-        c = F.col(f"`{f.name}`")
+        c, exact = F.col(f"`{f.name}`"), _as_read(f)
+        if exact is not None:
+            asked.append(F.count(F.when(~exact, 1)).alias(f"x{k}"))
         if isinstance(f.dataType, T.StringType):
             asked.append(F.max(F.octet_length(c)).alias(f"w{k}"))
         elif type(f.dataType) in ranges:
@@ -709,6 +779,8 @@ def write(df: DataFrame, path: str, overwrite: bool = True) -> None:
     for k, f in enumerate(df.schema):
         if f"w{k}" in found:
             about[f.name] = {"width": found[f"w{k}"] or 1}
+        elif found.get(f"x{k}") == 0:
+            about[f.name] = {"as_read": True}
         elif found.get(f"n{k}"):
             low, high = ranges[type(f.dataType)]
             least, most = found[f"a{k}"], found[f"b{k}"]
@@ -718,7 +790,10 @@ def write(df: DataFrame, path: str, overwrite: bool = True) -> None:
             zero = -128 if isinstance(f.dataType, T.ByteType) else 1 << 63 if isinstance(f.dataType, T.DecimalType) else 0
             about[f.name] = {"null": int(mark) - zero}
     register(df.sparkSession)
-    df.write.format("fits").option("path", path).option("about", json.dumps(about)).mode("overwrite" if overwrite else "append").save()
+    writer = df.write.format("fits").option("path", path).option("about", json.dumps(about))
+    if like is not None:
+        writer = writer.option("like", like).option("tail", "true" if tail else "false")
+    writer.mode("overwrite" if overwrite else "append").save()
 
 
 # --- text -----------------------------------------------------------------------------------------------------------

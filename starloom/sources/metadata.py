@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import DataFrame
@@ -28,14 +29,17 @@ def _local(tag: str) -> str:
 
 
 def votable_fields(text: str | bytes) -> list[dict]:
-    """Name, unit, ucd, datatype, arraysize, width, precision and description of the first table's fields."""
+    """Name, unit, ucd, datatype, arraysize, width, precision, description, null mark and limits of the first table's fields."""
     root = ET.fromstring(text)
     table = next((e for e in root.iter() if _local(e.tag) == "TABLE"), None)
     out = []
     for e in table if table is not None else ():
         if _local(e.tag) == "FIELD":
             about = next((d.text for d in e if _local(d.tag) == "DESCRIPTION"), None)
-            out.append({**{k: e.get(k) for k in ("name", "ID", "unit", "ucd", "datatype", "arraysize", "width", "precision")}, "desc": about.strip() if about else None})
+            values = next((v for v in e if _local(v.tag) == "VALUES"), None)
+            limit = lambda which: None if values is None else next((v.get("value") for v in values if _local(v.tag) == which), None)  # noqa: B023, E731
+            null = None if values is None else values.get("null")
+            out.append({**{k: e.get(k) for k in ("name", "ID", "unit", "ucd", "datatype", "arraysize", "width", "precision")}, "desc": about.strip() if about else None, "null": null, "min": limit("MIN"), "max": limit("MAX")})
     return out
 
 
@@ -58,9 +62,11 @@ def columns(path: str, use_votable: bool = True, overwrite: bool = False) -> lis
         fields = votable_fields(vot)
         if len(fields) == len(out):
             for c, f in zip(out, fields, strict=True):
-                for mine, theirs in (("unit", "unit"), ("ucd", "ucd"), ("desc", "desc")):
+                for mine, theirs in (("unit", "unit"), ("ucd", "ucd"), ("desc", "desc"), ("tdmin", "min"), ("tdmax", "max")):
                     if f[theirs] and (overwrite or not getattr(c, mine)):
                         setattr(c, mine, f[theirs])
+                if c.tnull is None and re.fullmatch(r"[+-]?\d+", f["null"] or ""):  # a null mark is never replaced, and whole
+                    c.tnull = int(f["null"])
     return out
 
 

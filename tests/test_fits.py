@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from fits_bytes import card, header, pack, primary, table
 from pyspark.sql import functions as F
+from starloom import commands
 from starloom.sources import fits, metadata
 
 
@@ -106,6 +107,59 @@ def test_metadata(spark, tmp_path):
     assert [c.unit for c in metadata.columns(plus, overwrite=True)] == ["rad", "s"] and [c.unit for c in metadata.columns(plus, False)] == ["deg", None]
 
 
+def test_votable_null_marks_and_limits(tmp_path):
+    columns = [("a", "J", {"TNULL": 3}), ("b", "J", {}), ("c", "J", {"TDMIN": 1})]
+    field = '<FIELD name="{0}" datatype="int"><VALUES null="{1}"><MIN value="0"/><MAX value="9"/></VALUES></FIELD>'
+    vot = ("<VOTABLE><RESOURCE><TABLE>" + field.format("a", 5) + field.format("b", 6) + field.format("c", "x") + "</TABLE></RESOURCE></VOTABLE>").encode()
+    path = save(tmp_path / "a.fits", primary([card("VOTMETA", True), card("NTABLE", 1)], (len(vot),), vot), table(columns, [pack("iii", 1, 2, 3)]))
+    assert [(c.tnull, c.tdmin, c.tdmax) for c in metadata.columns(path)] == [(3, "0", "9"), (6, "0", "9"), (None, "1", "9")]
+    assert [(c.tnull, c.tdmin) for c in metadata.columns(path, overwrite=True)] == [(3, "0"), (6, "0"), (None, "0")]
+
+
+def test_sort_keeps_storage_cards_and_other_hdus(spark, tmp_path):
+    long = "it's a comment of more than one card, " * 4 + "end"
+    parts = [f"CONTINUE  '{long[k : k + 50].replace(chr(39), chr(39) * 2)}{'&' if k + 50 < len(long) else ''}'".ljust(80) for k in range(50, len(long), 50)]
+    comment = [f"TCOMM3  = '{long[:50].replace(chr(39), chr(39) * 2)}&'".ljust(80), *parts]
+    columns = [
+        ("ra", "D", {"TDISP": "F10.6", "TUNIT": "deg"}), ("dec", "D", {"TDMIN": "-90", "TDMAX": "90"}), ("mag", "I", {"TSCAL": 0.001, "TZERO": 20, "TNULL": -32768, "TDISP": "F8.3"}),
+        ("flux", "J", {"TSCAL": 0.25}), ("u", "I", {"TZERO": 32768}), ("byte", "B", {}), ("n", "J", {"TNULL": 0}),
+    ]
+    rows = [pack("ddhihBi", 40 * k % 360, k - 4, -32768 if k == 3 else 100 * k - 7, 3 * k, k - 5, 250 + k % 5, k) for k in range(9)]
+    image = header([card("XTENSION", "IMAGE"), card("BITPIX", 8), card("NAXIS", 1), card("NAXIS1", 4), card("PCOUNT", 0), card("GCOUNT", 1)]) + b"abcd".ljust(2880, b"\0")
+    first = primary([card("OBSERVER", "someone"), card("HISTORY", None)])
+    path = save(tmp_path / "a.fits", first, image, table(columns, rows, extra=comment), image)
+    out = str(tmp_path / "out.fits")
+    commands.sort(spark, path, out, "ra", "dec", partitions=2)
+    data = (tmp_path / "out.fits").read_bytes()
+    assert data.startswith(first + image) and data.endswith(image) and len(data) % 2880 == 0
+    assert [h.kind for h in fits.open_hdus(out)] == ["PRIMARY", "IMAGE", "BINTABLE", "IMAGE"]
+    same = ("name", "code", "unit", "desc", "tnull", "tscal", "tzero", "tdisp", "tdmin", "tdmax")
+    before, after = (fits.binary_table(p).columns() for p in (path, out))
+    assert [[getattr(c, k) for k in same] for c in before] == [[getattr(c, k) for k in same] for c in after] and before[2].desc == long
+    h = fits.binary_table(out)
+    assert sorted(rows) == sorted(data[h.data_start + k * h.row_bytes : h.data_start + (k + 1) * h.row_bytes] for k in range(9))
+
+
+def test_changed_values_are_stored_as_they_are(spark, tmp_path):
+    path = save(tmp_path / "a.fits", primary(), table([("x", "I", {"TSCAL": 0.5}), ("y", "B", {}), ("z", "J", {})], [pack("hBi", 3, 7, 1), pack("hBi", 4, 9, 2)]))
+    df = fits.read(spark, path)
+    kept = {f.name: f.metadata for f in df.schema}
+    odd = df.select((F.col("x") + F.lit(0.3).cast("float")).alias("x", metadata=kept["x"]), (F.col("y") - 10).cast("short").alias("y", metadata=kept["y"]), F.when(F.col("z") > 1, F.col("z")).alias("z", metadata=kept["z"]))
+    fits.write(odd, str(tmp_path / "b.fits"))
+    key = lambda r: r["y"]
+    assert sorted(fits.read(spark, str(tmp_path / "b.fits")).collect(), key=key) == sorted(odd.collect(), key=key)
+
+
+def test_folder_sort_writes_a_count_map(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        save(tmp_path / "in" / f"{k}.fits", primary([card("FILE", k)]), table([("ra", "D", {}), ("dec", "D", {})], [pack("dd", 10 * i, 5 * k) for i in range(6)]))
+    commands.sort(spark, str(tmp_path / "in"), str(tmp_path / "out.fits"), "ra", "dec", partitions=2, depth=1)
+    found = fits.read(spark, str(tmp_path / "out.countmap.fits")).collect()
+    assert [r["cell"] for r in found] == sorted(r["cell"] for r in found) and sum(r["n"] for r in found) == 12
+    assert fits.open_hdus(str(tmp_path / "out.fits"))[0].keys["FILE"] == 0 and fits.read(spark, str(tmp_path / "out.fits")).count() == 12
+
+
 def test_directory(spark, tmp_path):
     for k in range(3):
         save(tmp_path / f"{k}.fits", primary(), table([("x", "J", {})], [pack("i", 10 * k + i) for i in range(4)]))
