@@ -385,6 +385,28 @@ def _string(raw: bytes) -> str:
     return raw.split(b"\0", 1)[0].decode("latin-1").rstrip()
 
 
+#: Bytes of a heap that are read along rather than skipped between one cell and the next.
+HEAP_GAP = 1 << 16
+
+
+def _heap_parts(starts: np.ndarray, sizes: np.ndarray, heap) -> list[bytes]:
+    """The bytes of cells in the heap, by one read for each run of near cells: in a sorted table a chunk's cells can lie anywhere."""
+    parts = [b""] * len(starts)
+    order = np.flatnonzero(sizes > 0)
+    order = order[np.argsort(starts[order], kind="stable")]
+    if not len(order):
+        return parts
+    reach = np.maximum.accumulate(starts[order] + sizes[order])
+    cuts = np.flatnonzero(starts[order][1:] > reach[:-1] + HEAP_GAP) + 1
+    for run in np.split(order, cuts):
+        first = int(starts[run[0]])
+        data = heap(first, int((starts[run] + sizes[run]).max()))
+        for k in run.tolist():
+            at = int(starts[k]) - first
+            parts[k] = data[at : at + int(sizes[k])]
+    return parts
+
+
 def decode_rows(columns: list[Column], raw: np.ndarray, heap) -> pa.RecordBatch:
     """Rows (n, row bytes) to an Arrow batch; ``heap(first, end)`` gives heap bytes."""
     n, arrays = len(raw), []
@@ -397,10 +419,7 @@ def decode_rows(columns: list[Column], raw: np.ndarray, heap) -> pa.RecordBatch:
             size = 1 if c.code == "X" else _SIZES[c.code]
             lengths = place[:, 0]
             spans = (lengths + 7) // 8 if c.code == "X" else lengths * size
-            some = spans > 0
-            first = int(place[some, 1].min()) if some.any() else 0
-            data = heap(first, int((place[some, 1] + spans[some]).max())) if some.any() else b""
-            parts = [data[a - first : a - first + s] if s else b"" for a, s in zip(place[:, 1].tolist(), spans.tolist(), strict=True)]
+            parts = _heap_parts(place[:, 1], spans, heap)
             if c.code == "A":
                 arrays.append(pa.array([_string(p) for p in parts], pa.string()))
                 continue

@@ -81,6 +81,21 @@ def structure(tmp_path):
     return save(tmp_path / "many.fits", primary(naxis=(7, 3), data=bytes(21)), image, text, odd, one, two)
 
 
+def test_heap_is_read_in_runs_of_near_cells():
+    import numpy as np
+
+    body, reads = bytes(k * k % 251 for k in range(1 << 20)), []
+
+    def heap(first, end):
+        reads.append((first, end))
+        return body[first:end]
+
+    starts, sizes = np.array([900_000, 5, 0, 400_000, 900_010, 7, 400_000]), np.array([20, 10, 0, 3, 5, 2, 3])
+    assert fits._heap_parts(starts, sizes, heap) == [body[a : a + n] for a, n in zip(starts, sizes, strict=True)]
+    assert reads == [(5, 15), (400_000, 400_003), (900_000, 900_020)]
+    assert fits._heap_parts(starts[:0], sizes[:0], heap) == [] and fits._heap_parts(starts[2:3], sizes[2:3], heap) == [b""]
+
+
 def test_structure_and_views(spark, tmp_path):
     path = structure(tmp_path)
     hdus = fits.read(spark, path, view="hdus").orderBy("idx").collect()
