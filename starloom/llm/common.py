@@ -18,6 +18,8 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows of a few longs that are stored in one file at least, where their number is known.
 FILE_ROWS = 250_000
+#: Spark's limit on the bytes of an Arrow batch, and what it is set to where the session names none.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +52,13 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // FILE_ROWS)))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to BATCH_BYTES, unless it has a bound of its own: by Spark's 64 MB all rows of a task are one batch, which the JVM and its worker hold
+    several times over. Batches are cut when a query runs, so the setting stays."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow, with memory that the task leaves behind given back to the system: workers stay for other tasks, and so would what they hold free."""
 

@@ -1,15 +1,17 @@
 """Each pipeline stage against a brute-force version, on what the stage before kept."""
 
 import hashlib
+from array import array
 from collections import Counter
 
 import brute
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from llm_tables import SCHEMA, as_dir, odd_rows, prose
 from pyspark.sql import functions as F
 from starloom.llm import bpe, simhash
-from starloom.llm.common import SPACE
+from starloom.llm.common import BATCH_LIMIT, SPACE
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -92,3 +94,29 @@ def test_run_equals_stages_in_turn(spark, small_dir):
 def test_empty_input(spark, empty, tmp_path):
     where = as_dir(spark, tmp_path, documents=empty, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, where).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", [x for x in corpus_pipeline.STAGES if x[0] != "mix"])
+def test_stages_bound_arrow_batches_by_bytes(spark, small_dir, name, stage):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    long = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("word "), 10_000).alias("text"))  # 20 MB in one partition
+    seen = lambda: [tuple(r) for r in long.mapInArrow(sizes, "rows long, bytes long").collect()]
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").limit(3)
+    try:
+        spark.conf.unset(BATCH_LIMIT)
+        stage(spark, docs, small_dir)
+        assert sum(n for n, _ in seen()) == 400 and max(size for _, size in seen()) < 3_000_000
+        spark.conf.set(BATCH_LIMIT, "8m")  # a bound of the session's own stays
+        stage(spark, docs, small_dir)
+        assert spark.conf.get(BATCH_LIMIT) == "8m"
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
+
+
+def test_ids_of_words_are_packed_as_bytes():
+    ids = [[5, 70_000], [], [1 << 31]]
+    packed = bpe._pack_ids([array("I", x).tobytes() for x in ids])
+    assert [[i & 0xFFFFFFFF for i in x] for x in bpe._unpack_ids(packed).to_pylist()] == ids
