@@ -38,6 +38,11 @@ def case_of(n_rows: int, budget: Budget) -> str:
     return "A" if n_rows <= 3 * budget.n1 // 2 else "B" if n_rows <= 3 * budget.n12 // 2 else "C"
 
 
+def case_a(df: DataFrame) -> DataFrame:
+    """df with depth 1 for all rows."""
+    return df.withColumn("depth", F.lit(1))
+
+
 def case_b(df: DataFrame, step: int, score: str | None = None) -> DataFrame:
     """df with depth 1 for one row of every ``step`` and 2 for the others."""
     if not score:
@@ -98,7 +103,7 @@ def build(df: DataFrame, score: str | None = None, n1: int = 3000, r21: int = 3,
     case = case_of(n_rows, budget)
     leaf = lambda d: df.select(F.lit(d).alias("depth"), H.parent(F.col("hpx29"), H.MAX_DEPTH, d).alias("cell")).distinct()
     if case == "A":
-        return df.withColumn("depth", F.lit(1)), leaf(1)
+        return case_a(df), leaf(1)
     if case == "B":
         return case_b(df, budget.step, score), leaf(2)
     narrow = df.select("recno", "hpx29", *([F.col(score).cast("double").alias("_score")] if score else []))
