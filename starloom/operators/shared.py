@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join that cannot have more rows than this is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +28,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows at most, as the side of a join: broadcast if that is within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -94,6 +94,31 @@ def test_layers_equal_the_model(spark, kind, n, n1, r21, n_tot, scored):
     assert all(any((d, r["hpx29"] >> 2 * (29 - d)) in covered for d in range(1, 30)) for r in local)
 
 
+@pytest.mark.parametrize(("kind", "n", "n1", "r21", "n_tot", "scored"), [("all", 300, 60, 3, 8, True), ("patch", 300, 40, 2, 10, False), ("one", 60, 400, 3, 3, True)])
+def test_large_cells_give_the_same_layers(spark, monkeypatch, kind, n, n1, r21, n_tot, scored):
+    """Cells that are gone through by all tasks, with some of their descendants placed by one, and scores that are NaN or null."""
+    monkeypatch.setattr(hips, "LOCAL_ROWS", 20)
+    rows = [(k, *p, None if k % 7 == 3 else math.nan if k % 7 == 5 else float(k % 11)) for k, p in enumerate(sample(kind, n, n))]
+    df = catalog.with_recno(H.with_hash(spark.createDataFrame(rows, "row_id long, ra double, dec double, s double")), ["hpx29", "row_id"]).cache()
+    local = sorted(df.collect(), key=lambda r: r["recno"])
+    scores = [(r["s"] is None, r["s"] is not None and math.isnan(r["s"]), 0.0 if r["s"] is None or math.isnan(r["s"]) else r["s"]) for r in local]
+    want = model([r["hpx29"] for r in local], scores if scored else None, n1, r21, n_tot)
+    layers, leaves = hips.build(df, "s" if scored else None, n1, r21, n_tot)
+    got = sorted((r["recno"], r["depth"]) for r in layers.collect())
+    monkeypatch.undo()
+    again, same = hips.build(df, "s" if scored else None, n1, r21, n_tot)
+    assert got == list(enumerate(want)) == sorted((r["recno"], r["depth"]) for r in again.collect())
+    assert sorted(map(tuple, leaves.collect())) == sorted(map(tuple, same.collect()))
+
+
+def test_rows_are_stored_once_however_many_levels_there_are(spark, monkeypatch):
+    df = catalog.with_recno(H.with_hash(spark.createDataFrame([(k, 33.0, 44.0) for k in range(60)], "row_id long, ra double, dec double")), ["hpx29", "row_id"]).cache()
+    kept, store = [], hips.stored
+    monkeypatch.setattr(hips, "stored", lambda t, name="table": kept.append(store(t, name)) or kept[-1])
+    layers, _ = hips.build(df, None, 400, 3, 3)
+    assert layers.agg(F.max("depth")).first()[0] == 29 and sum(t.count() for t in kept) <= 4 * 60
+
+
 def catalogue_file(tmp_path, n=700):
     columns = [("id", "K", {}), ("RA", "D", {"TUNIT": "deg"}), ("DEC", "D", {}), ("mag", "E", {}), ("name", "8A", {})]
     rows = [pack("qddf", k, *p, math.nan if k % 50 == 0 else k % 17) + f"n{k}".encode().ljust(8) for k, p in enumerate(sample("all", n, 3))]
