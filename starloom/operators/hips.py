@@ -227,12 +227,14 @@ def tile_stats(layers: DataFrame) -> DataFrame:
 
     A row counts in its ancestors at all depths down to the deepest of the catalogue, as far as its tile has rows of that layer.
     """
-    deepest = layers.agg(F.max("depth").alias("deepest"))
-    spread = layers.select("hpx29", "depth").join(F.broadcast(deepest)).select("hpx29", "depth", F.explode(F.sequence(F.lit(1), F.col("deepest"))).alias("d"))
+    # rows are counted by position and dealt by its order: most tiles then lie in one task, which adds them up before they are shuffled
+    counts = stored(layers.groupBy("hpx29", "depth").agg(F.count(F.lit(1)).alias("n")), "counts")
+    deepest = counts.agg(F.max("depth")).first()[0] or 1
+    spread = counts.repartitionByRange("hpx29").select("hpx29", "depth", "n", F.explode(F.sequence(F.lit(1), F.lit(deepest))).alias("d"))
     cell = F.call_function("shiftright", F.col("hpx29"), (2 * (H.MAX_DEPTH - F.col("d"))).cast("int"))
     sums = spread.groupBy(F.col("d").alias("depth"), cell.alias("cell")).agg(
-        F.sum(F.when(F.col("depth") <= F.col("d"), 1).otherwise(0)).cast("long").alias("cumul_count"),
-        F.count(F.lit(1)).cast("long").alias("tot_count"),
-        F.sum(F.when(F.col("depth") == F.col("d"), 1).otherwise(0)).alias("own"),
+        F.sum(F.when(F.col("depth") <= F.col("d"), F.col("n")).otherwise(0)).cast("long").alias("cumul_count"),
+        F.sum("n").cast("long").alias("tot_count"),
+        F.sum(F.when(F.col("depth") == F.col("d"), F.col("n")).otherwise(0)).alias("own"),
     )
     return sums.where("own > 0").drop("own")

@@ -119,6 +119,21 @@ def test_rows_are_stored_once_however_many_levels_there_are(spark, monkeypatch):
     assert layers.agg(F.max("depth")).first()[0] == 29 and sum(t.count() for t in kept) <= 4 * 60
 
 
+def test_tiles_read_their_layers_once(spark):
+    rng, seen = random.Random(5), spark.sparkContext.accumulator(0)
+    rows = [(rng.choice([5 << 50, (5 << 50) + 1, 77 << 48, rng.randrange(12 << 58)]), rng.choice([1, 2, 4])) for _ in range(200)]
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = {tuple(r) for r in hips.tile_stats(spark.createDataFrame(rows, "hpx29 long, depth int").mapInArrow(watch, "hpx29 long, depth int")).collect()}
+    under = {(d, c >> 2 * (29 - d)): [e for x, e in rows if x >> 2 * (29 - d) == c >> 2 * (29 - d)] for c, d in rows}
+    assert got == {(d, c, sum(e <= d for e in es), len(es)) for (d, c), es in under.items()}
+    assert seen.value == 200
+
+
 def catalogue_file(tmp_path, n=700):
     columns = [("id", "K", {}), ("RA", "D", {"TUNIT": "deg"}), ("DEC", "D", {}), ("mag", "E", {}), ("name", "8A", {})]
     rows = [pack("qddf", k, *p, math.nan if k % 50 == 0 else k % 17) + f"n{k}".encode().ljust(8) for k, p in enumerate(sample("all", n, 3))]
