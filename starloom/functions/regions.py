@@ -150,6 +150,36 @@ class Cone(Region):
         return np.abs(self._distance(lon, lat) - np.radians(self.radius))
 
 
+class ConeCovers:
+    """Covers of many cones of one radius, all at once, by cells of one depth."""
+
+    def __init__(self, radius: float, depth: int):
+        self.radius, self.depth = np.radians(Cone(0.0, 0.0, radius).radius), depth
+
+    def __call__(self, lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cone, cell) of cells that a cone's border may cross and that lie wholly in no cone, and the cells that lie wholly in one, each once."""
+        for bad in lat[~(np.abs(lat) <= 90)]:
+            _lat(bad)
+        for bad in lon[~np.isfinite(lon)]:
+            _lon(bad)
+        vectors = _vector(np.radians(lon), np.radians(lat))
+        at, cells = np.repeat(np.arange(len(lon)), 12), np.tile(np.arange(12, dtype=np.int64), len(lon))
+        full = [np.zeros(0, np.int64)]
+        for d in range(self.depth + 1):
+            if d:
+                at, cells = np.repeat(at, 4), (cells[:, None] * 4 + np.arange(4)).ravel()
+            some, place = np.unique(cells, return_inverse=True)
+            away = _angle(_vector(*H.centre_np(d, some))[place], vectors[at]) - self.radius
+            reach = H.radius_np(d)
+            deeper = 2 * (self.depth - d)
+            full.append(((np.unique(cells[away < -reach]) << deeper)[:, None] + np.arange(1 << deeper)).ravel())
+            crossed = np.abs(away) <= reach
+            at, cells = at[crossed], cells[crossed]
+        whole = np.unique(np.concatenate(full))
+        rest = ~np.isin(cells, whole)
+        return at[rest], cells[rest], whole
+
+
 class Ring(Cone):
     """Points between ``inner`` and ``outer`` degrees, 0 <= inner < outer < 180, from a centre."""
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import healpix as H
 from ..functions import regions as R
-from .shared import stored
+from .shared import small_side, stored
 
 #: The folder of a sorted catalogue that holds the number of rows before each part.
 STARTS = "_starts"
+#: Cones that are covered at a time.
+CONES_AT_ONCE = 1000
 
 
 def sort_catalogue(df: DataFrame, path: str, lon: str = "ra", lat: str = "dec", tie: str = "row_id", partitions: int | None = None) -> DataFrame:
@@ -156,24 +159,39 @@ def mean_centre(df: DataFrame, lon: str = "ra", lat: str = "dec") -> DataFrame:
 
 
 def multicone(df: DataFrame, centres: DataFrame, radius: float, lon: str = "ra", lat: str = "dec", cell: str = "hpx29", clon: str = "ra", clat: str = "dec") -> DataFrame:
-    """Rows within ``radius`` degrees of any centre, each once: an equi-join on the cells that centres' cones touch, then the distance."""
-    depth = 0
+    """Rows within ``radius`` degrees of any centre, each once: an equi-join on the cells that centres' cones touch, then the distance.
+
+    A cell that lies wholly in some cone is kept once and needs no distance; of the others, each is joined with the centres whose cones' borders may cross it.
+    """
+    spark, depth = df.sparkSession, 0
     while depth < 12 and H.radius_np(depth + 1) > float(radius) * 3.14159 / 180:
         depth += 1
+    # cells of about the cone's size are never wholly inside: two levels deeper, those of a dense field of centres mostly are
+    depth += 2
+    cover = R.ConeCovers(radius, depth)
 
     def cells(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for lo, la in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lo is not None and la is not None and lo == lo and la == la:
-                    some, _ = R.Cone(lo % 360, la, radius).cover(depth)
-                    shift = 2 * (H.MAX_DEPTH - depth)
-                    out += [(lo, la, c) for a, b in some for c in range(a >> shift, b >> shift)]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.int64()), strict=True)], ["_lo", "_la", "_cell"])
-
-    touched = centres.select(F.col(clon).cast("double"), F.col(clat).cast("double")).mapInArrow(cells, "_lo double, _la double, _cell long")
-    near = (H.parent(F.col(cell), H.MAX_DEPTH, depth) == F.col("_cell")) & (H.distance(F.col(lon), F.col(lat), F.col("_lo"), F.col("_la")) <= F.radians(F.lit(float(radius))))
-    return df.where(~(F.isnan(lon) | F.isnan(lat))).join(touched, near, "left_semi")
+            for part in (batch.slice(k, CONES_AT_ONCE) for k in range(0, batch.num_rows, CONES_AT_ONCE)):
+                lo, la = part.column(0).to_numpy(zero_copy_only=False) % 360, part.column(1).to_numpy(zero_copy_only=False)
+                at, found, full = cover(lo, la)
+                none = np.full(len(full), np.nan)
+                columns = [pa.array(np.concatenate([v[at], none]), pa.float64(), from_pandas=True) for v in (lo, la)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([found, full]), pa.int64())], ["_lo", "_la", "_cell"])
+
+    known = centres.select(F.col(clon).cast("double").alias("_lo"), F.col(clat).cast("double").alias("_la")).where(_placed_at("_lo", "_la"))
+    # dealt to a number of tasks: covers cost much more than their centres' bytes tell
+    dealt = known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_lo", "_la").distinct()
+    touched = stored(dealt.mapInArrow(cells, "_lo double, _la double, _cell long"), "touched")
+    full = touched.where("_lo is null").distinct()
+    inside = small_side(full.select("_cell"), H.n_cells(depth))
+    tests = stored(touched.where("_lo is not null").join(inside, "_cell", "left_anti").select(*touched.columns).unionAll(full), "cones")
+    near = F.col("_lo").isNull() | (H.distance(F.col(lon), F.col(lat), F.col("_lo"), F.col("_la")) <= F.radians(F.lit(float(radius))))
+    return df.where(_placed_at(lon, lat)).join(small_side(tests, tests.count()), (H.parent(F.col(cell), H.MAX_DEPTH, depth) == F.col("_cell")) & near, "left_semi")
+
+
+def _placed_at(lon: str, lat: str) -> Column:
+    """Whether a row has a position: others lie in cell 0, but in no region."""
+    return F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)

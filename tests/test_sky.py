@@ -111,6 +111,34 @@ def test_multicone_has_no_duplicates(spark, points):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_multicone_of_a_dense_field_keeps_whole_cells_once(spark, monkeypatch):
+    """Centres in one partition are covered by several tasks, cells wholly in a cone are joined once, and rows without a position are in no cone."""
+    rng = np.random.default_rng(7)
+    ra, dec, lo, la = rng.uniform(0, 360, 400), rng.uniform(-89, 89, 400), rng.uniform(-360, 360, 6000), np.degrees(np.arcsin(rng.uniform(-1, 0.6, 6000)))
+    rows = [(k, float(a), float(d)) for k, (a, d) in enumerate(zip(ra, dec, strict=True))] + [(400, 45.0, None), (401, None, 0.0), (402, float("nan"), 0.0), (403, 45.0, 0.5)]
+    df = H.with_hash(spark.createDataFrame(rows, "row_id long, ra double, dec double"))
+    centres = spark.createDataFrame([(float(a), float(d)) for a, d in zip(lo, la, strict=True)] + [(None, 1.0), (float("nan"), 1.0)], "ra double, dec double").coalesce(1)
+    kept, store = [], catalog.stored
+    monkeypatch.setattr(catalog, "stored", lambda t, name="table": kept.append(store(t, name)) or kept[-1])
+    got = sorted(r["row_id"] for r in catalog.multicone(df, centres, 6.0).collect())
+    a, b = R._vector(np.radians(ra), np.radians(dec)), R._vector(np.radians(lo), np.radians(la))
+    assert got == [*np.flatnonzero((a @ b.T).max(axis=1) >= np.cos(np.radians(6))), 403] and 200 < len(got) < 390
+    assert len(kept[0].inputFiles()) > 1 and kept[1].count() < 15_000
+
+
+@pytest.mark.parametrize("radius", [0.01, 0.7, 20.0, 95.0, 179.0])
+def test_many_cones_are_covered_as_one_is(radius):
+    rng = np.random.default_rng(3)
+    lo, la = rng.uniform(-10, 370, 5), rng.uniform(-90, 90, 5)
+    depth = 12 if radius < 1 else 4
+    at, cells, whole = R.ConeCovers(radius, depth)(lo, la)
+    some, full = zip(*(R.Cone(x % 360, y, radius).cover(depth) for x, y in zip(lo, la, strict=True)), strict=True)
+    shift = 2 * (29 - depth)
+    every = lambda ranges: {c for a, b in ranges for c in range(a >> shift, b >> shift)}
+    assert set(whole.tolist()) == set().union(*map(every, full)) and len(whole) == len(set(whole.tolist()))
+    assert all({c for k, c in zip(at.tolist(), cells.tolist(), strict=True) if k == i} == every(some[i]) - set(whole.tolist()) for i in range(5))
+
+
 FLOATS = [(1.0, "1.0"), (1e16, "1e16"), (1e15, "1000000000000000.0"), (1e-5, "1e-5"), (0.0001, "0.0001"), (1.5e300, "1.5e300"), (-0.0, "-0.0"), (float("nan"), ""), (float("inf"), "inf"), (None, ""), (0.1, "0.1")]
 
 
